@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from docspark.llm import lines, mixing
+from docspark.llm import bpe, chat, lines, mixing, quality, simhash, topk
 from docspark.llm.common import table
 
 
+def op1_topk_segments(spark, sf_dir):
+    return topk.search_report(table(spark, sf_dir, "embeddings"))
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.token_report(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark, sf_dir):
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op4_simhash(spark, sf_dir):
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -14,5 +34,5 @@ def op9_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op9_mix_sources)}
-ORACLES = {"op7_line_dedup": lines.ORACLE, "op9_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_topk_segments, op2_bpe, op3_chat_format, op4_simhash, op5_quality_rules, op7_line_dedup, op9_mix_sources)}
+ORACLES = {"op1_topk_segments": topk.ORACLE, "op3_chat_format": chat.ORACLE, "op7_line_dedup": lines.ORACLE, "op9_mix_sources": mixing.ORACLE}
