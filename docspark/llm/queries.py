@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import bpe, chat, lines, mixing, quality, simhash, topk
+from docspark.llm import bpe, chat, lines, mixing, pii, quality, repeats, simhash, topk, toxicity
 from docspark.llm.common import table
 
 
@@ -26,13 +26,28 @@ def op5_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii_feistel(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_segments(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_segments, op2_bpe, op3_chat_format, op4_simhash, op5_quality_rules, op7_line_dedup, op9_mix_sources)}
+def op10_repeat_bwt(spark, sf_dir):
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk_segments, op2_bpe, op3_chat_format, op4_simhash, op5_quality_rules, op6_pii_feistel, op7_line_dedup, op8_toxic_segments, op9_mix_sources, op10_repeat_bwt)
+}
 ORACLES = {"op1_topk_segments": topk.ORACLE, "op3_chat_format": chat.ORACLE, "op7_line_dedup": lines.ORACLE, "op9_mix_sources": mixing.ORACLE}
