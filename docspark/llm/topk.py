@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of one of queries; segments of the levels.
-CANDIDATES, QUERIES = 8192, 2048
-LEVELS = (4, 8, 16)
+CANDIDATES, QUERIES = 16_384, 2048
+LEVELS = (4, 16, 32)
 SCALE, MOST = 64, 2**27
 K = 20
 
@@ -55,32 +55,42 @@ def search_cell(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k:
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     steps = [(segment_features(qf, s), segment_features(xf, s)) for s in LEVELS if s < q.shape[1]] or [(qf, xf)]
     slack = 1e-9 * (np.linalg.norm(qf, axis=1) * (np.linalg.norm(xf, axis=1).max(initial=0) + 1) + 1) + 1e-6
-    out = []
-    for a in range(0, len(q), 128):
-        at = np.arange(a, min(a + 128, len(q)))
+    # Where every sum of products is an exact float, survivors that are many are scored as a matrix product.
+    exact_floats = float(np.abs(qf).max(initial=0)) * float(np.abs(xf).max(initial=0)) * q.shape[1] < 2**53
+    seeds, out = min(2 * k, len(x)), []
+    for a in range(0, len(q), 64):
+        at = np.arange(a, min(a + 64, len(q)))
+        own = qi[at][:, None] == xi[None, :] if np.isin(qi[at], xi).any() else None  # its own row is no candidate
         bound = steps[0][0][at] @ steps[0][1].T
-        bound[qi[at][:, None] == xi[None, :]] = -np.inf  # its own row is no candidate
+        if own is not None:
+            bound[own] = -np.inf
         # The k-th best exact score among the most promising rows is a limit that the k-th best of all reaches at least.
-        seeds = min(2 * k, len(x))
-        first = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
-        rows = np.repeat(at, seeds)
-        known = np.where(np.isneginf(np.take_along_axis(bound, first, 1)), np.iinfo(np.int64).min, _exact(q[rows], x[first.ravel()]).reshape(first.shape))
-        limit = np.sort(known, axis=1)[:, -k] if seeds >= k else np.full(len(at), np.iinfo(np.int64).min)
-        limit = limit.astype(np.float64) - slack[at]
-        alive = (bound >= limit[:, None]) & ~np.isneginf(bound)
+        limit = np.full(len(at), -np.inf)
+        if seeds > k:
+            first = np.argpartition(bound, len(x) - seeds, axis=1)[:, len(x) - seeds :]
+            known = _exact(q[np.repeat(at, seeds)], x[first.ravel()]).reshape(first.shape).astype(np.float64)
+            known[np.isneginf(np.take_along_axis(bound, first, 1))] = -np.inf
+            limit = np.partition(known, seeds - k, axis=1)[:, seeds - k] - slack[at]
+        alive = bound >= limit[:, None]
+        if own is not None:
+            alive &= ~own
         for qs, xs in steps[1:]:
-            if alive.mean() > 0.1:
+            if np.count_nonzero(alive) > alive.size // 20:
                 alive &= qs[at] @ xs.T >= limit[:, None]
             else:
                 i, j = np.nonzero(alive)
                 low = np.einsum("ij,ij->i", qs[at[i]], xs[j]) < limit[i]
                 alive[i[low], j[low]] = False
+        if exact_floats and np.count_nonzero(alive) > alive.size // 50:
+            scores = np.where(alive, qf[at] @ xf.T, -np.inf)
+            if scores.shape[1] > k:
+                alive = scores >= np.maximum(np.partition(scores, len(x) - k, axis=1)[:, [len(x) - k]], limit[:, None])
+            alive &= ~np.isneginf(scores)
         i, j = np.nonzero(alive)
-        score = np.concatenate([_exact(q[at[i[b : b + 65_536]]], x[j[b : b + 65_536]]) for b in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, np.int64)
+        score = np.concatenate([np.zeros(0, np.int64), *(_exact(q[at[i[b : b + 65_536]]], x[j[b : b + 65_536]]) for b in range(0, len(i), 65_536))])
         order = np.lexsort((xi[j], -score, i))
         i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        best = rank < k
+        best = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
         out.append((qi[at[i[best]]], xi[j[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
