@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import map_rows
 
-#: Entries of the chunk cache and of the pair cache of a worker.
-CACHE = 300_000
+#: Entries of the caches of a worker: of chunks, of pre-tokens and of pairs.
+CACHE, PRETOKENS, PAIRS = 300_000, 400_000, 600_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 WHITE = "[\t-\r \x85\xa0  -     　]+"
@@ -75,12 +75,15 @@ class Vocabulary:
             self.merge.setdefault((a, b), (rank, made))
             self.parts.setdefault(made, (rank, a, b))
             text.setdefault(made, text[a] + text[b])
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for i, s in text.items():
-            self.automaton.add_word(s, (len(s), i))
+            if self.is_whole(i):  # others are parts of merges that no encoding ends with
+                self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.names}
+        self.pretokens: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE[1:-2])
         self.words = regex.compile(split).findall
@@ -99,24 +102,14 @@ class Vocabulary:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether BPE keeps the border between tokens a and b."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            merge = self.merge
-            known = True
-            left = self.edge(b, False)
-            for x, until_x in self.edge(a, True):
-                for y, until_y in left:
-                    m = merge.get((x, y))
-                    # Of equal merges the leftmost goes first: one inside a before ours, ours before one inside b.
-                    if m is not None and m[0] < until_x and m[0] <= until_y:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            self.pairs[a, b] = known
-        return known
+        merge, left = self.merge, self.edge(b, False)
+        for x, until_x in self.edge(a, True):
+            for y, until_y in left:
+                m = merge.get((x, y))
+                # Of equal merges the leftmost goes first: one inside a before ours, ours before one inside b.
+                if m is not None and m[0] < until_x and m[0] <= until_y:
+                    return False
+        return True
 
     def is_whole(self, token: int) -> bool:
         """Whether a token's own text is encoded as that token: its parts are whole and stand together until they merge."""
@@ -145,31 +138,60 @@ class Vocabulary:
         if not raw:
             return []
         text = raw[:-1].decode("latin-1") + self.symbols[True][raw[-1]]
-        last: list[int] = [-1] * (len(text) + 1)
-        back: list[int] = [0] * (len(text) + 1)
-        stands, is_whole = self.stands, self.is_whole
+        n = len(text)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        pairs = self.pairs
         for at, (size, token) in self.automaton.iter(text):
             end = at + 1
             if last[end] >= 0:
                 continue
             start = end - size
-            if is_whole(token) if start == 0 else (last[start] >= 0 and is_whole(token) and stands(last[start], token)):
-                last[end], back[end] = token, start
-        out, at = [], len(text)
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                key = before << 32 | token
+                known = pairs.get(key)
+                if known is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    known = pairs[key] = self.stands(before, token)
+                if not known:
+                    continue
+            last[end], back[end] = token, start
+        out, at = [], n
         while at:
             out.append(last[at])
             at = back[at]
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def pretoken(self, word: str) -> tuple[bytes, str]:
+        """Ids (little-endian 32 bits) and token names of one pre-token."""
+        ids = self.word(word)
+        packed, names = self.packed, self.names
+        got = b"".join([packed[i] for i in ids]), " ".join([names[i] for i in ids])
+        if len(word) <= CACHE_CHARS:
+            if len(self.pretokens) >= PRETOKENS:
+                self.pretokens.clear()
+            self.pretokens[word] = got
+        return got
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (little-endian 32 bits) and token names of a chunk without white space."""
+        """Ids and token names of a chunk without white space."""
         if not chunk.isascii():
             plain = unicodedata.normalize("NFC", chunk)
             plain = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()
         else:
             plain = chunk.lower()
-        ids = [i for w in self.words(plain) for i in self.word(w)]
-        got = np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids])
+        known = self.pretokens.get
+        if plain.isalpha():  # letters are one pre-token
+            got = known(plain) or self.pretoken(plain)
+        else:
+            head, end = plain[:-1], plain[-1:]
+            each = (head, end) if head.isalpha() and not end.isalpha() and not end.isnumeric() and head else self.words(plain)
+            found = [known(w) or self.pretoken(w) for w in each]
+            got = b"".join([i for i, _ in found]), " ".join([n for _, n in found])
         if len(chunk) <= CACHE_CHARS:
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
