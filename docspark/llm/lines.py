@@ -71,7 +71,7 @@ def _with_drops(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _split(text: bytes, drop, min_chars: int) -> tuple[list[bytes], list[bytes]]:
     lines = text.split(b"\n")
-    if not drop:
+    if drop is None or not len(drop):
         return lines, lines
     gone = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in drop}
     return lines, [x for x in lines if line_hash(x, min_chars) not in gone]
