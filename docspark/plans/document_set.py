@@ -15,7 +15,8 @@ from docspark.functions import native
 from docspark.functions.arrow import flat_map, guarded
 from docspark.functions.render import Part, render_requests
 from docspark.kernels.annot import decode_annotations
-from docspark.kernels.core import LIMITS, Limits
+from docspark.kernels.bzz import bzz_decode
+from docspark.kernels.core import LIMITS, Limits, exceeded
 from docspark.kernels.iff import Info
 from docspark.kernels.outline import decode_outline
 from docspark.kernels.text import decode_text, is_utf8
@@ -48,16 +49,63 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*", limits: Limi
     return DocumentSet(documents.read_files(spark, path, glob), limits=limits)
 
 
+class Wanted:
+    """Chunk ids that a question needs, as a test of a string and of a column."""
+
+    def __init__(self, *ids: str, starts: tuple[str, ...] = ()):
+        self.ids, self.starts = frozenset(ids), starts
+
+    def __call__(self, id_: str) -> bool:
+        return id_ in self.ids or bool(self.starts) and id_.startswith(self.starts)
+
+    def column(self, c: Column) -> Column:
+        out = c.isin(*self.ids) if self.ids else F.lit(False)
+        for s in self.starts:
+            out = out | c.startswith(s)
+        return out
+
+
 class DocumentSet:
     """A collection of documents.
 
-    files: (doc_id, content). supplied: (doc_id, name, content) of component files of indirect documents and stand-alone pages; without it
+    linked says whether some documents lean on other files, if that is known. files: (doc_id, content). supplied: (doc_id, name, content) of component files of indirect documents and stand-alone pages; without it
     the siblings of an indirect index by path are taken from ``files`` themselves.
     """
 
-    def __init__(self, files: DataFrame, supplied: DataFrame | None = None, limits: Limits = LIMITS):
+    def __init__(self, files: DataFrame, supplied: DataFrame | None = None, limits: Limits = LIMITS, linked: bool | None = None):
         self.files, self.limits = files.select("doc_id", "content"), limits
-        self._supplied = supplied
+        self._supplied, self._linked_known = supplied, linked
+
+    @cached_property
+    def _any_linked(self) -> bool:
+        """Whether some document leans on other files: known from the caller, or looked up once in the heads of the files."""
+        if self._linked_known is None:
+            self._linked_known = not self.files.where(documents.leans_on_others(F.col("content"))).limit(1).isEmpty()
+        return self._linked_known
+
+    @cached_property
+    def _linked(self) -> DocumentSet:
+        """The documents that lean on other files; only these take the relational way to their pages."""
+        some = DocumentSet(self.files.where(documents.leans_on_others(F.col("content"))), self._supplied, self.limits)
+        if self._supplied is None:
+            some.__dict__["supplied"] = self.supplied
+        return some
+
+    def _page_rows(self, wanted) -> DataFrame:
+        """One row a page with its information and its expanded chunks of the wanted ids."""
+        if not self._any_linked:
+            return documents.whole_pages(self.files, wanted, self.limits)
+        alone = self.files.where(~documents.leans_on_others(F.col("content")))
+        return documents.whole_pages(alone, wanted, self.limits).unionByName(self._linked._joined_pages(wanted))
+
+    def _joined_pages(self, wanted) -> DataFrame:
+        """The same by joins: components may be files of their own."""
+        hashes = self._loaded.where("loaded AND kind <> 'page'").select("doc_id", "comp", F.sha2(F.to_json(F.transform("chunks", lambda c: F.struct(c["chunk_id"], F.base64(c["payload"])))), 256).alias("form_hash"))
+        kept = self._expanded.where(wanted.column(F.col("chunk_id")))
+        rows = kept.join(self._edges.select("doc_id", F.col("src").alias("comp"), "ord", "dst"), ["doc_id", "comp", "ord"], "left").join(hashes, ["doc_id", "comp"], "left")
+        parts = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("place", "comp", "ord", "chunk_id", "payload", "dst", "form_hash"))).alias("parts"))
+        p = self._page_info.join(self._page_status.select("doc_id", "page", "expanded"), ["doc_id", "page"]).join(parts, ["doc_id", "page"], "left")
+        return p.withColumn("parts", F.coalesce("parts", F.array().cast(f"array<{documents.PART}>")))
 
     @cached_property
     def containers(self) -> DataFrame:
@@ -149,7 +197,7 @@ class DocumentSet:
         return p.select("doc_id", "page", "comp", "form_type", "image", "info", status.alias("status"))
 
     def pages(self) -> DataFrame:
-        return self._page_info.select("doc_id", "page", "comp", "info.*", "status")
+        return self._page_rows(Wanted()).select("doc_id", "page", "comp", "info.*", "status")
 
     @cached_property
     def _expansion(self) -> DataFrame:
@@ -174,9 +222,9 @@ class DocumentSet:
 
     def page_chunks(self) -> DataFrame:
         """(doc_id, page, seq, comp, chunk_id, payload): chunks of a page with includes expanded in place, unknown ones included."""
-        order = Window.partitionBy("doc_id", "page").orderBy("place")
-        kept = self._expanded.where("chunk_id <> 'INCL'")
-        return kept.withColumn("seq", F.row_number().over(order) - 1).select("doc_id", "page", "seq", "comp", "chunk_id", "payload")
+        rows = self._page_rows(Wanted(starts=("",))).where("expanded = 'ok'")
+        kept = F.filter("parts", lambda p: (p["chunk_id"] != "INCL") | F.col("form_type").isin("PM44", "BM44"))
+        return rows.select("doc_id", "page", F.posexplode(kept).alias("seq", "p")).select("doc_id", "page", "seq", "p.comp", "p.chunk_id", "p.payload")
 
     def missing(self, scope: str = "includes") -> DataFrame:
         """(doc_id, page, comp, id): the next component a page needs for a scope (page, includes, thumbnail) and that isn't loaded."""
@@ -194,9 +242,10 @@ class DocumentSet:
 
     def text(self) -> DataFrame:
         """(doc_id, page, bytes, text, has_replacements, zones, status): no row where a page has no text chunk."""
-        found = self._expanded.where("chunk_id IN ('TXTa', 'TXTz')").groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.first(F.struct("chunk_id", "payload")).alias("c"))
-        rows = found.join(self._page_info.select("doc_id", "page", "info.height", "status"), ["doc_id", "page"])
-        status = F.when(F.col("n") > 1, "InvalidData").otherwise(F.col("status"))
+        rows = self._page_rows(Wanted("TXTa", "TXTz"))
+        n, part = F.size("parts"), F.get(F.col("parts"), F.lit(0))
+        status = F.when(F.col("expanded") != "ok", F.col("expanded")).when(n > 1, "InvalidData").otherwise(F.col("status"))
+        rows = rows.where((n > 0) | (F.col("expanded") != "ok")).select("doc_id", "page", part["chunk_id"].alias("chunk_id"), part["payload"].alias("payload"), F.col("info.height").alias("height"), status.alias("status"))
         limits = self.limits
 
         def call(doc_id, page, chunk_id, payload, height, status):
@@ -209,9 +258,7 @@ class DocumentSet:
             yield doc_id, page, data, None if data is None else not is_utf8(data), zones, status
 
         schema = f"doc_id string, page int, bytes binary, has_replacements boolean, zones array<{ZONE}>, status string"
-        out = flat_map(rows.select("doc_id", "page", "c.chunk_id", "c.payload", "height", status.alias("status")), schema, call)
-        lost = self._page_status.where("expanded <> 'ok'").select("doc_id", "page", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("boolean").alias("has_replacements"), F.array().cast(f"array<{ZONE}>").alias("zones"), F.col("expanded").alias("status"))
-        out = out.unionByName(lost)
+        out = flat_map(rows, schema, call)
         return out.select("doc_id", "page", "bytes", native.repaired(F.col("bytes")).alias("text"), "has_replacements", "zones", "status")
 
     def zones(self) -> DataFrame:
@@ -239,21 +286,30 @@ class DocumentSet:
 
     def annotations(self) -> DataFrame:
         """One row for each page with annotation chunks, parsed after they are put on end."""
-        j = self._expanded.select("doc_id", "page", "comp", "ord", "place").join(self._plain_annotations, ["doc_id", "comp", "ord"])
-        parts = j.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("place", "comp", "data"))).alias("parts"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"))
-        rows = parts.join(self._page_info.select("doc_id", "page", "info", "status"), ["doc_id", "page"])
+        rows = self._page_rows(Wanted("ANTa", "ANTz")).where("size(parts) > 0")
         limits = self.limits
 
-        def call(doc_id, page, parts, bad, info, status):
-            status = bad or status
+        def plain(parts):
+            at, out, chunks = 0, [], []
+            for p in parts:
+                left = limits.annotation_bytes - at
+                data = p["payload"]
+                if p["chunk_id"] == "ANTz" and data:
+                    data = bzz_decode(data, min(left, limits.bzz_bytes), limits)
+                if len(data) > left:
+                    raise exceeded("annotations")
+                chunks.append((p["comp"], at, len(data)))
+                out.append(data)
+                at += len(data)
+            return b"".join(out), chunks
+
+        def call(doc_id, page, parts, info, status):
             chunks, got = [], None
             if status == "ok":
-                at, data = 0, b""
-                for p in parts:
-                    chunks.append((p["comp"], at, len(p["data"])))
-                    data += p["data"]
-                    at += len(p["data"])
-                got, status, _ = guarded(decode_annotations, data, Info(**info), limits)
+                got, status, _ = guarded(plain, parts)
+                if got is not None:
+                    data, chunks = got
+                    got, status, _ = guarded(decode_annotations, data, Info(**info), limits)
             if got is None:
                 yield doc_id, page, None, None, None, None, chunks, [], None, [], [], None, None, None, status
                 return
@@ -262,7 +318,7 @@ class DocumentSet:
                 got["metadata"], got["xmp"], got["header"], got["footer"], status,
             )
 
-        return flat_map(rows.select("doc_id", "page", "parts", "bad", "info", "status"), ANNOTATIONS, call)
+        return flat_map(rows.select("doc_id", "page", "parts", "info", "status"), ANNOTATIONS, call)
 
     def areas(self) -> DataFrame:
         return self.annotations().where("status = 'ok'").select("doc_id", "page", F.explode("areas").alias("a")).select("doc_id", "page", "a.*")
@@ -302,15 +358,9 @@ class DocumentSet:
         return requests.join(p, ["doc_id", "page"], "left").withColumn("g", F.when(F.col("__s") == "ok", g)).withColumn("status", F.coalesce("__s", F.lit("InvalidArgument"))).drop("__i", "__s")
 
     def _layers(self) -> DataFrame:
-        """(doc_id, page, form_type, info, parts, status): what rendering a page needs; the only shuffle of payloads."""
-        hashes = self._loaded.where("loaded").select("doc_id", "comp", F.sha2(F.to_json(F.transform("chunks", lambda c: F.struct(c["chunk_id"], F.base64(c["payload"])))), 256).alias("form_hash"))
-        shared = self._chunks.where("kind <> 'page'").select("doc_id", "comp").distinct().join(hashes, ["doc_id", "comp"])
-        roles = F.col("chunk_id").isin(*ROLES) | F.substring("chunk_id", 1, 2).isin("BG", "FG")
-        rows = self._expanded.where(roles).join(self._edges.select("doc_id", F.col("src").alias("comp"), "ord", "dst"), ["doc_id", "comp", "ord"], "left").join(shared, ["doc_id", "comp"], "left")
-        parts = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("place", "comp", "chunk_id", "payload", "dst", "form_hash"))).alias("parts"))
-        p = self._page_info.join(self._page_status.select("doc_id", "page", "expanded"), ["doc_id", "page"])
+        """(doc_id, page, form_type, info, parts, status): what rendering a page needs."""
         status = F.when(F.col("status") == "ok", F.col("expanded")).otherwise(F.col("status"))
-        return p.select("doc_id", "page", "form_type", "info", status.alias("status")).join(parts, ["doc_id", "page"], "left")
+        return self._page_rows(Wanted(*ROLES, starts=("BG", "FG"))).select("doc_id", "page", "form_type", "info", "parts", status.alias("status"))
 
     def render(self, requests: DataFrame | None = None) -> DataFrame:
         """Rasters of requests (doc_id, page and any of request_id, subsample, box_width, box_height, rotation, x, y, width, height).
@@ -318,11 +368,14 @@ class DocumentSet:
         Without requests every page is rendered whole. A page's layers are decoded once for all its requests.
         """
         fields = ["request_id", "subsample", "box_width", "box_height", "rotation", "x", "y", "width", "height"]
-        asked = requests if requests is not None else self._page_list.select("doc_id", "page")
         kinds = dict.fromkeys(fields, "int") | {"request_id": "string"}
-        full = asked.select("doc_id", "page", F.struct(*[(F.col(f).cast(kinds[f]) if f in asked.columns else F.lit(None).cast(kinds[f])).alias(f) for f in fields]).alias("r"))
-        per_page = full.groupBy("doc_id", "page").agg(F.collect_list("r").alias("requests"))
-        rows = per_page.join(self._layers(), ["doc_id", "page"], "left")
+        field = lambda f: (F.col(f).cast(kinds[f]) if requests is not None and f in requests.columns else F.lit(None).cast(kinds[f])).alias(f)
+        request = F.struct(*map(field, fields))
+        if requests is None:
+            rows = self._layers().withColumn("requests", F.array(request))
+        else:
+            per_page = requests.groupBy("doc_id", "page").agg(F.collect_list(request).alias("requests"))
+            rows = per_page.join(self._layers(), ["doc_id", "page"], "left")
         limits = self.limits
 
         def call(doc_id, page, requests, form, info, status, parts):

@@ -1,4 +1,4 @@
-"""Document files as tables of containers and forms.
+"""Document files as tables of containers, forms and pages.
 
 A file is read once by Spark's binary reader. ``containers`` has a row for each document with the entries of its directory; ``forms`` has
 a row for each FORM with its chunks. Damage becomes a status, never a failed job.
@@ -6,12 +6,15 @@ a row for each FORM with its chunks. Damage becomes a status, never a failed job
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.arrow import flat_map
-from docspark.kernels import iff
+from docspark.kernels import iff, iw44
 from docspark.kernels.core import LIMITS, Bad, Limits, exceeded, invalid, unsupported
+from docspark.operators.includes import walk
 
 ENTRY = "struct<comp:int,id:string,name:string,title:string,kind:string,size:long,offset:long>"
 CONTAINERS = f"doc_id string, size long, form_type string, indirect boolean, entries array<{ENTRY}>, status string, error string"
@@ -25,6 +28,18 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "content")
 
 
+INFO = "struct<width:int,height:int,dpi:int,rotation:int,gamma_tenths:int,version:int>"
+PART = "struct<place:array<int>,comp:int,ord:int,chunk_id:string,payload:binary,dst:int,form_hash:string>"
+PAGES = f"doc_id string, page int, comp int, form_type string, image int, info {INFO}, status string, expanded string, parts array<{PART}>"
+
+
+def leans_on_others(content) -> Column:
+    """Whether a file may need other files: an indirect index, or a stand-alone page with includes. Native, so it filters before Python."""
+    kind = F.substring(content, 13, 4)
+    indirect = (kind == F.lit(b"DJVM")) & (F.conv(F.hex(F.substring(content, 25, 1)), 16, 10).cast("int") < 128)
+    return F.coalesce(indirect | ((kind == F.lit(b"DJVU")) & F.contains(content, F.lit(b"INCL"))), F.lit(False))
+
+
 def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
@@ -120,3 +135,91 @@ def forms(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
             yield from (row(doc_id, c)[0] for c in children if c.id == "FORM")
 
     return flat_map(files.select("doc_id", "content"), FORMS, call, 64)
+
+
+def whole_pages(files: DataFrame, wanted, limits: Limits = LIMITS) -> DataFrame:
+    """One row for each page of files that lean on no others, with its expanded chunks whose id is ``wanted``.
+
+    One pass over the file and no shuffle: directory, includes and page information are all inside it.
+    """
+
+    def call(doc_id, content):
+        try:
+            root = iff.root(content, limits)
+            _, entries = directory_of(root, limits)
+        except Bad:
+            return
+        yield from ((doc_id, *row) for row in _pages_of(root, entries, wanted, limits))
+
+    return flat_map(files.select("doc_id", "content"), PAGES, call, 64)
+
+
+def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
+    forms = {c.offset: c for c in root.children() if c.id == "FORM"} if root.form == "DJVM" else {root.offset: root}
+    children: dict[int, list[iff.Chunk]] = {}
+    broken: dict[int, str] = {}
+    for comp, *_, offset in entries:
+        try:
+            children[comp] = forms[offset].children()
+            if len(children[comp]) > limits.chunks:
+                raise exceeded("chunks")
+        except Bad as e:
+            broken[comp] = e.code
+            children.pop(comp, None)
+    kind = {e[0]: e[4] for e in entries}
+    ids = {e[1].encode(): e[0] for e in entries}
+    follow = root.form not in iff.WAVELET_FORMS
+    edges = {c: [(k, ids.get(x.data, ids.get(x.data.rstrip(b"\0\r\n")))) for k, x in enumerate(found) if follow and x.id == "INCL"] for c, found in children.items()}
+    hashes: dict[int, str] = {}
+
+    def part(place, comp, k, chunk):
+        target = dict(edges[comp]).get(k) if chunk.id == "INCL" else None
+        if kind[comp] != "page" and comp not in hashes:
+            hashes[comp] = hashlib.sha256(forms[entries[comp][6]].data).hexdigest()
+        return [*place, k], comp, k, chunk.id, chunk.data, target, hashes.get(comp)
+
+    def info_of(data: bytes | None, dpi: int | None) -> tuple[tuple | None, str]:
+        try:
+            if data is None:
+                raise invalid("no page information")
+            if dpi is None:
+                found = iff.parse_info(data)
+            else:
+                head = iw44.parse_header(data)
+                found = iff.Info(head.width, head.height, dpi, 0)
+            if found.width * found.height > limits.page_pixels:
+                raise exceeded("page pixels")
+            return tuple(found), "ok"
+        except Bad as e:
+            return None, e.code
+
+    if root.form == "THUM":
+        images = [(k, c) for k, c in enumerate(children.get(0, ())) if c.id == "TH44"]
+        for page, (k, c) in enumerate(images):
+            info, status = info_of(c.data, 300)
+            yield page, 0, "THUM", k, info, status, "ok", [part([], 0, k, c)] if wanted(c.id) else []
+        return
+    for page, comp in enumerate(c for c, k in kind.items() if k == "page"):
+        if root.form in iff.WAVELET_FORMS:
+            first = next((c.data for c in children.get(comp, ()) if c.id == root.form), None)
+            info, status = info_of(first, 100)
+        else:
+            named = [c.data for c in children.get(comp, ()) if c.id == "INFO"]
+            info, status = info_of(named[0] if len(named) == 1 else None, None)
+        if comp in broken:
+            info, status = None, broken[comp]
+        visits = walk(comp, kind, set(children), edges, limits.include_depth)
+        expanded = visits[0][2]
+        # A component that is there but damaged ends the expansion with its own status.
+        if expanded == "MissingComponent" and visits[0][3] in broken:
+            expanded = broken[visits[0][3]]
+        found = []
+        if expanded == "ok":
+            for c, path, _, _ in visits:
+                for k, chunk in enumerate(children[c]):
+                    if c != comp and chunk.id == "INFO":
+                        expanded = "InvalidData"
+                    if wanted(chunk.id):
+                        found.append(part(path, c, k, chunk))
+            found.sort(key=lambda p: p[0])
+        yield page, comp, root.form, None, info, status, expanded, found if expanded == "ok" else []
