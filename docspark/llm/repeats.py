@@ -42,7 +42,7 @@ ANCHOR = 20
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 CROWD = 512
 #: Bytes looked at together, for anchors and for one transform.
-CHUNK, BLOCK = 1 << 18, 1 << 20
+CHUNK, BLOCK = 1 << 15, 1 << 17
 LAST = 2**63 - 1
 
 _C1, _C2, _C3, _C4 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -111,7 +111,7 @@ def repeated_intervals(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     """
     n = len(raw)
     big = _words(np.concatenate((raw, np.zeros(8, np.uint8)))).byteswap()
-    order = np.argsort(big, kind="stable")
+    order = np.argsort(big)
     depth = 8
     key = big
     while True:
@@ -123,22 +123,24 @@ def repeated_intervals(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
         after = np.zeros(n, np.int64)
         after[: max(0, n - depth)] = rank[depth:] + 1
         key = (rank * (n + 1) + after).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         depth *= 2
     # Rank 0 is the empty suffix, so that every suffix has a byte before it but the whole text.
     ranked = np.concatenate(([n], order))
     bwt = np.where(ranked > 0, raw[ranked - 1].astype(np.int16), -1)
-    before = np.argsort(bwt, kind="stable")  # where each rank's suffix without its first byte stands
+    before = np.argsort(bwt, kind="stable").astype(np.int32)  # where each rank's suffix without its first byte stands
     heads = np.concatenate(([-1], raw[order].astype(np.int16)))
     full = np.concatenate(([True], heads[1:] != heads[:-1]))
     open_ = np.flatnonzero(~full)
+    this, last = before[open_], before[open_ - 1]
     for _ in range(length - 1):
         if not len(open_):
             break
         interval = np.cumsum(full, dtype=np.int32)
-        parted = interval[before[open_]] != interval[before[open_ - 1]]
-        full[open_[parted]] = True
-        open_ = open_[~parted]
+        parted = interval[this] != interval[last]
+        if parted.any():
+            full[open_[parted]] = True
+            open_, this, last = (x[~parted] for x in (open_, this, last))
     border = full[1:]
     return order, border
 
