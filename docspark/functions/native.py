@@ -119,9 +119,12 @@ def layer_reduction(width: Column, height: Column, layer_width: Column, layer_he
     return F.array_min(F.filter(F.sequence(F.lit(1), F.lit(12)), fits))
 
 
-def subsample_for(zoom: Column, device_ratio: Column) -> Column:
-    """Whole reduction for a zoom on a display: the largest that still has a sample for each device pixel."""
-    return F.greatest(F.lit(1), F.least(F.lit(256), F.floor(1 / (zoom * device_ratio)))).cast("int")
+def subsample_for(width: Column, height: Column, zoom: Column, view_width: Column, view_height: Column, device_ratio: Column, tile: int = 512, most: int = 24) -> Column:
+    """Whole reduction for a zoom: enough pixels for the display, and at most ``most`` tiles in view."""
+    first = F.greatest(F.lit(1), F.least(F.lit(256), F.floor(1 / (zoom * F.least(F.lit(2.0), device_ratio))))).cast("int")
+    count = lambda size, view, s: F.least(F.ceil(F.ceil(size / s) / tile), F.ceil(view / (zoom * s * tile)) + 1)
+    fits = F.filter(F.sequence(first, F.lit(256)), lambda s: count(width, view_width, s) * count(height, view_height, s) <= most)
+    return F.coalesce(F.get(fits, F.lit(0)), F.lit(256))
 
 
 def last_valid(value: Column, order: Column) -> Column:

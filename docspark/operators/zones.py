@@ -15,19 +15,22 @@ def descendants(zones: DataFrame, kind: str, of: str) -> DataFrame:
 
 
 def selectable(zones: DataFrame) -> DataFrame:
-    """Words with text; in pages without words, leaves with text."""
-    words = zones.where("kind = 'word'").select("doc_id", "page").distinct()
-    leaf = (F.col("subtree_end") == F.col("idx") + 1) & (F.col("text_length") > 0)
-    leaves = zones.where(leaf).join(words, ["doc_id", "page"], "left_anti")
-    return zones.where("kind = 'word' AND text_length > 0").select(zones.columns).unionByName(leaves.select(zones.columns))
+    """Outermost words, and leaves that lie in no word, if they have text and an area."""
+    words = zones.where("kind = 'word'").select("doc_id", "page", F.col("idx").alias("__w"), F.col("subtree_end").alias("__e"))
+    wanted = zones.where((F.col("kind") == "word") | (F.col("subtree_end") == F.col("idx") + 1)).where("text_length > 0 AND width > 0 AND height > 0")
+    inside = (wanted["doc_id"] == words["doc_id"]) & (wanted["page"] == words["page"]) & (F.col("idx") > F.col("__w")) & (F.col("idx") < F.col("__e"))
+    return wanted.join(words, inside, "left_anti")
 
 
-def hit(zones: DataFrame, points: DataFrame) -> DataFrame:
-    """For each point (doc_id, page, point_id, px, py) the zone that holds it, or the nearest; of equally near ones the first."""
+def hit(zones: DataFrame, points: DataFrame, nearest: bool = False) -> DataFrame:
+    """For each point (doc_id, page, point_id, px, py) the zone that holds it, or with ``nearest`` the one nearest to it; of equals the first."""
     j = points.join(zones, ["doc_id", "page"])
-    gap = lambda p, a, size: F.greatest(F.lit(0), F.col(a) - F.col(p), F.col(p) - F.col(a) - F.col(size))
+    gap = lambda p, a, size: F.greatest(F.col(a) - F.col(p), F.lit(0), F.col(p) - F.col(a) - F.col(size))
     dx, dy = gap("px", "x", "width"), gap("py", "y", "height")
-    return j.groupBy("doc_id", "page", "point_id").agg(F.min_by("idx", F.struct((dx * dx + dy * dy).alias("d"), "idx")).alias("idx"))
+    j = j.withColumn("__d", dx * dx + dy * dy)
+    if not nearest:
+        j = j.where("__d = 0")
+    return j.groupBy("doc_id", "page", "point_id").agg(F.min_by("idx", F.struct("__d", "idx")).alias("idx"))
 
 
 def selection(zones: DataFrame) -> DataFrame:
@@ -36,11 +39,16 @@ def selection(zones: DataFrame) -> DataFrame:
 
 
 def visible_tiles(views: DataFrame, tile: int = TILE) -> DataFrame:
-    """(…, tx, ty, rank): tiles of a page (page_width, page_height) that a view (vx, vy, vw, vh) shows, nearest to its centre first."""
-    first = lambda v: F.greatest(F.lit(0), F.floor(F.col(v) / tile))
-    last = lambda v, size, page: F.least(F.ceil(F.col(page) / tile), F.ceil((F.col(v) + F.col(size)) / tile)) - 1
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-    out = views.withColumn("tx", F.explode(span(first("vx"), last("vx", "vw", "page_width")))).withColumn("ty", F.explode(span(first("vy"), last("vy", "vh", "page_height"))))
-    dx = (F.col("tx") + 0.5) * tile - (F.col("vx") + F.col("vw") / 2)
-    dy = (F.col("ty") + 0.5) * tile - (F.col("vy") + F.col("vh") / 2)
-    return out.withColumn("distance", F.hypot(dx, dy))
+    """Tiles (tx, ty; x, y, width, height in output pixels) of a page (page_width, page_height) that a view (vx, vy, vw, vh) shows.
+
+    ``distance`` is that of a tile's centre from the centre of the shown part; order by it to load the middle first.
+    """
+    zero = F.lit(0)
+    left, top = F.greatest(zero, F.col("vx")), F.greatest(zero, F.col("vy"))
+    right, bottom = F.least(F.col("page_width"), F.col("vx") + F.col("vw")), F.least(F.col("page_height"), F.col("vy") + F.col("vh"))
+    shown = views.where((right > left) & (bottom > top))
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.ceil(b / tile) - 1))
+    out = shown.withColumn("tx", span(left, right)).withColumn("ty", span(top, bottom))
+    out = out.withColumn("x", F.col("tx") * tile).withColumn("y", F.col("ty") * tile)
+    out = out.withColumn("width", F.least(F.lit(tile), F.col("page_width") - F.col("x"))).withColumn("height", F.least(F.lit(tile), F.col("page_height") - F.col("y")))
+    return out.withColumn("distance", F.hypot(F.col("x") + F.col("width") / 2 - (left + right) / 2, F.col("y") + F.col("height") / 2 - (top + bottom) / 2))
