@@ -19,9 +19,11 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from docspark.llm.common import map_rows
 
 #: Entries of the caches of a worker: of chunks, of pre-tokens and of pairs.
-CACHE, PRETOKENS, PAIRS = 300_000, 400_000, 600_000
+CACHE, PRETOKENS, PAIRS = 150_000, 200_000, 300_000
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 WHITE = "[\t-\r \x85\xa0  -     　]+"
@@ -66,13 +68,13 @@ class Vocabulary:
             text[ids[c]] = s
             if self.end:
                 text[ids[c + self.end]] = chr(ord(s) + 256)
-        #: Merge of a pair of ids: (rank, id). Of an id: the rank that made it and its two parts.
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair of ids, kept as one number. Of an id: the rank that made it and its two parts.
+        self.merge: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = (ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             made = ids[self.names[a] + self.names[b]]
-            self.merge.setdefault((a, b), (rank, made))
+            self.merge.setdefault(a << 32 | b, rank)
             self.parts.setdefault(made, (rank, a, b))
             text.setdefault(made, text[a] + text[b])
         self.pairs: dict[int, bool] = {}
@@ -105,9 +107,9 @@ class Vocabulary:
         merge, left = self.merge, self.edge(b, False)
         for x, until_x in self.edge(a, True):
             for y, until_y in left:
-                m = merge.get((x, y))
+                m = merge.get(x << 32 | y)
                 # Of equal merges the leftmost goes first: one inside a before ours, ours before one inside b.
-                if m is not None and m[0] < until_x and m[0] <= until_y:
+                if m is not None and m < until_x and m <= until_y:
                     return False
         return True
 
@@ -127,10 +129,10 @@ class Vocabulary:
         """Whether no merge other than ``rank`` itself joins parts of a and b across their border."""
         for x, until_x in self.edge(a, True):
             for y, until_y in self.edge(b, False):
-                m = self.merge.get((x, y))
-                if m is not None and (x, y) != (a, b) and m[0] < until_x and m[0] <= until_y:
+                m = self.merge.get(x << 32 | y)
+                if m is not None and (x, y) != (a, b) and m < until_x and m <= until_y:
                     return False
-        return self.merge.get((a, b), (None,))[0] == rank
+        return self.merge.get(a << 32 | b) == rank
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
@@ -246,17 +248,25 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
-    """docs with the token ids of ``text`` as a column of arrays, which takes the place of one of that name."""
+def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows: int = 256) -> DataFrame:
+    """docs with the token ids of ``text`` as a column of arrays, which takes the place of one of that name.
 
-    @F.pandas_udf("array<int>")
-    def ids(text):
-        import pandas as pd
+    Rows leave the worker a few hundred at a time, so that neither side holds the ids of a whole batch.
+    """
+    kept = [f for f in docs.schema.fields if f.name != column]
+    names = [f.name for f in kept]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        return pd.Series([np.frombuffer(known.encode(t or "")[0], "<i4") for t in text], dtype=object)
-
-    return docs.withColumn(column, ids("text"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                ids = [np.frombuffer(known.encode(t.as_py() or "")[0], "<i4") for t in part.column(names.index("text"))]
+                ends = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, column])
+
+    return docs.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField(column, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str | None = None, column: str = "ids", to: str = "decoded") -> DataFrame:
