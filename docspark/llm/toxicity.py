@@ -8,8 +8,9 @@ How likely a segment of that score is in clean text of that length follows an ex
 clean words and whose size is fitted on clean documents; a document's evidence is that of its best segment and of all significant ones
 together, which a logistic curve turns into a score from 0 to 1.
 
-Features are counted over all training rows. The table of scored features is bounded by ``FEATURES``, and law and curve are fitted on
-at most ``FIT_DOCS`` labelled documents by hash: these are the only bounds; every document is scored in full.
+Features are counted on at most ``TRAIN_DOCS`` labelled training documents and law and curve fitted on at most ``FIT_DOCS``, both the
+first by hash of doc_id, so that only ids are broadcast and no text is shuffled; the table of scored features is bounded by
+``FEATURES``. These are the only bounds; every document is scored in full.
 
 Defined cases: a null or empty text has no words and scores as clean; a null doc_id is no training row and not held out; labels that repeat
 a doc_id count once, toxic if any says so; without both classes every score is 0; an empty table gives an empty result; other
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import map_rows, materialize, utf8
 
-#: Features with scores at most; labelled documents of the calibration at most.
-FEATURES, FIT_DOCS = 50_000, 20_000
+#: Features with scores at most; labelled documents of the counts and of the calibration at most.
+FEATURES, TRAIN_DOCS, FIT_DOCS = 50_000, 50_000, 20_000
 #: Deviations that log-odds must stand clear of; least drift a word; chance of a significant segment.
 CLEAR, DRIFT, CHANCE = 3.0, 0.08, 0.01
 PREDICT = 0.7
@@ -101,9 +102,9 @@ class Model:
     def scores(self, words: list[bytes]) -> list[tuple[int, float]]:
         """(place, score) of the words that have one."""
         known = self.known
-        for w in set(words) - known.keys():
-            if len(known) >= CACHE:
-                known.clear()
+        if len(known) >= CACHE:
+            known.clear()
+        for w in {w for w in words if w not in known}:
             known[w] = max((x for f in features_of(w) if (x := self.score.get(f)) is not None), default=None)
         get = known.get
         return [(k, s) for k, w in enumerate(words) if (s := get(w)) is not None]
@@ -155,10 +156,12 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(training_rows(labels), "doc_id").where("text IS NOT NULL").withColumn("same", F.xxhash64("text"))
+    order = F.xxhash64(F.lit("toxic"), "doc_id")
+    chosen = materialize(training_rows(labels).orderBy(order, "doc_id").limit(TRAIN_DOCS), "toxic-rows")
+    rows = texts.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").withColumn("same", F.xxhash64("text"))
     first = rows.groupBy("same", F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    once = texts.join(materialize(first.select("doc_id", "toxic"), "toxic-rows"), "doc_id")
-    counts = materialize(feature_counts(once.select("toxic", "text")), "toxic-features")
+    first = materialize(first.select("doc_id", "toxic"), "toxic-once")
+    counts = materialize(feature_counts(texts.join(F.broadcast(first), "doc_id").select("toxic", "text")), "toxic-features")
     n1, n0 = counts.agg(F.sum("n1"), F.sum("n0")).first()
     if not n1 or not n0:
         return None
@@ -170,8 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     table = counts.select("feature", odds.alias("odds"), clear.alias("clear")).where(F.col("clear") >= CLEAR).orderBy(F.desc("clear"), "feature").limit(FEATURES).collect()
     model = Model({r.feature: r.odds for r in table}, DRIFT)
 
-    order = F.xxhash64(F.lit("toxic"), "doc_id")
-    few = training_rows(labels).orderBy(order, "doc_id").limit(FIT_DOCS)
+    few = chosen.orderBy(order, "doc_id").limit(FIT_DOCS)
     some = materialize(texts.join(F.broadcast(few), "doc_id"), "toxic-sample")
     clean = some.where("toxic = 0")
 
