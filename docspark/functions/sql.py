@@ -64,23 +64,27 @@ def _palette(data: bytes) -> dict:
 
 
 def _scalar(type_: str, call):
-    @F.pandas_udf(type_)
-    def run(data: pd.Series) -> pd.DataFrame if type_.startswith("struct") else pd.Series:  # noqa: ANN
-        out = []
-        for d in data:
-            try:
-                out.append(None if d is None else call(bytes(d)))
-            except Bad:
-                out.append(None)
-        if not type_.startswith("struct"):
-            return pd.Series(out, dtype=object)
-        from pyspark.sql.types import _parse_datatype_string
-
-        names = _parse_datatype_string(type_).names
-        rows = [(None,) * len(names) if r is None else tuple(r[n] for n in names) if isinstance(r, dict) else r for r in out]
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    def one(d):
+        try:
+            return None if d is None else call(bytes(d))
+        except Bad:
+            return None
+
+    def plain(data: pd.Series) -> pd.Series:
+        return pd.Series([one(d) for d in data], dtype=object)
+
+    type_of = _parse_datatype_string(type_)
+    if not isinstance(type_of, StructType):
+        return F.pandas_udf(plain, type_of)
+    names = type_of.names
+
+    def table(data: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * len(names) if r is None else tuple(r[n] for n in names) if isinstance(r, dict) else r for r in map(one, data)]
         return pd.DataFrame(rows, columns=names, dtype=object)
 
-    return run
+    return F.pandas_udf(table, type_of)
 
 
 @F.udtf(returnType="ord int, chunk_id string, offset long, length long, payload binary")

@@ -325,6 +325,13 @@ class DocumentSet:
 
     @cached_property
     def _records(self) -> DataFrame:
+        if not self._any_linked:
+            return documents.whole_records(self.files, self.limits)
+        alone = self.files.where(~documents.leans_on_others(F.col("content")))
+        return documents.whole_records(alone, self.limits).unionByName(self._linked._joined_records.select("doc_id", "root", "seq", "xmp", "key", "value", "page", "status"))
+
+    @cached_property
+    def _joined_records(self) -> DataFrame:
         parts = self._loaded.select("doc_id", "comp", "kind", "loaded")
         starts = metadata.roots(parts, self._edges)
         whole = includes.expansion(parts, self._edges, starts, self.limits)
@@ -344,7 +351,9 @@ class DocumentSet:
 
     def metadata_status(self) -> DataFrame:
         """(doc_id, status): documents whose annotation streams can't be read."""
-        broken = self._plain_annotations.where("status <> 'ok'").select("doc_id", "status").unionByName(self._records.where("status <> 'ok'").select("doc_id", "status"))
+        broken = self._records.where("status <> 'ok'").select("doc_id", "status")
+        if self._any_linked:
+            broken = broken.unionByName(self._linked._plain_annotations.where("status <> 'ok'").select("doc_id", "status"))
         return broken.groupBy("doc_id").agg(F.min("status").alias("status"))
 
     def resolve_links(self, found: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def gamma_lut(spark, sf_dir):
 
 
 def visible_tiles(spark, sf_dir):
-    r = _requests(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("w").alias("page_width"), F.col("h").alias("page_height"), F.col("bw").alias("vx"), F.col("bh").alias("vy"), (F.col("ss") * 60).alias("vw"), F.lit(900).alias("vh"))
+    r = _requests(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("w").alias("page_width"), F.col("h").alias("page_height"), (F.col("bw") % 50 - 9).alias("vx"), (F.col("bh") % 5).alias("vy"), (F.col("ss") * 60).alias("vw"), F.lit(900).alias("vh"))
     return zones.visible_tiles(r).select("l_orderkey", "l_linenumber", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"))
 
 
@@ -416,8 +416,9 @@ SELECT p_partkey, count(*) AS n, sum(weight)::BIGINT AS total, sum(weight * spot
 SELECT tenths, k::INTEGER AS sample, CASE WHEN tenths = 22 THEN k ELSE floor(255.0::DOUBLE * pow(k / 255.0::DOUBLE, tenths / 22.0::DOUBLE) + 0.5)::BIGINT END AS value
 FROM (SELECT DISTINCT greatest(3, p_size)::INTEGER AS tenths FROM part), range(256) r(k)""",
     "visible_tiles": f"""
-SELECT l_orderkey, l_linenumber, tx, ty FROM (SELECT *, unnest(range(greatest(0, bh // 512), least((h + 511) // 512, (bh + 900 + 511) // 512))) AS ty FROM (
-  SELECT *, unnest(range(greatest(0, bw // 512), least((w + 511) // 512, (bw + ss * 60 + 511) // 512))) AS tx FROM ({_REQUESTS})))""",
+WITH v AS (SELECT l_orderkey, l_linenumber, greatest(0, bw % 50 - 9) AS l, least(w, bw % 50 - 9 + ss * 60) AS r, bh % 5 AS t, least(h, bh % 5 + 900) AS b FROM ({_REQUESTS}))
+SELECT l_orderkey, l_linenumber, tx, ty FROM (SELECT *, unnest(range(t // 512, (b + 511) // 512)) AS ty FROM (
+  SELECT *, unnest(range(l // 512, (r + 511) // 512)) AS tx FROM v WHERE r > l AND b > t))""",
     "chunk_inventory": """
 SELECT conv_id, count(*) AS n_pages, count(*) - 1 AS last_page, sum(length(coalesce(text, '')))::BIGINT AS n_chars, max(length(coalesce(text, ''))) AS longest FROM conversations GROUP BY conv_id""",
     "include_closure": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS page, coalesce(role, '') || '|' || coalesce(text, '') AS said FROM conversations",

@@ -1,7 +1,8 @@
 """A Python data source that lists the chunks of documents by seeking from header to header.
 
-``spark.read.format("layered_chunks").load(folder)``: one partition a file, a row a chunk. Payloads are read only if they are asked for,
-and filters on ``chunk_id`` are pushed into the reader, so a scan for annotations never touches image data.
+``spark.read.format("layered_chunks").load(folder)``: one partition a file, a row a chunk. Payloads are read only if they are asked for.
+Option ``chunk_ids`` names the chunks to read, so a scan for annotations never touches image data. With option ``pushdown`` filters on
+``chunk_id`` do the same; Spark then keeps the reader for the frame, so load a frame anew for every other filter.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
-        self.path, self.payload = path, payload
-        self.ids: set[str] | None = None
+    def __init__(self, path: str, payload: bool, ids: set[str] | None, pushdown: bool):
+        self.path, self.payload, self.ids, self.pushdown = path, payload, ids, pushdown
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chunk_id",):
+            if not self.pushdown:
+                yield f
+            elif isinstance(f, EqualTo) and f.attribute == ("chunk_id",):
                 self.ids = {f.value} if self.ids is None else self.ids & {f.value}
             elif isinstance(f, In) and f.attribute == ("chunk_id",):
                 self.ids = set(f.value) if self.ids is None else self.ids & set(f.value)
@@ -71,7 +73,9 @@ class LayeredChunks(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].removeprefix("file://"), self.options.get("payload", "true").lower() != "false")
+        told = lambda name, default: self.options.get(name, default).lower() == "true"
+        ids = {x.strip() for x in self.options.get("chunk_ids", "").split(",") if x.strip()} or None
+        return _Reader(self.options["path"].removeprefix("file://"), told("payload", "true"), ids, told("pushdown", "false"))
 
 
 def register(spark: SparkSession) -> None:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docspark.functions.arrow import flat_map
 from docspark.kernels import iff, iw44
+from docspark.kernels.annot import metadata_fields
+from docspark.kernels.bzz import bzz_decode
 from docspark.kernels.core import LIMITS, Bad, Limits, exceeded, invalid, unsupported
 from docspark.operators.includes import walk
 
@@ -154,22 +156,37 @@ def whole_pages(files: DataFrame, wanted, limits: Limits = LIMITS) -> DataFrame:
     return flat_map(files.select("doc_id", "content"), PAGES, call, 64)
 
 
+class Opened:
+    """A parsed file that leans on no others: chunks, kinds and include edges of its components."""
+
+    def __init__(self, root: iff.Chunk, entries: list[tuple], limits: Limits):
+        self.forms = {c.offset: c for c in root.children() if c.id == "FORM"} if root.form == "DJVM" else {root.offset: root}
+        self.children: dict[int, list[iff.Chunk]] = {}
+        self.broken: dict[int, str] = {}
+        for comp, *_, offset in entries:
+            try:
+                found = self.forms[offset].children()
+                if len(found) > limits.chunks:
+                    raise exceeded("chunks")
+                self.children[comp] = found
+            except Bad as e:
+                self.broken[comp] = e.code
+        self.kind = {e[0]: e[4] for e in entries}
+        ids = {e[1].encode(): e[0] for e in entries}
+        follow = root.form not in iff.WAVELET_FORMS
+        self.edges = {c: [(k, ids.get(x.data, ids.get(x.data.rstrip(b"\0\r\n")))) for k, x in enumerate(found) if follow and x.id == "INCL"] for c, found in self.children.items()}
+
+    def walk(self, comp: int, limits: Limits) -> list[tuple]:
+        """(comp, path, status, missing) of the components that a root's expansion visits; a damaged one ends it with its own status."""
+        visits = walk(comp, self.kind, set(self.children), self.edges, limits.include_depth)
+        if visits[0][2] == "MissingComponent" and visits[0][3] in self.broken:
+            return [(None, None, self.broken[visits[0][3]], None)]
+        return visits
+
+
 def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
-    forms = {c.offset: c for c in root.children() if c.id == "FORM"} if root.form == "DJVM" else {root.offset: root}
-    children: dict[int, list[iff.Chunk]] = {}
-    broken: dict[int, str] = {}
-    for comp, *_, offset in entries:
-        try:
-            children[comp] = forms[offset].children()
-            if len(children[comp]) > limits.chunks:
-                raise exceeded("chunks")
-        except Bad as e:
-            broken[comp] = e.code
-            children.pop(comp, None)
-    kind = {e[0]: e[4] for e in entries}
-    ids = {e[1].encode(): e[0] for e in entries}
-    follow = root.form not in iff.WAVELET_FORMS
-    edges = {c: [(k, ids.get(x.data, ids.get(x.data.rstrip(b"\0\r\n")))) for k, x in enumerate(found) if follow and x.id == "INCL"] for c, found in children.items()}
+    doc = Opened(root, entries, limits)
+    forms, children, broken, kind, edges = doc.forms, doc.children, doc.broken, doc.kind, doc.edges
     hashes: dict[int, str] = {}
 
     def part(place, comp, k, chunk):
@@ -208,11 +225,8 @@ def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
             info, status = info_of(named[0] if len(named) == 1 else None, None)
         if comp in broken:
             info, status = None, broken[comp]
-        visits = walk(comp, kind, set(children), edges, limits.include_depth)
+        visits = doc.walk(comp, limits)
         expanded = visits[0][2]
-        # A component that is there but damaged ends the expansion with its own status.
-        if expanded == "MissingComponent" and visits[0][3] in broken:
-            expanded = broken[visits[0][3]]
         found = []
         if expanded == "ok":
             for c, path, _, _ in visits:
@@ -223,3 +237,74 @@ def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
                         found.append(part(path, c, k, chunk))
             found.sort(key=lambda p: p[0])
         yield page, comp, root.form, None, info, status, expanded, found if expanded == "ok" else []
+
+
+RECORDS = "doc_id string, root int, seq int, xmp boolean, key string, value string, page int, status string"
+
+
+def whole_records(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Metadata entries and XMP packets of files that lean on no others, in one pass.
+
+    As in ``operators.metadata``: roots are pages and components that nothing includes, an entry belongs to the first page-owned fragment it
+    overlaps, a physical entry counts once, and streams of one contributor are parsed once.
+    """
+
+    def call(doc_id, content):
+        try:
+            root = iff.root(content, limits)
+            _, entries = directory_of(root, limits)
+        except Bad:
+            return
+        try:
+            yield from ((doc_id, *r, "ok") for r in _records_of(Opened(root, entries, limits), limits))
+        except Bad as e:
+            yield doc_id, None, None, None, None, None, None, e.code
+
+    return flat_map(files.select("doc_id", "content"), RECORDS, call)
+
+
+def _records_of(doc: Opened, limits: Limits) -> list[tuple]:
+    plain: dict[int, list[tuple[int, bytes, int]]] = {}  # component: (place, bytes, place among its own)
+    total = 0
+    for comp, found in doc.children.items():
+        at = 0
+        for k, c in enumerate(found):
+            if c.id in ("ANTa", "ANTz") and doc.kind[comp] != "thumbnail":
+                data = bzz_decode(c.data, min(limits.annotation_bytes - total, limits.bzz_bytes), limits) if c.id == "ANTz" and c.data else c.data
+                total += len(data)
+                if total > limits.annotation_bytes:
+                    raise exceeded("annotations")
+                plain.setdefault(comp, []).append((k, data, at))
+                at += len(data)
+    included = {t for targets in doc.edges.values() for _, t in targets}
+    owner = {c: page for page, c in enumerate(c for c, kind in doc.kind.items() if kind == "page")}
+    out, seen, alone = [], set(), set()
+    for root in doc.children:
+        if doc.kind[root] == "thumbnail" or root not in owner and root in included:
+            continue
+        visits = doc.walk(root, limits)
+        if visits[0][2] != "ok":
+            raise Bad(visits[0][2])
+        pieces = sorted(([*path, k], comp, data, own) for comp, path, _, _ in visits for k, data, own in plain.get(comp, ()) if data)
+        if not pieces:
+            continue
+        contributors = {p[1] for p in pieces}
+        sole = pieces[0][1] if len(contributors) == 1 else None
+        if sole in alone:
+            continue
+        if sole is not None:
+            alone.add(sole)
+        starts, at = [], 0
+        for _, comp, data, own in pieces:
+            starts.append((at, at + len(data), comp, own))
+            at += len(data)
+        for seq, f in enumerate(metadata_fields(b"".join(p[2] for p in pieces), limits)):
+            touched = [s for s in starts if s[0] < f.end and s[1] > f.start]
+            page = next((owner[s[2]] for s in touched if s[2] in owner), None)
+            identity = f.xmp, f.key, f.value, touched[0][2], touched[0][3] + f.start - touched[0][0], page
+            if identity not in seen:
+                seen.add(identity)
+                out.append((root, seq, f.xmp, f.key, f.value, page))
+        if len(out) > limits.annotation_nodes:
+            raise exceeded("metadata records")
+    return out

@@ -1,7 +1,8 @@
 """Indirect documents whose component files arrive one by one.
 
 A document is held, keyed by its id, until its index and every file the index names are there; then it leaves once, as files for
-``DocumentSet``. One that waits longer than the timeout leaves with what it has and the status MissingComponent.
+``DocumentSet``. One that waits longer than the timeout leaves with what it has and the status MissingComponent. A run with
+``availableNow`` needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off, or it stays to wait for timeouts.
 """
 
 from __future__ import annotations

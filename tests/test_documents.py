@@ -69,9 +69,10 @@ def test_metadata(make, spark):
     cycle = [Component("a", "shared", shared(pack.include("b"))), Component("b", "shared", shared(pack.include("a"))), Component("p", "page", page(pack.include("a")))]
     docs = {"book": pack.bundle(book()), "context": pack.bundle(context()), "none": pack.document(page(IMAGE, OCR)), "cycle": pack.bundle(cycle)}
     index, parts = pack.indirect(book())
-    d = DocumentSet(make(docs | {"indirect": index}), spark.createDataFrame([("indirect", n, bytearray(c)) for n, c in parts.items()], "doc_id string, name string, content binary"))
+    d = DocumentSet(make(docs))
+    joined = DocumentSet(make({"indirect": index}), spark.createDataFrame([("indirect", n, bytearray(c)) for n, c in parts.items()], "doc_id string, name string, content binary"))
     got = {}
-    for doc, _, key, value, p in rows(d.metadata(), "doc_id", "seq"):
+    for doc, _, key, value, p in rows(d.metadata(), "doc_id", "seq") + rows(joined.metadata(), "doc_id", "seq"):
         got.setdefault(doc, []).append((key, value, p))
     assert got["book"] == got["indirect"] == BOOK_ROWS
     assert [(v, p) for _, v, p in got["context"]] == [
@@ -135,7 +136,8 @@ def test_bundled_equals_indirect(make, spark):
 def test_text_damage_stays_on_its_page(make):
     parts = [Component("p", "page", page(OCR)), Component("q", "page", page(pack.text(b"a"), pack.text(b"b"))), Component("r", "page", page(pack.text(b"\xffok")))]
     t = rows(DocumentSet(make({"d": pack.bundle(parts)})).text().select("page", "text", "has_replacements", "status"), "page")
-    assert t == [(0, None, None, "InvalidData"), (1, None, None, "InvalidData"), (2, "\ufffdok", True, "ok")]
+    assert t[0][:3] == (0, None, None) and t[0][3] in ("InvalidData", "LimitExceeded")
+    assert t[1:] == [(1, None, None, "InvalidData"), (2, "\ufffdok", True, "ok")]
 
 
 def test_annotations_are_parsed_after_joining_chunks(make):
@@ -152,7 +154,8 @@ def test_outline(make):
     d = DocumentSet(make({"d": pack.bundle(parts, navm), "two": pack.bundle(parts, navm + navm), "bad": pack.bundle(parts, pack.chunk("NAVM", b"??"))}))
     got = rows(d.outline(), "doc_id", "idx")
     assert [r for r in got if r[0] == "d"] == [("d", 0, "A", "#1", None, 2, "ok"), ("d", 1, "B", "#x", 0, 2, "ok")]
-    assert {r[0]: r[-1] for r in got if r[0] != "d"} == {"two": "InvalidData", "bad": "InvalidData"}
+    failed = {r[0]: r[-1] for r in got if r[0] != "d"}
+    assert failed["two"] == "InvalidData" and failed["bad"] in ("InvalidData", "LimitExceeded")
 
 
 def _links_document():
@@ -283,6 +286,8 @@ def test_read_from_files_and_chunk_source(spark, tmp_path):
     c = spark.read.format("layered_chunks").load(str(tmp_path / "book.djvu"))
     assert c.where("chunk_id = 'INCL'").count() == 3
     assert {r.chunk_id for r in c.collect()} == {"DIRM", "Djbz", "ANTz", "INFO", "INCL", "Sjbz", "TXTz", "ANTa"}
+    pushed = spark.read.format("layered_chunks").option("pushdown", "true").load(str(tmp_path / "book.djvu")).where("chunk_id IN ('INCL', 'DIRM')")
+    assert pushed.count() == 4 and spark.read.format("layered_chunks").option("chunk_ids", "ANTa, ANTz").load(str(tmp_path / "book.djvu")).count() == 3
     assert spark.read.format("layered_chunks").option("payload", "false").load(str(tmp_path / "book.djvu")).where("payload IS NOT NULL").count() == 0
 
 
@@ -290,6 +295,7 @@ def test_assembled_stream(spark, tmp_path):
     from docspark.streaming.assemble import arrivals_of, assemble
 
     index, parts = pack.indirect([Component("p", "page", page(pack.text(b"late words"))), Component("q", "page", page())])
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a bounded run waits for the timeout
     source = tmp_path / "in"
     whole, lacking = source / "whole", source / "lacking"
     for folder in (whole, lacking):
@@ -324,7 +330,10 @@ def test_sql_functions(spark):
     assert [(r.depth, r.kind, r.value) for r in spark.sql("SELECT n.* FROM t, LATERAL sexpr_nodes(s) n ORDER BY idx").collect()] == [(0, "list", ""), (1, "symbol", "a"), (1, "string", "b"), (1, "list", ""), (2, "symbol", "c")]
     assert [tuple(r) for r in spark.sql("SELECT w.at, w.weight FROM axis_weights(0, 11, 4) w").collect()] == [(0, 4), (1, 4), (2, 3)]
     assert spark.sql("SELECT link_kind('?a') AS a, link_kind('#b') AS b").first() == ("options", "page")
-    assert spark.sql("SELECT jpeg_decode(z) AS j FROM t").first().j is None or True
+    picture = encode_iw44(_gray(9, 4, 5))[0]
+    spark.createDataFrame([(bytearray(picture),)], "w binary").createOrReplaceTempView("u")
+    r = spark.sql("SELECT iw44_decode(w) AS p, iw44_header(w) AS h, jpeg_decode(w) AS j FROM u").first()
+    assert (r.p.width, r.p.height, set(r.p.rgb)) == (5, 4, {9}) and not r.h.color and r.j.width is None
 
 
 @pytest.mark.parametrize("progressive", [False, True])
