@@ -112,10 +112,18 @@ def repeated_intervals(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     n = len(raw)
     big = _words(np.concatenate((raw, np.zeros(8, np.uint8)))).byteswap()
     order = np.argsort(big)
+    # The last suffixes end inside their word: each comes before all that go on with NUL where it ends, and equals none.
+    tail = np.arange(max(0, n - 7), n)[::-1]
+    tail = tail[np.argsort(big[tail], kind="stable")]
+    rest = order[order < n - 7]
+    order = np.insert(rest, np.searchsorted(big[rest], big[tail]), tail)
+    short = order >= n - 7
     depth = 8
     key = big
     while True:
         change = np.concatenate(([False], key[order[1:]] != key[order[:-1]]))
+        if depth == 8:
+            change[1:] |= short[1:] | short[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(change)
         if depth >= length or rank[order[-1]] == n - 1:
