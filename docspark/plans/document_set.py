@@ -109,7 +109,8 @@ class DocumentSet:
 
     @cached_property
     def containers(self) -> DataFrame:
-        return documents.containers(self.files, self.limits)
+        """Directories only, no payloads: kept, as most tables of linked documents read them more than once."""
+        return documents.containers(self.files, self.limits).persist()
 
     @cached_property
     def forms(self) -> DataFrame:
@@ -442,7 +443,7 @@ class DocumentSet:
 
     def persist(self) -> DocumentSet:
         """Keep the parsed forms; later tables read them instead of the files."""
-        self.containers = self.containers.persist()
+        self.containers.persist()
         self.forms = self.forms.persist()
         return self
 

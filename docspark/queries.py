@@ -28,6 +28,15 @@ def _whole(files: DataFrame) -> DocumentSet:
     return DocumentSet(files, linked=False)
 
 
+def _pack(rows: DataFrame, call, batch: int = 1024) -> DataFrame:
+    """Files packed from rows, spread over the cores by their first column, as packing is work and small tables come in one part."""
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = "__key"
+    keyed = rows.toDF(key, *[f"c{k}" for k in range(1, len(rows.columns))])
+    return flat_map(keyed.repartition(n, key), FILES, call, batch)
+
+
 def _t(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +54,7 @@ def _page(*chunks: bytes, **info) -> bytes:
 
 def text_roundtrip(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
-    files = flat_map(rows, FILES, lambda d, text: [(d, _page(pack.text(text.encode())))], 256)
+    files = _pack(rows, lambda d, text: [(d, _page(pack.text(text.encode())))], 256)
     return _whole(files).text().select(_key("doc_id"), "text", "status")
 
 
@@ -68,7 +77,7 @@ def zone_words(spark, sf_dir):
         yield d, _page(pack.text(data, tree, 100))
 
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
-    z = _whole(flat_map(rows, FILES, call, 64)).zones()
+    z = _whole(_pack(rows, call, 64)).zones()
     words = z.where("kind = 'word'").select("doc_id", "page", F.col("parent").alias("line"), "text_length")
     counted = words.groupBy("doc_id", "page", "line").agg(F.count("*").alias("n_words"), F.sum("text_length").alias("n_bytes"))
     lines = z.where("kind = 'line'").select("doc_id", "page", F.col("idx").alias("line"), F.col("y").cast("bigint").alias("line_no"), (F.col("subtree_end") - F.col("idx") - 1).cast("bigint").alias("n_below"))
@@ -84,7 +93,7 @@ def utf8_repair(spark, sf_dir):
         yield d, _page(pack.text(bytes(raw)))
 
     rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
-    t = _whole(flat_map(rows, FILES, call, 256)).text()
+    t = _whole(_pack(rows, call, 256)).text()
     bad = F.length(F.col("text")) - F.length(F.translate("text", "�", ""))
     return t.select(_key("doc_id"), "has_replacements", bad.cast("bigint").alias("n_replaced"), F.length("bytes").cast("bigint").alias("n_bytes"))
 
@@ -101,7 +110,7 @@ def page_info(spark, sf_dir):
         info = w.to_bytes(2, "big") + h.to_bytes(2, "big") + bytes([26, 0]) + dpi.to_bytes(2, "little") + bytes([gamma, flags])
         yield d, pack.document(pack.form("DJVU", pack.chunk("INFO", info)))
 
-    return _whole(flat_map(rows, FILES, call)).pages().select(_key("o_orderkey"), "width", "height", "dpi", "rotation", "gamma_tenths", "status")
+    return _whole(_pack(rows, call)).pages().select(_key("o_orderkey"), "width", "height", "dpi", "rotation", "gamma_tenths", "status")
 
 
 def pages_rollup(spark, sf_dir):
@@ -164,7 +173,7 @@ def chunk_inventory(spark, sf_dir):
     def call(d, turns):
         yield d, pack.bundle([Component(f"p{k}", "page", pack.form("DJVU", pack.info(100, 100), pack.text(t["text"].encode()))) for k, t in enumerate(turns)])
 
-    t = _whole(flat_map(turns, FILES, call, 256)).text().where("status = 'ok'")
+    t = _whole(_pack(turns, call, 256)).text().where("status = 'ok'")
     return t.groupBy(_key("conv_id")).agg(F.count("*").alias("n_pages"), F.max("page").cast("bigint").alias("last_page"), F.sum(F.length("text")).cast("bigint").alias("n_chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
@@ -177,7 +186,7 @@ def include_closure(spark, sf_dir):
         pages = [Component(f"p{k}", "page", pack.form("DJVU", pack.info(9, 9), pack.include(f"role-{t['role']}"), pack.chunk("SAID", t["text"].encode()))) for k, t in enumerate(turns)]
         yield d, pack.bundle(shared + pages)
 
-    c = _whole(flat_map(turns, FILES, call, 256)).page_chunks().where("chunk_id IN ('ROLE', 'SAID')")
+    c = _whole(_pack(turns, call, 256)).page_chunks().where("chunk_id IN ('ROLE', 'SAID')")
     said = c.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("payload").cast("string").alias("s")))), lambda x: x["s"]), "|").alias("said"))
     return said.select(_key("conv_id"), F.col("page").cast("bigint").alias("page"), "said")
 
@@ -191,7 +200,7 @@ def missing_components(spark, sf_dir):
         yield d, pack.indirect([Component(f"o{k}", "page", page) for k in keys])[0]
 
     supplied = orders.where("o_orderstatus <> 'O'").select("doc_id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.lit(pack.document(page)).alias("content"))
-    m = DocumentSet(flat_map(lists, FILES, call, 256), supplied).missing("page")
+    m = DocumentSet(_pack(lists, call, 256), supplied).missing("page")
     return m.select(_key("o_custkey"), F.col("page").cast("bigint").alias("page"), "id")
 
 
@@ -207,7 +216,7 @@ def outline_tree(spark, sf_dir):
             entries += [(s, "", 0) for s in n["names"]]
         yield d, pack.bundle([Component("p", "page", pack.form("DJVU", pack.info(5, 5)))], pack.outline(entries))
 
-    o = _whole(flat_map(rows, FILES, call)).outline()
+    o = _whole(_pack(rows, call)).outline()
     up = o.select("doc_id", F.col("idx").alias("parent"), F.col("title").alias("parent_title"))
     return o.join(up, ["doc_id", "parent"], "left").select(_key("r_regionkey"), "title", "parent_title", (F.col("subtree_end") - F.col("idx") - 1).cast("bigint").alias("n_below"))
 
@@ -225,7 +234,7 @@ def metadata_scan(spark, sf_dir):
     def call(d, name, brand, type_):
         yield d, _page(pack.annotations(f"(metadata (name {_quoted(name)}) (brand {_quoted(brand)})) (metadata (type {_quoted(type_)}))".encode()))
 
-    m = _whole(flat_map(rows, FILES, call)).metadata()
+    m = _whole(_pack(rows, call)).metadata()
     return m.select(_key("p_partkey"), F.col("seq").cast("bigint").alias("seq"), "key", "value", F.col("page").cast("bigint").alias("page"))
 
 
@@ -236,7 +245,7 @@ def metadata_last_wins(spark, sf_dir):
     def call(d, kv):
         yield d, _page(pack.annotations("".join(f"(metadata ({x['k']} {_quoted(x['v'])}))" for x in kv).encode(), compressed=True))
 
-    m = _whole(flat_map(lists, FILES, call)).annotations().where("status = 'ok'").select("doc_id", F.posexplode("metadata").alias("seq", "m"))
+    m = _whole(_pack(lists, call)).annotations().where("status = 'ok'").select("doc_id", F.posexplode("metadata").alias("seq", "m"))
     return m.groupBy(_key("user_id"), F.col("m.key").alias("key")).agg(native.last_valid(F.col("m.value"), F.col("seq")).alias("value"))
 
 
@@ -247,7 +256,7 @@ def area_bounds(spark, sf_dir):
         shape = f'(maparea "#{nation}" "" (rect {key % 20} {nation} {key % 30 + 1} {nation + 2}) (hilite #00FF00))'
         yield str(key), _page(pack.annotations(shape.encode()), width=101, height=79, rotation=key % 4)
 
-    a = _whole(flat_map(rows, FILES, call)).areas()
+    a = _whole(_pack(rows, call)).areas()
     return a.select(_key("s_suppkey"), "href", "bounds.x", "bounds.y", "bounds.width", "bounds.height", F.col("style.highlight").alias("highlight"))
 
 
@@ -291,7 +300,7 @@ def mask_ink_mmr(spark, sf_dir):
     def call(d, bits):
         yield d, _page(pack.chunk("Smmr", encode_mmr(np.array(bits, np.uint8).reshape(8, 8))), width=8, height=8)
 
-    return _ink(_whole(flat_map(_bits(spark, sf_dir), FILES, call)).render(), "vec_id")
+    return _ink(_whole(_pack(_bits(spark, sf_dir), call)).render(), "vec_id")
 
 
 def mask_ink_jb2(spark, sf_dir):
@@ -300,14 +309,14 @@ def mask_ink_jb2(spark, sf_dir):
         halves = [(p[4 * k : 4 * k + 4][::-1], 0, 4 - 4 * k) for k in (0, 1)]
         yield d, _page(pack.chunk("Sjbz", encode_jb2(8, 8, halves)), width=8, height=8)
 
-    return _ink(_whole(flat_map(_bits(spark, sf_dir), FILES, call)).render(), "vec_id")
+    return _ink(_whole(_pack(_bits(spark, sf_dir), call)).render(), "vec_id")
 
 
 def bilevel_subsample(spark, sf_dir):
     def call(d, bits):
         yield d, _page(pack.chunk("Smmr", encode_mmr(np.array(bits, np.uint8).reshape(8, 8))), width=8, height=8)
 
-    files = flat_map(_bits(spark, sf_dir), FILES, call)
+    files = _pack(_bits(spark, sf_dir), call)
     r = _whole(files).render(files.select("doc_id", F.lit(0).alias("page"), F.lit(3).alias("subsample")))
 
     def values(doc_id, rgba):
@@ -350,7 +359,7 @@ def wavelet_constant(spark, sf_dir):
         gray = np.full((size % 9 + 1, size % 7 + 1), size * 5 % 256, np.uint8)
         yield d, pack.document(pack.form("PM44", *(pack.chunk("PM44", c) for c in encode_iw44(gray, (100,)))))
 
-    r = _whole(flat_map(rows, FILES, call, 256)).render()
+    r = _whole(_pack(rows, call, 256)).render()
 
     def gray(doc_id, width, height, rgba):
         v = np.frombuffer(rgba, np.uint8).reshape(-1, 4)
