@@ -54,6 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew if it is read in fewer parts than there are cores, as small tables are; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: T.StructType, rows: int = 4096) -> DataFrame:
     """mapInArrow whose function gets a batch as {column: list} and yields result rows; make() runs once a task.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docspark.llm import bpe, chat, lines, mixing, pii, quality, repeats, simhash, topk, toxicity
-from docspark.llm.common import table
+from docspark.llm.common import spread, table
 
 
 def op1_topk_segments(spark, sf_dir):
@@ -11,7 +11,7 @@ def op1_topk_segments(spark, sf_dir):
 
 
 def op2_bpe(spark, sf_dir):
-    return bpe.token_report(table(spark, sf_dir, "documents"))
+    return bpe.token_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_chat_format(spark, sf_dir):
@@ -19,11 +19,11 @@ def op3_chat_format(spark, sf_dir):
 
 
 def op4_simhash(spark, sf_dir):
-    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+    return simhash.simhash_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op6_pii_feistel(spark, sf_dir):
@@ -35,7 +35,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_toxic_segments(spark, sf_dir):
-    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_mix_sources(spark, sf_dir):
@@ -43,7 +43,7 @@ def op9_mix_sources(spark, sf_dir):
 
 
 def op10_repeat_bwt(spark, sf_dir):
-    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+    return repeats.repeat_report(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
