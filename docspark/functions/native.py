@@ -85,6 +85,35 @@ def geometry(width: Column, height: Column, stored: Column, subsample: Column, b
     )
 
 
+def transform(g: Column, width: Column, height: Column, subsample: Column, sized: Column, x: Column, y: Column) -> Column:
+    """struct<matrix,inverse>: affine maps [a, b, c, d, e, f] between source pixels and an output whose corner is (x, y)."""
+    real = lambda c: c.cast("double")
+    bw, bh, zero = real(g["base_width"]), real(g["base_height"]), F.lit(0.0)
+    sx = F.when(sized, bw / width).otherwise(F.lit(1.0) / subsample)
+    sy = F.when(sized, bh / height).otherwise(sx)
+    p = real(g["padding_top"]) * sy
+    row = lambda *parts: F.array(*parts)
+    turn = g["rotation"]
+    base = (
+        F.when(turn == 0, row(sx, zero, zero, sy, zero, p)).when(turn == 1, row(zero, -sx, sy, zero, p, bw))
+        .when(turn == 2, row(-sx, zero, zero, -sy, bw, bh - p)).otherwise(row(zero, sx, -sy, zero, bh - p, zero))
+    )
+
+    def both(m):
+        a, b, c, d, e, f = m[0], m[1], m[2], m[3], m[4] - x, m[5] - y
+        det = a * d - b * c
+        return F.struct(F.array(a, b, c, d, e, f).alias("matrix"), F.array(d / det, -b / det, -c / det, a / det, (c * f - d * e) / det, (b * e - a * f) / det).alias("inverse"))
+
+    return F.transform(F.array(base), both)[0]
+
+
+def request_is_valid(g: Column, subsample: Column, box_width: Column, box_height: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Whether a request's reduction, box and output rectangle are in range; region columns are null for the whole page."""
+    box = box_width.isNull() | ((subsample == 1) & (box_width > 0) & (box_height > 0))
+    region = x.isNull() | ((x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= g["page_width"]) & (y + height <= g["page_height"]))
+    return F.coalesce(subsample.between(1, 256) & box & region, F.lit(False))
+
+
 def map_rect(m: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     """struct<x,y,width,height>: box of a rectangle under an affine map given as array [a, b, c, d, e, f]."""
     xs = [m[0] * p + m[2] * q + m[4] for p in (x, x + w) for q in (y, y + h)]

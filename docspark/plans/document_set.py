@@ -362,10 +362,27 @@ class DocumentSet:
         return links.resolve_links(found, self._page_list.select("doc_id", "page", "id", "name", "title"))
 
     def geometry(self, requests: DataFrame) -> DataFrame:
-        """requests (doc_id, page, subsample, box_width, box_height, rotation) with g struct of output dimensions."""
-        p = self._page_info.select("doc_id", "page", F.col("info").alias("__i"), F.col("status").alias("__s"))
-        g = native.geometry(F.col("__i.width"), F.col("__i.height"), F.col("__i.rotation"), F.col("subsample"), F.col("box_width"), F.col("box_height"), F.col("rotation"))
-        return requests.join(p, ["doc_id", "page"], "left").withColumn("g", F.when(F.col("__s") == "ok", g)).withColumn("status", F.coalesce("__s", F.lit("InvalidArgument"))).drop("__i", "__s")
+        """requests (doc_id, page and any of subsample, box_width, box_height, rotation, x, y, width, height) with g, t and status.
+
+        g has the output's dimensions, t the affine maps from and to source pixels; both are null where the status isn't ok.
+        """
+        given = lambda n, default=None: F.coalesce(F.col(n).cast("int"), F.lit(default).cast("int")) if n in requests.columns else F.lit(default).cast("int")
+        ss, bw, bh, turn = given("subsample", 1), given("box_width"), given("box_height"), given("rotation", 0)
+        region = [given(n) for n in ("x", "y", "width", "height")]
+        p = self._page_rows(Wanted()).select("doc_id", "page", F.col("info").alias("__i"), F.col("status").alias("__s"))
+        rows = requests.join(p, ["doc_id", "page"], "left")
+        # Out-of-range numbers are replaced before they divide; their rows end as InvalidArgument.
+        safe = lambda c: F.when(c >= 1, c).otherwise(1)
+        box = lambda c: F.when(c.isNotNull(), safe(c))
+        g = native.geometry(F.col("__i.width"), F.col("__i.height"), F.col("__i.rotation"), safe(ss), box(bw), box(bh), turn)
+        rows = rows.withColumn("__g", F.when(F.col("__s") == "ok", g))
+        valid = native.request_is_valid(F.col("__g"), ss, bw, bh, *region)
+        status = F.when(F.col("__s") != "ok", F.col("__s")).when(F.col("__s").isNull() | ~valid, "InvalidArgument").otherwise("ok")
+        rows = rows.withColumn("status", status)
+        zero = F.lit(0)
+        t = native.transform(F.col("__g"), F.col("__i.width"), F.col("__i.height"), safe(ss), bw.isNotNull(), F.coalesce(region[0], zero), F.coalesce(region[1], zero))
+        fine = F.col("status") == "ok"
+        return rows.withColumn("g", F.when(fine, F.col("__g"))).withColumn("t", F.when(fine, t)).drop("__i", "__s", "__g")
 
     def _layers(self) -> DataFrame:
         """(doc_id, page, form_type, info, parts, status): what rendering a page needs."""

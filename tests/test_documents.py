@@ -415,3 +415,38 @@ def test_json_and_pictures(make, tmp_path):
     assert json.loads(sinks.metadata_json(d.metadata(), d.xmp()).first().json) == {"metadata": [{"key": "k", "value": "v", "page": 0}], "xmp": []}
     sinks.write_ppm(d.render(), str(tmp_path))
     assert (tmp_path / "d-0.ppm").read_bytes() == b"P6\n12 10\n255\n" + b"\xff" * 360
+
+
+def test_geometry_equals_the_renderer(make, spark):
+    from docspark.kernels import geometry as g
+    from docspark.kernels.core import Bad
+    from docspark.kernels.iff import Info
+
+    files = {f"r{r}": pack.document(page(info=pack.info(12, 10, rotation=r))) for r in range(4)}
+    rng = np.random.default_rng(0)
+    asked = []
+    for k in range(60):
+        box = (int(rng.integers(0, 40)), int(rng.integers(0, 40))) if k % 2 else (None, None)
+        region = tuple(int(v) for v in rng.integers(0, 5, 4)) if k % 3 == 0 else (None,) * 4
+        asked.append((f"r{k % 4}", int(k == 59), k, 1 if k % 2 else int(rng.integers(0, 6)), *box, int(rng.integers(0, 4)), *region))
+    schema = "doc_id string, page int, k int, subsample int, box_width int, box_height int, rotation int, x int, y int, width int, height int"
+    got = {r.k: r for r in DocumentSet(make(files)).geometry(spark.createDataFrame(asked, schema)).collect()}
+    for d, p, k, ss, bw, bh, turn, *region in asked:
+        r = got[k]
+        try:
+            if p:
+                raise Bad("InvalidArgument")
+            t = g.transform(Info(12, 10, 300, int(d[1])), g.Options(ss, None if bw is None else (bw, bh), turn, None if region[0] is None else tuple(region)))
+        except Bad as e:
+            assert (r.status, r.g, r.t) == (e.code, None, None)
+            continue
+        assert (r.status, r.g.page_width, r.g.page_height, r.g.rotation, r.g.base_width, r.g.base_height, r.g.padding_top) == ("ok", t.page_width, t.page_height, t.rotation, t.base_width, t.base_height, t.padding_top)
+        assert r.t.matrix == pytest.approx(list(t.matrix)) and r.t.inverse == pytest.approx(list(t.inverse))
+
+
+def test_cancel_tags(spark):
+    from docspark.plans.control import cancel, cancellable
+
+    with cancellable(spark, "render"):
+        assert "render" in spark.getTags() and spark.range(3).count() == 3
+    assert "render" not in spark.getTags() and cancel(spark, "nothing") == []
