@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import map_rows
 
-#: Entries of the caches of a worker: of chunks, of pre-tokens and of pairs.
-CACHE, PRETOKENS, PAIRS = 150_000, 200_000, 300_000
+#: Entries of the caches of a worker: of chunks and of pre-tokens, and of the table of pairs, a power of two.
+CACHE, PRETOKENS, PAIRS = 200_000, 300_000, 1 << 20
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 WHITE = "[\t-\r \x85\xa0  -     　]+"
@@ -77,7 +78,8 @@ class Vocabulary:
             self.merge.setdefault(a << 32 | b, rank)
             self.parts.setdefault(made, (rank, a, b))
             text.setdefault(made, text[a] + text[b])
-        self.pairs: dict[int, bool] = {}
+        #: Each slot has the last pair that fell on it, doubled, plus whether it stands; a pair of 0 and 0 is left out.
+        self.pairs = array("Q", bytes(8 * PAIRS))
         self.whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for i, s in text.items():
@@ -152,12 +154,12 @@ class Vocabulary:
                 before = last[start]
                 if before < 0:
                     continue
-                key = before << 32 | token
-                known = pairs.get(key)
-                if known is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    known = pairs[key] = self.stands(before, token)
+                slot = (before * 31153 ^ token) & PAIRS - 1
+                pair = (before << 32 | token) << 1
+                known = pairs[slot] ^ pair
+                if known > 1 or not pair:
+                    known = int(self.stands(before, token))
+                    pairs[slot] = pair | known
                 if not known:
                     continue
             last[end], back[end] = token, start
