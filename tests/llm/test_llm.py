@@ -290,6 +290,29 @@ def test_near_copies_by_similarity(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id < 1000").collect()) == sorted({got[k] for k in range(len(texts))})
 
 
+def crowd_of_copies(n, seed=11):
+    """Texts that share most of a template of 150 shingles; their pairs lie around a similarity of 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(154)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.choice(len(w), 2 + k % 2, replace=False):
+            w[at] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_copies_skip_no_candidate(spark, monkeypatch):
+    """With two keys a band nearly every pair is a candidate, so the groups hold all true pairs."""
+    monkeypatch.setattr(neardup, "bands_for", lambda n, similarity: (1, 8))
+    texts = crowd_of_copies(160)
+    sets = [slow_shingles(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)).collect()}
+    true = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert true and all(got[a] == got[b] for a, b in true)
+
+
 # 5
 
 
