@@ -313,6 +313,19 @@ def test_near_copies_skip_no_candidate(spark, monkeypatch):
     assert true and all(got[a] == got[b] for a, b in true)
 
 
+def test_near_copies_with_repeats(spark):
+    """Similarity is that of sets: how often a text repeats a phrase does not matter to the search either."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for k in range(20):
+        base, phrase = [f"b{k}w{x}" for x in range(304)], [f"p{k}w{x}" for x in range(10)]
+        texts += [" ".join(base), " ".join(base + phrase * int(rng.integers(10, 40)))]
+    sets = [slow_shingles(t) for t in texts]
+    assert all(len(sets[k] & sets[k + 1]) >= 0.9 * len(sets[k] | sets[k + 1]) for k in range(0, 40, 2))
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)).collect()}
+    assert all(got[k + 1] == k for k in range(0, 40, 2))
+
+
 # 5
 
 
