@@ -304,13 +304,20 @@ def crowd_of_copies(n, seed=11):
 
 
 def test_near_copies_skip_no_candidate(spark, monkeypatch):
-    """With two keys a band nearly every pair is a candidate, so the groups hold all true pairs."""
+    """True pairs that look similar in some band are always in one group, however many candidates between them fail."""
     monkeypatch.setattr(neardup, "bands_for", lambda n, similarity: (1, 8))
     texts = crowd_of_copies(160)
     sets = [slow_shingles(t) for t in texts]
     got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)).collect()}
-    true = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert true and all(got[a] == got[b] for a, b in true)
+    bits = np.array([np.unpackbits(np.array(neardup.wide_fingerprint(neardup.shingle_hashes(t.encode(), 5), 4), ">i8").view(np.uint8)) for t in texts])
+    share = neardup.differing_share(0.8)
+    most = int(256 * share + 2.5 * (256 * share * (1 - share)) ** 0.5)
+
+    def candidate(x, y):
+        return (x != y).sum() <= most and any(x[k] == y[k] and (x[k : k + 64] != y[k : k + 64]).sum() <= neardup.NEAR for k in range(8))
+
+    true = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and candidate(bits[a], bits[b])]
+    assert len(true) > 300 and all(got[a] == got[b] for a, b in true)
 
 
 def test_near_copies_with_repeats(spark):
@@ -326,6 +333,24 @@ def test_near_copies_with_repeats(spark):
     assert all(got[k + 1] == k for k in range(0, 40, 2))
 
 
+def test_bands_are_independent_at_any_size(spark):
+    """Recall of pairs at a similarity of 0.8 for the bands of 1e5, 1e7 and 1e9 documents; no two bands share a bit."""
+    rng = np.random.default_rng(17)
+    pairs_ = [(np.concatenate([x[:160], x[160:180]]), np.concatenate([x[:160], x[180:]])) for x in rng.integers(0, 2**64, (400, 200), dtype=np.uint64)]
+    for n in (10**5, 10**7, 10**9):
+        bits, bands = neardup.bands_for(n, 0.8)
+        count = neardup.words_for(bits, bands)
+        met = 0
+        for pair in pairs_:
+            a, b = (np.unpackbits(np.array(neardup.wide_fingerprint(x, count), ">i8").view(np.uint8))[: bits * bands].reshape(bands, bits) for x in pair)
+            met += bool((a == b).all(1).any())
+        assert met >= 0.92 * len(pairs_), (n, met)
+    words = neardup.wide_fingerprint(pairs_[0][0], 5)
+    whole = "".join(f"{w % 2**64:064b}" for w in words) * 2
+    got = spark.createDataFrame([(words, k) for k in range(0, 320, 7)], "w array<long>, k int").select("k", neardup._window("k", 5).alias("m")).collect()
+    assert all(f"{r.m % 2**64:064b}" == whole[r.k : r.k + 64] for r in got)
+
+
 # 5
 
 
