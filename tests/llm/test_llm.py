@@ -351,6 +351,22 @@ def test_bands_are_independent_at_any_size(spark):
     assert all(f"{r.m % 2**64:064b}" == whole[r.k : r.k + 64] for r in got)
 
 
+def test_near_copies_inside_a_crowd(spark, monkeypatch):
+    """Pairs just above 0.8 are found where crowded keys are cut into pieces."""
+    monkeypatch.setattr(neardup, "bands_for", lambda n, similarity: (2, 4))
+    monkeypatch.setattr(neardup, "PIECE", 2)
+    texts = []
+    for k in range(150):
+        base = [f"shared{x}" for x in range(100)] + [f"own{k}w{x}" for x in range(140)]
+        copy = list(base)
+        for x in (105, 130, 155, 180, 205):
+            copy[x] = f"other{k}w{x}"
+        texts += [" ".join(base), " ".join(copy)]
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)).collect()}
+    assert all(r == d - d % 2 or r == d for d, r in got.items())
+    assert sum(got[k + 1] == k for k in range(0, 300, 2)) >= 0.9 * 150
+
+
 # 5
 
 
