@@ -87,8 +87,8 @@ class Vocabulary:
                 self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
-        self.pretokens: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.pretokens: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE[1:-2])
         self.words = regex.compile(split).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -170,19 +170,18 @@ class Vocabulary:
         out.reverse()
         return out
 
-    def pretoken(self, word: str) -> tuple[bytes, str]:
-        """Ids (little-endian 32 bits) and token names of one pre-token."""
-        ids = self.word(word)
-        packed, names = self.packed, self.names
-        got = b"".join([packed[i] for i in ids]), " ".join([names[i] for i in ids])
+    def pretoken(self, word: str) -> bytes:
+        """Ids (little-endian 32 bits) of one pre-token."""
+        packed = self.packed
+        got = b"".join([packed[i] for i in self.word(word)])
         if len(word) <= CACHE_CHARS:
             if len(self.pretokens) >= PRETOKENS:
                 self.pretokens.clear()
             self.pretokens[word] = got
         return got
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and token names of a chunk without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space."""
         if not chunk.isascii():
             plain = unicodedata.normalize("NFC", chunk)
             plain = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()
@@ -194,33 +193,39 @@ class Vocabulary:
         else:
             head, end = plain[:-1], plain[-1:]
             each = (head, end) if head.isalpha() and not end.isalpha() and not end.isnumeric() and head else self.words(plain)
-            found = [known(w) or self.pretoken(w) for w in each]
-            got = b"".join([i for i, _ in found]), " ".join([n for _, n in found])
+            got = b"".join([known(w) or self.pretoken(w) for w in each])
         if len(chunk) <= CACHE_CHARS:
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
             self.chunks[chunk] = got
         return got
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids of a whole text as little-endian 32 bits, and its decoded text: token names joined by spaces."""
-        ids, names = [], []
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian 32 bits."""
+        ids = []
         for piece in self.cut(text) if self.cut and "<" in text else (text,):
             if piece in self.special:
                 ids.append(self.special[piece].to_bytes(4, "little"))
-                names.append(piece)
                 continue
             odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
             for chunk in self.white(piece) if odd else piece.split():
-                i, n = self.chunks.get(chunk) or self.chunk(chunk)
-                if i:
-                    ids.append(i)
-                    names.append(n)
-        return b"".join(ids), " ".join(names)
+                ids.append(self.chunks.get(chunk) or self.chunk(chunk))
+        return b"".join(ids)
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a whole text, and the text that they decode to."""
+        ids = self.ids(text)
+        return ids, self.decode(np.frombuffer(ids, "<i4").tolist())
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, special tokens included: their names joined by spaces, as the file names no decoder; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.names[i] for i in ids if i in self.names)
+
+    def decoded_sha256(self, ids: np.ndarray) -> str:
+        return hashlib.sha256(self.decode(ids.tolist()).encode()).hexdigest()
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -241,8 +246,8 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         def step(batch):
             for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids, decoded = known.encode(text.as_py() or "")
-                yield d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                ids = known.ids(text.as_py() or "")
+                yield d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), known.decoded_sha256(np.frombuffer(ids, "<i4"))
 
         return step
 
@@ -250,12 +255,14 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows: int = 256, digest: str | None = None) -> DataFrame:
     """docs with the token ids of ``text`` as a column of arrays, which takes the place of one of that name.
 
+    ``digest`` names a further column, the SHA-256 of the text that the ids decode to.
+
     Rows leave the worker a few hundred at a time, so that neither side holds the ids of a whole batch.
     """
-    kept = [f for f in docs.schema.fields if f.name != column]
+    kept = [f for f in docs.schema.fields if f.name not in (column, digest)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +270,15 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                ids = [np.frombuffer(known.encode(t.as_py() or "")[0], "<i4") for t in part.column(names.index("text"))]
+                ids = [np.frombuffer(known.ids(t.as_py() or ""), "<i4") for t in part.column(names.index("text"))]
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, column])
+                decoded = [pa.array([known.decoded_sha256(i) for i in ids], pa.string())] if digest else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *decoded], names=[*names, column, *more])
 
-    return docs.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField(column, T.ArrayType(T.IntegerType()))]))
+    more = [digest] if digest else []
+    made = [T.StructField(column, T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in more)]
+    return docs.select(*names).mapInArrow(run, T.StructType([*kept, *made]))
 
 
 def decode(tokens: DataFrame, path: str | None = None, column: str = "ids", to: str = "decoded") -> DataFrame:

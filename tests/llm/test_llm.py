@@ -148,6 +148,16 @@ def test_encode_and_decode_columns(edge, none):
     assert bpe.encode(none).collect() == [] == bpe.token_report(none).collect()
 
 
+def test_last_stage_decodes_the_ids(spark, edge, sf):
+    import corpus_pipeline as p
+
+    names = bpe.vocabulary().names
+    for r in p.bpe_encode(spark, edge, sf).collect():
+        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(" ".join(names[i] for i in r.ids).encode()).hexdigest()
+    v = bpe.vocabulary()
+    assert v.decoded_sha256(np.array([5, 10**9, 6])) == hashlib.sha256(f"{names[5]} {names[6]}".encode()).hexdigest()
+
+
 # 3
 
 
