@@ -8,9 +8,9 @@ How likely a segment of that score is in clean text of that length follows an ex
 clean words and whose size is fitted on clean documents; a document's evidence is that of its best segment and of all significant ones
 together, which a logistic curve turns into a score from 0 to 1.
 
-Features are counted on at most ``TRAIN_DOCS`` labelled training documents and law and curve fitted on at most ``FIT_DOCS``, both the
-first by hash of doc_id, so that only ids are broadcast and no text is shuffled; the table of scored features is bounded by
-``FEATURES``. These are the only bounds; every document is scored in full.
+Features are counted over all training rows, added up in each task before counts are shuffled; ids are broadcast if they were counted as few,
+else texts are joined with them. The table of scored features is bounded by ``FEATURES``, and law and curve are fitted on at most ``FIT_DOCS``
+labelled documents by hash of doc_id: these are the only bounds; every document is scored in full.
 
 Defined cases: a null or empty text has no words and scores as clean; a null doc_id is no training row and not held out; labels that repeat
 a doc_id count once, toxic if any says so; without both classes every score is 0; an empty table gives an empty result; other
@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import map_rows, materialize, utf8
 
-#: Features with scores at most; labelled documents of the counts and of the calibration at most.
-FEATURES, TRAIN_DOCS, FIT_DOCS = 50_000, 50_000, 20_000
+#: Features with scores at most; labelled documents of the calibration at most.
+FEATURES, FIT_DOCS = 50_000, 20_000
+#: Ids are broadcast only after they were counted and found to be at most this many.
+BROADCAST_IDS = 200_000
 #: Deviations that log-odds must stand clear of; least drift a word; chance of a significant segment.
 CLEAR, DRIFT, CHANCE = 3.0, 0.08, 0.01
 PREDICT = 0.7
@@ -154,14 +156,18 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, schema, 20_000).groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
+def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.xxhash64(F.lit("toxic"), "doc_id")
-    chosen = materialize(training_rows(labels).orderBy(order, "doc_id").limit(TRAIN_DOCS), "toxic-rows")
-    rows = texts.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").withColumn("same", F.xxhash64("text"))
-    first = rows.groupBy("same", F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    chosen = materialize(training_rows(labels), "toxic-rows")
+    rows = _with_ids(texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("same"), F.length("text").alias("n")), chosen)
+    first = rows.groupBy("same", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     first = materialize(first.select("doc_id", "toxic"), "toxic-once")
-    counts = materialize(feature_counts(texts.join(F.broadcast(first), "doc_id").select("toxic", "text")), "toxic-features")
+    counts = materialize(feature_counts(_with_ids(texts, first).select("toxic", "text")), "toxic-features")
     n1, n0 = counts.agg(F.sum("n1"), F.sum("n0")).first()
     if not n1 or not n0:
         return None

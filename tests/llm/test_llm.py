@@ -570,6 +570,23 @@ def test_toxicity_cases(edge, none, labels):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
 
 
+def test_toxicity_learns_from_all_training_rows(spark, monkeypatch):
+    """A word that only 60 of 60,000 labelled rows hold has its score, whether ids are broadcast or joined."""
+    ids = spark.range(90_000).select(F.col("id").alias("doc_id"))
+    rare = F.col("doc_id") % 1000 < 1
+    docs = ids.withColumn("text", F.concat(F.lit("plain words "), F.col("doc_id").cast("string"), F.when(rare, F.lit(" vilest")).otherwise(F.lit(""))))
+    labels = ids.withColumn("toxic", rare.cast("int"))
+    counts, real = [], toxicity.feature_counts
+    monkeypatch.setattr(toxicity, "feature_counts", lambda rows: counts.append(real(rows)) or counts[-1])
+    want = toxicity.training_rows(labels)
+    for most in (toxicity.BROADCAST_IDS, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST_IDS", most)
+        assert "vilest$" in toxicity.train(docs, labels).score
+        got = {r.feature: (r.n1, r.n0) for r in counts[-1].where("feature IN ('plain$', 'vilest$')").collect()}
+        toxic = want.where("toxic = 1").count()
+        assert want.count() > 55_000 and got == {"plain$": (toxic, want.count() - toxic), "vilest$": (toxic, 0)}
+
+
 # 9
 
 
