@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,17 +23,38 @@ BROADCAST_ROWS = 20_000
 _own: dict[str, str] = {}
 
 
+#: Arrow batches between the JVM and Python hold about this many bytes, unless the session says otherwise.
+BATCH_BYTES = "4m"
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one of our own only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; without one a folder of our own in local mode, where all tasks see it, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="docspark-")
     return _own[key]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that long texts don't add up; a setting of the session's own stays."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if os.uname().sysname == "Linux" and hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, stays columnar."""
     spark = df.sparkSession
@@ -67,6 +90,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +103,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
                     out = []
         if out:
             yield to_batch(out, arrow)
+        del step, out
+        release()
 
     return df.mapInArrow(run, schema)
 

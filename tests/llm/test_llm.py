@@ -313,21 +313,83 @@ def crowd_of_copies(n, seed=11):
     return texts
 
 
+def rows_of(texts):
+    return [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+
+
+def fingerprint_bits(hashes):
+    return np.unpackbits(np.array(neardup.wide_fingerprint(hashes), ">i8").view(np.uint8))
+
+
 def test_near_copies_skip_no_candidate(spark, monkeypatch):
     """True pairs that look similar in some band are always in one group, however many candidates between them fail."""
-    monkeypatch.setattr(neardup, "bands_for", lambda n, similarity: (1, 8))
+    monkeypatch.setattr(neardup, "BANDS", 3)
+    monkeypatch.setattr(neardup, "ROWS", 1)
+    monkeypatch.setattr(neardup, "QUOTA", 1)
     texts = crowd_of_copies(160)
     sets = [slow_shingles(t) for t in texts]
-    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)).collect()}
-    bits = np.array([np.unpackbits(np.array(neardup.wide_fingerprint(neardup.shingle_hashes(t.encode(), 5), 4), ">i8").view(np.uint8)) for t in texts])
-    share = neardup.differing_share(0.8)
-    most = int(256 * share + 2.5 * (256 * share * (1 - share)) ** 0.5)
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    hashes = [np.unique(neardup.shingle_hashes(t.encode(), 5)) for t in texts]
+    bits, keys = [fingerprint_bits(h) for h in hashes], [neardup.band_keys(h, 3, 1) for h in hashes]
+
+    def candidate(a, b):
+        x, y = bits[a], bits[b]
+        near = (x != y).sum() <= neardup.most_differing(512, 0.8)
+        return near and any(keys[a][k] == keys[b][k] and (x[64 * k : 64 * k + 64] != y[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8) for k in range(3))
+
+    pairs_ = [(a, b, len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a) if candidate(a, b)]
+    assert sum(t for _, _, t in pairs_) > 300 and sum(not t for _, _, t in pairs_) > 300
+    assert all(got[a] == got[b] for a, b, t in pairs_ if t)
+
+
+def test_forest_is_the_minimum_one():
+    rng = np.random.default_rng(3)
+    for n in (2, 30, 300):
+        i, j = rng.integers(0, n, (2, 4 * n))
+        i, j = i[i != j], j[i != j]
+        differ = rng.integers(0, 9, len(i))
+        parent = list(range(n))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        cost = 0
+        for k in np.argsort(differ, kind="stable").tolist():
+            if root(i[k]) != root(j[k]):
+                parent[root(i[k])] = root(j[k])
+                cost += differ[k]
+        got = neardup.nearest_forest(n, i, j, differ)
+        assert differ[got].sum() == cost and len(got) == n - len({root(x) for x in range(n)}) and len(set(got.tolist())) == len(got)
+
+
+def test_near_copies_of_a_large_crowd(spark, monkeypatch):
+    """3,000 near copies whose keys are cut and dealt by hash are one group, and texts that only share half of theirs stay."""
+    monkeypatch.setattr(neardup, "PIECE", 32)
+    rng = np.random.default_rng(19)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(3000):
+        w = list(base)
+        w[int(rng.integers(0, 400))] = f"x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:200] + [f"s{k}w{x}" for x in range(200)]) for k in range(40)]
+    got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert all(got[k] == 0 for k in range(3000)) and all(got[k] == k for k in range(3000, 3040))
 
-    def candidate(x, y):
-        return (x != y).sum() <= most and any(x[k] == y[k] and (x[k : k + 64] != y[k : k + 64]).sum() <= neardup.NEAR for k in range(8))
 
-    true = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and candidate(bits[a], bits[b])]
-    assert len(true) > 300 and all(got[a] == got[b] for a, b in true)
+def test_near_copies_keep_one_cases(spark, odd, none):
+    assert neardup.keep_one(none).collect() == []
+    out = neardup.keep_one(odd)
+    assert out.columns == odd.columns
+    # 6 and both rows of 7 are one text, 3, 4 and 5 have no words, 8 repeats 1, rows without an id stay.
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 2, None, None, 3, 6, 9], key=repr)
+    # Texts of one doc_id link: 5 stands for 6, which also has the text of 7.
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(6, one), (6, two), (5, one), (7, two), (8, "other words"), (8, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("keys", F.lit(2)).withColumn("label", F.lit(3))
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [5, 8, 8]
 
 
 def test_near_copies_with_repeats(spark):
@@ -343,28 +405,29 @@ def test_near_copies_with_repeats(spark):
     assert all(got[k + 1] == k for k in range(0, 40, 2))
 
 
-def test_bands_are_independent_at_any_size(spark):
-    """Recall of pairs at a similarity of 0.8 for the bands of 1e5, 1e7 and 1e9 documents; no two bands share a bit."""
+def test_keys_and_filters_find_pairs_at_the_threshold(spark):
+    """Recall of pairs at a similarity of 0.8, which does not depend on how many documents there are."""
     rng = np.random.default_rng(17)
-    pairs_ = [(np.concatenate([x[:160], x[160:180]]), np.concatenate([x[:160], x[180:]])) for x in rng.integers(0, 2**64, (400, 200), dtype=np.uint64)]
-    for n in (10**5, 10**7, 10**9):
-        bits, bands = neardup.bands_for(n, 0.8)
-        count = neardup.words_for(bits, bands)
+    for n in (200, 50, 15):
         met = 0
-        for pair in pairs_:
-            a, b = (np.unpackbits(np.array(neardup.wide_fingerprint(x, count), ">i8").view(np.uint8))[: bits * bands].reshape(bands, bits) for x in pair)
-            met += bool((a == b).all(1).any())
-        assert met >= 0.92 * len(pairs_), (n, met)
-    words = neardup.wide_fingerprint(pairs_[0][0], 5)
+        for x in rng.integers(0, 2**64, (400, n), dtype=np.uint64):
+            a, b = (np.sort(y) for y in (np.concatenate([x[: n * 8 // 10], x[n * 8 // 10 : n * 9 // 10]]), np.concatenate([x[: n * 8 // 10], x[n * 9 // 10 :]])))
+            fa, fb = fingerprint_bits(a), fingerprint_bits(b)
+            near = (fa != fb).sum() <= neardup.most_differing(512, 0.8)
+            keys = zip(neardup.band_keys(a, neardup.BANDS, neardup.ROWS), neardup.band_keys(b, neardup.BANDS, neardup.ROWS), strict=True)
+            word = [(fa[64 * k : 64 * k + 64] != fb[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8) for k in range(8)]
+            met += bool(near and any(x == y and word[k] for k, (x, y) in enumerate(keys)))
+        assert met >= 0.95 * 400, (n, met)
+    words = neardup.wide_fingerprint(x)
     whole = "".join(f"{w % 2**64:064b}" for w in words) * 2
-    got = spark.createDataFrame([(words, k) for k in range(0, 320, 7)], "w array<long>, k int").select("k", neardup._window("k", 5).alias("m")).collect()
+    got = spark.createDataFrame([(words, k) for k in range(0, 512, 7)], "w array<long>, k int").select("k", neardup._window("k").alias("m")).collect()
     assert all(f"{r.m % 2**64:064b}" == whole[r.k : r.k + 64] for r in got)
 
 
 def test_near_copies_inside_a_crowd(spark, monkeypatch):
     """Pairs just above 0.8 are found where crowded keys are cut into pieces."""
-    monkeypatch.setattr(neardup, "bands_for", lambda n, similarity: (2, 4))
-    monkeypatch.setattr(neardup, "PIECE", 2)
+    monkeypatch.setattr(neardup, "ROWS", 1)
+    monkeypatch.setattr(neardup, "PIECE", 8)
     texts = []
     for k in range(150):
         base = [f"shared{x}" for x in range(100)] + [f"own{k}w{x}" for x in range(140)]
