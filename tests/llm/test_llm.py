@@ -63,47 +63,81 @@ def lowered(text):
 
 
 def brute_top_k(rows, every, k):
-    v = {i: np.floor(64 * np.array(x, np.float64)).astype(int) for i, x in rows if i is not None and x is not None and len(x) and all(a is not None and np.isfinite(a) for a in x)}
+    v = {i: [int(np.floor(64 * a)) for a in x] for i, x in rows if i is not None and x is not None and all(a is not None and np.isfinite(a) for a in x)}
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))  # noqa: E731  a shorter one counts as padded
     out = []
     for q in v:
         if q % every == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k]
+            best = sorted((-score(v[q], v[c]), c) for c in v if c != q)[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
 
+def as_float32(rows):
+    return [(i, None if x is None else [None if a is None else float(np.float32(a)) for a in x]) for i, x in rows]
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_top_k(spark, clustered, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 64)
-    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "SAMPLE", 100)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(5, 16)) if clustered else np.zeros((5, 16))
     rows = [(k, (base[k % 5] + rng.normal(size=16) * 0.3).round(2).tolist()) for k in range(300)]
-    rows += [(300, None), (301, [float("nan")] * 16), (302, [None, *[1.0] * 15]), (303, [float("inf")] * 16), (304, rows[0][1]), (320, []), (None, [1.0] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    f32 = [(i, None if x is None else [None if a is None else float(np.float32(a)) for a in x]) for i, x in rows]
-    assert sorted(map(tuple, topk.search_report(df).collect())) == brute_top_k(f32, 20, 20)
+    rows += [(300, None), (301, [float("nan")] * 16), (302, [None, *[1.0] * 15]), (303, [float("inf")] * 16), (304, rows[0][1]), (320, []), (None, [1.0] * 16), (305, [2.5, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("cluster", F.lit("c")).withColumn("v", F.lit("v"))
+    assert sorted(map(tuple, topk.search_report(df).collect())) == brute_top_k(as_float32(rows), 20, 20)
 
 
 def test_segment_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(40, 64)) * 50, rng.normal(size=(50, 64)) * 50
     last = None
-    for s in topk.LEVELS:
-        bound = topk.segment_features(a, s) @ topk.segment_features(b, s).T
+    for h in topk.HEADS:
+        edges = topk.edges_of(64, h)
+        bound = topk.segment_features(a, edges) @ topk.segment_features(b, edges).T
         assert (bound >= a @ b.T - 1e-6).all()
         if last is not None:
             assert (bound <= last + 1e-6).all()
         last = bound
+    space = topk.fit_space(b, 64, 4)
+    assert np.allclose(space.turned(a) @ space.turned(b).T, a @ b.T)
+    assert [topk.edges_of(n, 8).tolist() for n in (1, 8, 9, 20)] == [[0, 1], list(range(9)), list(range(10)), [*range(9), 16, 20]]
 
 
-def test_top_k_of_few_rows(spark):
-    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert topk.search_report(empty).collect() == []
-    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0]), (0, [1.0, 2.0])], "vec_id long, embedding array<float>")
+def test_top_k_prunes_clustered_rows():
+    """Most rows never reach exact scoring, and most clusters are never sent a query, where vectors have any structure."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 64))
+    x = topk.quantized(base[np.arange(4000) % 40] + rng.normal(size=(4000, 64)) * 0.15)
+    space = topk.fit_space(x[:1000], 64, 40)
+    cluster, far = space.nearest(x)
+    radii = np.array([far[cluster == c].max(initial=-1) for c in range(len(space.centres))])
+    ids, at = np.arange(4000), np.flatnonzero(cluster == cluster[0])
+    tally = {}
+    _, limits = topk.search_cell(space, ids[at], x[at], np.full(len(at), -np.inf), ids[at], x[at], 20)
+    fine = topk.promising(space, radii, x[at], limits)
+    (q, v, s), _ = topk.search_cell(space, ids[at], x[at], np.full(len(at), -np.inf), ids, x, 20, tally)
+    exact = x[at] @ x.T
+    exact[np.arange(len(at)), at] = -np.inf
+    assert (s.reshape(len(at), 20) == -np.sort(-exact, axis=1)[:, :20]).all()
+    assert all(fine[k, cluster[j]] for k in range(len(at)) for j in np.argsort(-exact[k], kind="stable")[:20])
+    assert fine.mean() < 0.3 and tally["scored"] < 0.2 * tally["pairs"]
+
 
-    got = {r.vec_id: r.score for r in topk.search_report(few).collect()}
-    assert got == {1: 64 * 64 * 5, 2: 64 * 192}
+def test_top_k_of_few_rows(spark):
+    kind = "vec_id long, embedding array<float>"
+    assert topk.search_report(spark.createDataFrame([], kind)).collect() == []
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0]), (0, [1.0, 2.0]), (1, [5.0, 2.0])], kind)
+    assert {r.vec_id: r.score for r in topk.search_report(few).collect()} == {1: 64 * 64 * 5, 2: 64 * 192}
+    large = [(0, [3e6, 0.0]), (1, [3e6, 0.0]), (2, [3e6, 0.0]), (3, []), (4, [1e-30, -5.0])]
+    assert sorted(map(tuple, topk.search_report(spark.createDataFrame(large, kind)).collect())) == brute_top_k(as_float32(large), 20, 20)
+    assert topk.exact_scores(np.array([[2.0**40, 1.0, -(2.0**40)]]), np.array([[2.0**30, 7.0, 2.0**30]])).tolist() == [7]
+    with pytest.raises(OverflowError):
+        topk.exact_scores(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.search_report(spark.createDataFrame([(0, [1e30]), (1, [1e30])], kind)).collect()
 
 
 # 2
