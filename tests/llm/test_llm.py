@@ -702,28 +702,71 @@ def slow_targets(sizes):
         capped |= over
 
 
+def check_mix(df):
+    """Targets as defined, words near them, copies whole, and the mixture itself has as many rows of each document."""
+    got = mixing.mix_report(df).collect()
+    assert len(got) == df.count()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_report(df.repartition(3)).collect()), key=repr)
+    source = {r.doc_id: r.source for r in df.select("doc_id", "source").collect()}
+    sizes, taken, mean = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in df.select("source", F.coalesce("text", F.lit("")).alias("text")).collect():
+        sizes[r.source] += len(words_of(r.text))
+        mean[r.source].append(len(words_of(r.text)))
+    expected = slow_targets(sizes)
+    for r in got:
+        assert r.taken == r.copies * r.size <= 3 * r.size
+        if r.doc_id is not None:
+            s = source[r.doc_id]
+            assert r.source_size == sizes[s] and r.target == pytest.approx(expected[s])
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        taken[r.source] += len(words_of(r.text or ""))
+    assert sum(taken.values()) == sum(r.taken for r in got)
+    count = lambda rows: sorted((repr(r.doc_id), r["count"]) for r in rows if r["count"])
+    assert count(out.where("doc_id IS NOT NULL").groupBy("doc_id").count().collect()) == count(mixing.mix_report(df).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("copies").alias("count")).collect())
+    return {s: (taken[s], expected[s], min((m for m in mean[s] if m), default=0)) for s in sizes}
+
+
 def test_mixing(docs, odd, none):
-    for df in (docs, odd):
-        source = {r.doc_id: r.source for r in df.select("doc_id", "source").collect()}
-        got = mixing.mix_report(df).collect()
-        assert len(got) == df.count()
-        sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
-        rows = df.select("source", F.coalesce("text", F.lit("")).alias("text")).collect()
-        for r in rows:
-            sizes[r.source] += len(words_of(r.text))
-            largest[r.source] = max(largest[r.source], len(words_of(r.text)))
-        expected = slow_targets(sizes)
-        if df is docs:
-            for r in got:
-                s = source[r.doc_id]
-                assert r.source_size == sizes[s] and r.target == pytest.approx(expected[s]) and r.taken <= 3 * r.size
-                taken[s] += r.taken
-            assert all(abs(taken[s] - expected[s]) <= largest[s] for s in sizes)
-        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_report(df.repartition(3)).collect()), key=repr)
+    for taken, target, _ in check_mix(docs).values():  # sources of ten documents
+        assert abs(taken - target) <= 0.05 * target
+    check_mix(odd)
     assert mixing.mix_report(none).collect() == [] == mixing.mix(none).collect()
-    out = mixing.mix(docs)
-    copies = {r.doc_id: r.copies for r in mixing.mix_report(docs).collect()}
-    assert out.columns == docs.columns and {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {d: c for d, c in copies.items() if c}
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Equal rows are taken one by one, with or without a doc_id, whatever other columns they carry."""
+    rows = [(1, "a b c d", "s")] * 7 + [(2, "x y z", "t")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = check_mix(df)
+    assert got["t"][0] in (9, 12) and abs(got["s"][0] - got["s"][1]) <= 4  # a target of 10.57
+    rows = [(None, "same words here", "b", k, k) for k in range(200)] + [(None, f"other words {k}", "b", k, k) for k in range(100)] + [(k % 9, "one two", "c", k, k) for k in range(300)] + [(1000 + k, "w " * k, None, k, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long, some long")
+    for taken, target, least in check_mix(df.repartition(7)).values():
+        assert abs(taken - target) <= max(0.02 * target, least)
+    assert mixing.mix(df).groupBy("copies", "some", "doc_id", "text", "source").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_mixing_of_many_sources(spark):
+    rows = [(k, "word " * (1 + k % 37), f"site{k % 700:04d}" if k % 700 else None) for k in range(6000)]
+    sums = check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    assert sum(t for t, _, _ in sums.values()) == pytest.approx(sum(t for _, t, _ in sums.values()), rel=0.02)
+
+
+def test_pareto_samples_have_a_fixed_size(spark):
+    """Every class gives as many documents as planned, and larger ones of a class come in more often."""
+    rng = np.random.default_rng(23)
+    rows = [(k, "w " * int(rng.choice([64, 71])), "a") for k in range(400)] + [(1000 + k, "w " * 64, "b") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    large = small = 0
+    for seed in ("1", "2", "3", "4", "5", "6"):
+        got = [r for r in mixing.mix_report(docs, weights=(1, 40), seed=seed).collect() if r.doc_id < 1000]
+        assert len({r.target for r in got}) == 1 and 0 < got[0].target < got[0].source_size
+        assert sum(r.copies for r in got) == np.floor(got[0].target / (got[0].source_size / 400) + 0.5)
+        large, small = large + sum(r.copies for r in got if r.size == 71), small + sum(r.copies for r in got if r.size == 64)
+    n = sum(1 for r in got if r.size == 71)
+    assert large / n > small / (400 - n)
 
 
 def test_mixing_plan_has_no_python(docs):
