@@ -6,18 +6,25 @@ every document and different values different ones. Separators stay where they a
 ========  =======================================================  ==========================================================
 kind      valid if                                                 what is permuted
 ========  =======================================================  ==========================================================
-card      13 to 19 digits that pass the Luhn test                  all digits but the first and the check digit, which is set anew
-iban      13 to 34 characters that pass the modulo 97 test         the digits after the check digits, which are set anew
+card      13 to 19 digits that pass the Luhn test, inside a run    all digits but the first and the check digit, which is set anew
+          of digit groups from one group's start to another's end
+iban      13 to 34 characters that pass the modulo 97 test, in     the digits after the check digits, which are set anew
+          one piece or in groups of four
 phone     ten national digits after +1, in the usual groups        area and the rest, each within its range
+phone     8 to 15 digits after + and another country code          all digits but the first two
 ssn       area 001-899 but 666, group 01-99, serial 0001-9999      all three parts within their ranges
 ip        four numbers up to 255                                   the 32 bits
-date      a day from 1900 to 2099 as y-m-d, d/m/y or d.m.y         the day within these years
+date      a day from 1900 to 2099 as y-m-d, d/m/y, d.m.y or, if    the day within these years, of m/d/y within the days after
+          it is no d/m/y, m/d/y                                    the 12th, which no other form reads
 email     a name and a domain with a dot                           the name becomes a keyed digest; the domain stays
 secret    40 hexadecimal digits                                    a keyed digest of 40 hexadecimal digits
 ========  =======================================================  ==========================================================
 
 A two-part Feistel network (Z_a x Z_b, alternating additions of keyed SHA-256) is a permutation for any a and b, so nothing has to be
-tried again to stay in range. E-mail names and secrets have no fixed range: there equal values are linked by a digest of 48 or 160 bits.
+tried again to stay in range (but for m/d/y, which is permuted until it comes back into its range). E-mail names and secrets have no
+fixed range: there equal values are linked by a digest of 96 or 160 bits.
+
+The key is that of ``spark.docspark.pii.key``. Without one a session draws its own, so that values are linked inside it but nobody can undo them.
 
 Defined cases: a null text stays null with no findings; an empty one stays empty; values that fail validation stay as they are; a
 null doc_id, repeated rows and an empty table need nothing special; ``pseudonymize`` keeps all columns, the report has its own.
@@ -25,11 +32,15 @@ null doc_id, repeated rows and an empty table need nothing special; ``pseudonymi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "pseudonym-key-1"
+KEY_CONF = "spark.docspark.pii.key"
 ROUNDS = 8
+#: Times that an m/d/y date is permuted at most; two fifths of the days leave its range, so each value is back long before.
+WALK = 64
 #: Days of the date range: 1900-01-01 and the 73,049 days from it on, which are 17 * 4,297.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 
@@ -38,12 +49,12 @@ _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}",
     "secret": _B + r"[0-9a-f]{40}" + _E,
-    "iban": _B + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{9,30}" + _E,
+    "iban": _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{9,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E,
     "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1[0-9]{4})" + r"(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?:(?<![0-9A-Za-z+])(?:\+1[ .-]?)(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4})" + _E,
-    "card": _B + r"[0-9](?:[ -]?[0-9]){12,18}" + _E,
+    "phone": r"(?:(?<![0-9A-Za-z+])(?:\+1[ .-]?)(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}|(?<![0-9A-Za-z+])\+[2-9][0-9](?:[ .-]?[0-9]){6,13})" + _E,
+    "card": _B + r"(?=(?:[0-9][ -]?){12}[0-9])[0-9][0-9 -]*" + _E,
 }
 #: The date form has a group of its own, so inside the alternation it is written out.
 PATTERN = "|".join(f if k != "date" else _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z-])" for k, f in FORMS.items())
@@ -114,12 +125,34 @@ def _permuted_digits(d: Column, key: str, kind: str) -> Column:
     return F.transform(F.array(moved), lambda s: F.concat(_padded(s["l"], u), _padded(s["r"], v)))[0]
 
 
-def _card(m: Column, key: str) -> Column:
+def _one_card(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.length(d)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _permuted_digits(F.substr(d, F.lit(2), n - 2), key, "card"))
     new = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))[0]
-    return F.when(n.between(13, 19) & (luhn_sum(d) % 10 == 0), _refill(m, new))
+    return _refill(m, new)
+
+
+def _card(m: Column, key: str) -> Column:
+    """A run of digit groups with the cards in it replaced, from left to right, of one start the longest first; null without a card."""
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+[ -]*"), F.lit(0))
+
+    def is_card(x):
+        d = _digits(x)
+        return x.rlike(r"\A[0-9]+([ -][0-9]+){0,18}[ -]*\z") & F.length(d).between(13, 19) & F.when(F.length(d).between(13, 19), luhn_sum(d) % 10 == 0)
+
+    def step(s, k):
+        joined = lambda n: F.array_join(F.slice(s["groups"], k + 1, n), "")
+        most = F.least(F.lit(19), F.size(s["groups"]) - k)
+        size = F.get(F.filter(F.sequence(most, F.lit(1), F.lit(-1)), lambda n: is_card(joined(n))), F.lit(0))
+        found = F.transform(F.array(size), lambda n: F.when(n.isNull(), F.get(s["groups"], k)).otherwise(_one_card(joined(n), key)))[0]
+        return F.when(k < s["next"], s).otherwise(
+            F.struct(s["groups"].alias("groups"), (k + F.coalesce(size, F.lit(1))).alias("next"), (s["any"] | size.isNotNull()).alias("any"), F.concat(s["out"], found).alias("out"))
+        )
+
+    start = F.struct(groups.alias("groups"), F.lit(0).alias("next"), F.lit(False).alias("any"), F.lit("").alias("out"))
+    done = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step)
+    return F.transform(F.array(done), lambda s: F.when(s["any"], s["out"]))[0]
 
 
 def _mod97(s: Column) -> Column:
@@ -132,12 +165,30 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
 
 
+def _respaced(m: Column, new: Column) -> Column:
+    """new with spaces where m has them."""
+    place = lambda k: k - F.length(F.regexp_replace(F.substr(m, F.lit(1), k), "[^ ]", ""))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda k: F.when(F.substr(m, k, F.lit(1)) == " ", " ").otherwise(F.substr(new, place(k), F.lit(1)))), "")
+
+
 def _iban(m: Column, key: str) -> Column:
-    country, bban = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m) - 4)
-    valid = (_mod97(F.concat(bban, F.substr(m, F.lit(1), F.lit(4)))) == 1) & (F.length(_digits(bban)) >= 2)
-    new = _refill(bban, _permuted_digits(_digits(bban), key, "iban"))
-    done = F.transform(F.array(new), lambda b: F.concat(country, _padded(98 - _mod97(F.concat(b, country, F.lit("00"))), F.lit(2)), b))[0]
-    return F.when(valid, done)
+    """The longest run of groups from the first on that is valid, replaced; what follows stays."""
+    groups = F.split(m, " ")
+
+    def valid(n):
+        x = F.array_join(F.slice(groups, 1, n), "")
+        rest = F.substr(x, F.lit(5), F.length(x) - 4)
+        return (F.length(x) >= 13) & (_mod97(F.concat(rest, F.substr(x, F.lit(1), F.lit(4)))) == 1) & (F.length(_digits(rest)) >= 2)
+
+    def made(n):
+        x, country = F.array_join(F.slice(groups, 1, n), ""), F.substr(m, F.lit(1), F.lit(2))
+        rest = F.substr(x, F.lit(5), F.length(x) - 4)
+        new = F.transform(F.array(_refill(rest, _permuted_digits(_digits(rest), key, "iban"))), lambda b: F.concat(country, _padded(98 - _mod97(F.concat(b, country, F.lit("00"))), F.lit(2)), b))[0]
+        old = F.array_join(F.slice(groups, 1, n), " ")
+        return F.concat(_respaced(old, new), F.substr(m, F.length(old) + 1, F.length(m)))
+
+    size = F.get(F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), valid), F.lit(0))
+    return F.transform(F.array(size), lambda n: F.when(n.isNotNull(), made(n)))[0]
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -151,7 +202,9 @@ def _phone(m: Column, key: str) -> Column:
     moved = feistel(area - first, rest - low, F.when(used, 800).otherwise(200), F.when(both, 8_000_000).when(used, 2_000_000).otherwise(10_000_000), key, "phone")
     head = F.substr(d, F.lit(1), n - 10)
     new = F.transform(F.array(moved), lambda s: F.concat(head, _padded(s["l"] + first, F.lit(3)), _padded(s["r"] + low, F.lit(7))))[0]
-    return F.when(n.between(10, 11), _refill(m, new))
+    # Another country's: the digits behind the first two, permuted among as many.
+    abroad = F.concat(F.substr(d, F.lit(1), F.lit(2)), _permuted_digits(F.substr(d, F.lit(3), n - 2), key, "phone"))
+    return F.when(m.rlike(r"\A\+[2-9]"), F.when(n.between(8, 15), _refill(m, abroad))).when(n.between(10, 11), _refill(m, new))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -176,24 +229,36 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(valid, F.transform(F.array(moved), lambda s: F.concat_ws(".", high(s["l"]), low(s["l"]), high(s["r"]), low(s["r"])))[0])
 
 
-def _date(m: Column, key: str) -> Column:
-    iso = m.rlike(r"\A[0-9]{4}-")
-    d = F.when(iso, m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
+def _day(d: Column) -> Column:
+    """Days from FIRST_DAY to a y-m-d string; null if there is no such day within the range."""
     day = F.datediff(d.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
-    a, b = DAY_PARTS
-    moved = feistel(F.floor(day / b), day % b, F.lit(a), F.lit(b), key, "date")
+    return F.when(day.between(0, DAY_PARTS[0] * DAY_PARTS[1] - 1), day)
+
+
+def _date(m: Column, key: str) -> Column:
+    part = lambda k, n: F.substr(m, F.lit(k), F.lit(n))
+    iso, b = m.rlike(r"\A[0-9]{4}-"), DAY_PARTS[1]
+    day = _day(F.when(iso, m).otherwise(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))))
+    other = F.when(day.isNull() & (part(3, 1) == "/"), _day(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2))))
+    shown = lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * b + s["r"]).cast("int"))
+    moved = lambda l, r, kind: feistel(l, r, F.lit(DAY_PARTS[0]), F.lit(b), key, kind)  # noqa: E731, E741
 
     def show(s):
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * b + s["r"]).cast("int")).cast("string")
+        new = shown(s).cast("string")
         parts = [F.substr(new, F.lit(k), F.lit(n)) for k, n in ((9, 2), (6, 2), (1, 4))]
-        sep = F.substr(m, F.lit(3), F.lit(1))
-        return F.when(iso, new).otherwise(F.concat(parts[0], sep, parts[1], sep, parts[2]))
+        return F.when(iso, new).when(day.isNull(), F.concat(parts[1], part(3, 1), parts[0], part(3, 1), parts[2])).otherwise(F.concat(parts[0], part(3, 1), parts[1], part(3, 1), parts[2]))
+
+    def again(s, k):
+        return F.when((k > 0) & (F.dayofmonth(shown(s)) > 12), s).otherwise(moved(s["l"], s["r"], "date-mdy"))
 
-    return F.when(day.between(0, a * b - 1), F.transform(F.array(moved), show)[0])
+    begun = F.struct(F.floor(other / b).cast("long").alias("l"), (other % b).cast("long").alias("r"))
+    walked = F.when(other.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), begun, again))
+    result = F.when(day.isNotNull(), moved(F.floor(day / b), day % b, "date")).otherwise(walked)
+    return F.when(day.isNotNull() | other.isNotNull(), F.transform(F.array(result), show)[0])
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("p"), F.substring(_digest(key, F.lit("email"), F.lower(m)), 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(F.lit("p"), F.substring(_digest(key, F.lit("email"), F.lower(m)), 1, 24), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 _MAKE = {
@@ -224,16 +289,26 @@ def _rewritten(text: Column, found: Column) -> Column:
     return F.when(F.exists(found, lambda x: x["kind"].isNotNull()), F.array_join(F.zip_with(pieces, shown, lambda a, b: F.concat(a, b)), "")).otherwise(text)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+_drawn: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The configured key, or one that this application has drawn for itself."""
+    return spark.conf.get(KEY_CONF, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the personal data of ``text`` replaced, all columns kept; n_chars, if there, follows the text."""
+    key = key or key_of(docs.sparkSession)
     out = docs.withColumn("__llm_found", _found(F.col("text"), key)).withColumn("text", _rewritten(F.col("text"), F.col("__llm_found")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__llm_found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, n_found, and the kinds found in order."""
+def pii_report(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, text with pseudonyms, n_found (replaced strings; a run of cards is one), and the kinds found in order."""
+    key = key or key_of(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("found", _found(F.col("text"), key))
     kinds = F.filter(F.transform("found", lambda x: x["kind"]), lambda k: k.isNotNull())
     out = rows.select("doc_id", _rewritten(F.col("text"), F.col("found")).alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
