@@ -9,8 +9,8 @@ Rows reach a task sorted by Gray rank, so that neighbours differ in few bits. Th
 holds the bits that all below it share and its parent does not (mask and pattern). Searching starts at the group's root with all
 its members; the differences to the patterns add up on the way down and whole nodes are pruned once the sum exceeds the limit.
 
-Only a spanning forest of the links found leaves a task. Components are found by spreading the smallest label along links and
-jumping along labels, tables written to the shared folder between rounds.
+Only a spanning forest of the links found leaves a task. Components are found by contracting links to labels, tables written to the shared
+folder between rounds, until the links are few enough for one task.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and is linked like any other; a null doc_id is answered,
 but gives no component its name unless no other does (then null); rows that repeat a doc_id are nodes of their own text; an empty
@@ -35,6 +35,8 @@ SEED = 42
 CROWD = 512
 #: Children of an index node; rows of a task's batch; pairs looked at together.
 FAN, BATCH, FRONTIER = 8, 200_000, 2_000_000
+#: Links that one task may solve.
+SMALL = 1_000_000
 
 _LAST = 2**63 - 1
 
@@ -216,25 +218,61 @@ def _search(batches, most: int):
         yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links (a, b), and the smallest node that links reach from each."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    lead = np.arange(len(nodes))
+    while True:
+        u, v = lead[x], lead[y]
+        across = u != v
+        if not across.any():
+            return nodes, nodes[lead]
+        x, y, u, v = x[across], y[across], u[across], v[across]
+        low = np.minimum(u, v)
+        np.minimum.at(lead, u, low)
+        np.minimum.at(lead, v, low)
+        while (lead[lead] != lead).any():
+            lead = lead[lead]
+
+
+_LABELS = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType())])
+
+
+def _solved(links: DataFrame) -> DataFrame:
+    """Components of links that were counted and found to be few, in one task."""
+
+    def solve(batches):
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            node, label = least_reachable(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            for k in range(0, len(node), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 65_536]), pa.array(label[k : k + 65_536])], names=["node", "label"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(solve, _LABELS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links reach, for all nodes with links.
 
-    Each round every node takes the smallest label among its neighbours, then the label of its label. A node has few links, as groups
-    are bounded, and the join along labels is one that Spark can split where a label is common.
+    While links are many, each node takes the smallest label among its neighbours, then the label of its label, and the links go on between
+    labels alone: every round leaves half of the nodes at most. Once there are at most SMALL links, one task solves the rest.
     """
-    links = materialize(links.where("a <> b").distinct(), "simhash-links")
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "simhash-labels")
-    before = None
-    while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now is None or now == before:
-            return labels
-        before = now
-        told = both.join(labels.withColumnRenamed("node", "other"), "other").select("node", "label")
-        near = materialize(labels.unionByName(told).groupBy("node").agg(F.min("label").alias("label")), "simhash-labels")
+    links = materialize(links.where("a <> b").select("a", "b").distinct(), "simhash-links")
+    steps = []
+    while links.count() > SMALL:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "simhash-near")
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = materialize(near.join(jump, "label").select("node", F.col("further").alias("label")), "simhash-labels")
+        steps.append(labels)
+        between = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
+        links = materialize(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "simhash-links")
+    out = materialize(_solved(links), "simhash-labels")
+    for labels in reversed(steps):
+        later = labels.join(out.toDF("label", "last"), "label", "left")
+        out = materialize(later.select("node", F.coalesce("last", "label").alias("label")), "simhash-labels")
+    return out
 
 
 def node_components(nodes: DataFrame, most: int = 2) -> DataFrame:
@@ -261,15 +299,3 @@ def simhash_report(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = fingerprints(docs, words)
     return prints.join(_classes(prints, most), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, most: int = 2) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; all columns kept. Repeated rows of that doc_id stay once.
-
-    Rows whose component has no doc_id at all are kept once per fingerprint component.
-    """
-    prints = fingerprints(docs, words)
-    found = prints.join(_classes(prints, most), "fp")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__llm_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("__llm_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"])

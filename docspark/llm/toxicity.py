@@ -8,9 +8,9 @@ How likely a segment of that score is in clean text of that length follows an ex
 clean words and whose size is fitted on clean documents; a document's evidence is that of its best segment and of all significant ones
 together, which a logistic curve turns into a score from 0 to 1.
 
-Features are counted over all training rows, added up in each task before counts are shuffled; ids are broadcast if they were counted as few,
-else texts are joined with them. The table of scored features is bounded by ``FEATURES``, and law and curve are fitted on at most ``FIT_DOCS``
-labelled documents by hash of doc_id: these are the only bounds; every document is scored in full.
+Features are counted over about ``TRAIN_DOCS`` labelled training rows at most, chosen by hash of doc_id (all of them, if they are fewer), added
+up in each task before counts are shuffled; law and curve are fitted on about ``FIT_DOCS`` of these. These bounds on labelled rows are the
+only ones: every feature that is clear in them counts, and every document is scored in full.
 
 Defined cases: a null or empty text has no words and scores as clean; a null doc_id is no training row and not held out; labels that repeat
 a doc_id count once, toxic if any says so; without both classes every score is 0; an empty table gives an empty result; other
@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import map_rows, materialize, utf8
 
-#: Features with scores at most; labelled documents of the calibration at most.
-FEATURES, FIT_DOCS = 50_000, 20_000
+#: Labelled training rows, and those of the calibration, about at most.
+TRAIN_DOCS, FIT_DOCS = 200_000, 20_000
 #: Ids are broadcast only after they were counted and found to be at most this many.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 100_000
 #: Deviations that log-odds must stand clear of; least drift a word; chance of a significant segment.
 CLEAR, DRIFT, CHANCE = 3.0, 0.08, 0.01
 PREDICT = 0.7
@@ -156,18 +156,20 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, schema, 20_000).groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+def some_rows(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """rows whose doc_id has a low hash, about ``most`` of them; all, if there are no more."""
+    n, parts = rows.count(), 1 << 30
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(parts)) < most * parts // n)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.xxhash64(F.lit("toxic"), "doc_id")
-    chosen = materialize(training_rows(labels), "toxic-rows")
-    rows = _with_ids(texts.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("same"), F.length("text").alias("n")), chosen)
-    first = rows.groupBy("same", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    first = materialize(first.select("doc_id", "toxic"), "toxic-once")
-    counts = materialize(feature_counts(_with_ids(texts, first).select("toxic", "text")), "toxic-features")
+    chosen = materialize(some_rows(materialize(training_rows(labels), "toxic-rows"), TRAIN_DOCS, "train"), "toxic-chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    texts = materialize(texts.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id"), "toxic-texts")
+    # A text that several rows share is one, toxic if any of them says so.
+    once = texts.groupBy(F.xxhash64("text").alias("same"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    counts = materialize(feature_counts(once.select("toxic", "text")), "toxic-features")
     n1, n0 = counts.agg(F.sum("n1"), F.sum("n0")).first()
     if not n1 or not n0:
         return None
@@ -176,11 +178,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     a1, a0 = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(a1 / (F.lit(2.0 * n1) - a1)) - F.log(a0 / (F.lit(float(n0 + n1)) - a0))
     clear = odds / F.sqrt(1 / a1 + 1 / a0)
-    table = counts.select("feature", odds.alias("odds"), clear.alias("clear")).where(F.col("clear") >= CLEAR).orderBy(F.desc("clear"), "feature").limit(FEATURES).collect()
+    table = counts.select("feature", odds.alias("odds"), clear.alias("clear")).where(F.col("clear") >= CLEAR).select("feature", "odds").collect()
     model = Model({r.feature: r.odds for r in table}, DRIFT)
 
-    few = chosen.orderBy(order, "doc_id").limit(FIT_DOCS)
-    some = materialize(texts.join(F.broadcast(few), "doc_id"), "toxic-sample")
+    some = materialize(some_rows(texts, FIT_DOCS, "fit"), "toxic-sample")
     clean = some.where("toxic = 0")
 
     # Drift and decay from the scores of clean words: one row for each score of the table, and one for no score.
@@ -218,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return step
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("best", T.DoubleType())])
-    scored = [r.best for r in map_rows(clean, best, schema).orderBy(order, "doc_id", "best").limit(FIT_DOCS).collect() if r.best is not None]
+    scored = [r.best for r in map_rows(clean, best, schema).orderBy(order, "doc_id", "best").collect() if r.best is not None]
     if scored:
         model.size = max(1e-9, len(scored) / sum(10.0**-e for e in scored))
 
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return step
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_rows(some, evidence, schema).orderBy(order, "doc_id", "x").limit(FIT_DOCS).collect()
+    got = map_rows(some, evidence, schema).orderBy(order, "doc_id", "x").collect()
     model.curve = fit_curve(np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]))
     return model
 

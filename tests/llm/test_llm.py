@@ -286,6 +286,27 @@ def test_linked_fingerprints(spark, crowd, monkeypatch):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("small", [1_000_000, 5])
+def test_components(spark, small, monkeypatch):
+    """Chains, stars and strangers, solved in one task or contracted by joins first."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(12)
+    ids = rng.permutation(400).tolist()
+    links = [(ids[k], ids[k + 1]) for k in range(120)] + [(ids[200], ids[k]) for k in range(201, 260)] + [(ids[300 + 2 * k], ids[301 + 2 * k]) for k in range(20)] + [(ids[5], ids[5]), (ids[0], ids[120])]
+    parent = {x: x for x in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.label for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in links for x in (a, b)} and len(got) == 121 + 60 + 40
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_index_finds_all_near_pairs():
     rng = np.random.default_rng(4)
     group = np.sort(rng.integers(0, 20, 400))
@@ -359,7 +380,7 @@ def test_near_copies_skip_no_candidate(spark, monkeypatch):
     """True pairs that look similar in some band are always in one group, however many candidates between them fail."""
     monkeypatch.setattr(neardup, "BANDS", 3)
     monkeypatch.setattr(neardup, "ROWS", 1)
-    monkeypatch.setattr(neardup, "QUOTA", 1)
+    monkeypatch.setattr(neardup, "QUOTA", 2)
     texts = crowd_of_copies(160)
     sets = [slow_shingles(t) for t in texts]
     got = {r.doc_id: r.component_id for r in neardup.near_classes(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
@@ -538,36 +559,170 @@ def luhn(d):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 
 
-def one(spark, text):
-    return pii.pii_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+KEY = "a key of the tests"
+
+
+def slow_digits(d, kind):
+    u = len(d) // 2
+    l, r = slow_feistel(10**u, 10 ** (len(d) - u), int(d[:u]), int(d[u:]), KEY, kind)  # noqa: E741
+    return f"{l:0{u}d}{r:0{len(d) - u}d}"
+
+
+def refilled(m, digits):
+    it = iter(digits)
+    return re.sub("[0-9]", lambda _: next(it), m)
+
+
+def slow_card(m):
+    groups, out, k, found = re.findall("[0-9]+[ -]*", m), "", 0, False
+    while k < len(groups):
+        for n in range(min(19, len(groups) - k), 0, -1):
+            x = "".join(groups[k : k + n])
+            d = re.sub("[^0-9]", "", x)
+            if re.fullmatch("[0-9]+([ -][0-9]+)*[ -]*", x) and 13 <= len(d) <= 19 and luhn(d):
+                body = d[0] + slow_digits(d[1:-1], "card")
+                out += refilled(x, body + next(c for c in "0123456789" if luhn(body + c)))
+                k, found = k + n, True
+                break
+        else:
+            out, k = out + groups[k], k + 1
+    return out if found else None
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
+def slow_iban(m):
+    groups = m.split(" ")
+    for n in range(len(groups), 0, -1):
+        x = "".join(groups[:n])
+        if len(x) >= 13 and mod97(x[4:] + x[:4]) == 1 and len(re.sub("[^0-9]", "", x[4:])) >= 2:
+            rest = refilled(x[4:], slow_digits(re.sub("[^0-9]", "", x[4:]), "iban"))
+            it = iter(f"{x[:2]}{98 - mod97(rest + x[:2] + '00'):02d}{rest}")
+            old = " ".join(groups[:n])
+            return "".join(c if c == " " else next(it) for c in old) + m[len(old) :]
+    return None
+
+
+def slow_phone(m):
+    d = re.sub("[^0-9]", "", m)
+    if re.match(r"\+[2-9]", m):
+        return refilled(m, d[:2] + slow_digits(d[2:], "phone")) if 8 <= len(d) <= 15 else None
+    if not 10 <= len(d) <= 11:
+        return None
+    area, rest = int(d[-10:-7]), int(d[-7:])
+    first, a = (200, 800) if area >= 200 else (0, 200)
+    low, b = (0, 10_000_000) if area < 200 else (2_000_000, 8_000_000) if rest >= 2_000_000 else (0, 2_000_000)
+    l, r = slow_feistel(a, b, area - first, rest - low, KEY, "phone")  # noqa: E741
+    return refilled(m, d[:-10] + f"{l + first:03d}{r + low:07d}")
+
+
+def slow_ssn(m):
+    area, group, serial = (int(x) for x in m.split("-"))
+    if not 1 <= area <= 899 or area == 666 or not group or not serial:
+        return None
+    l, r = slow_feistel(898, 99 * 9999, area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, KEY, "ssn")  # noqa: E741
+    return f"{l + (2 if l >= 665 else 1):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+
+
+def slow_ip(m):
+    p = [int(x) for x in m.split(".")]
+    if max(p) > 255:
+        return None
+    l, r = slow_feistel(65536, 65536, p[0] * 256 + p[1], p[2] * 256 + p[3], KEY, "ip")  # noqa: E741
+    return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+
+
+def slow_date(m):
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+
+    def day(y, mo, d):
+        try:
+            n = (datetime.date(int(y), int(mo), int(d)) - first).days
+        except ValueError:
+            return None
+        return n if 0 <= n < 17 * 4297 else None
+
+    def moved(n, kind):
+        l, r = slow_feistel(17, 4297, n // 4297, n % 4297, KEY, kind)  # noqa: E741
+        return l * 4297 + r
+
+    if m[4] == "-":
+        n = day(*m.split("-"))
+        return None if n is None else (first + datetime.timedelta(moved(n, "date"))).isoformat()
+    a, b, y = re.split(r"[/.]", m)
+    sep = m[2]
+    if (n := day(y, b, a)) is not None:
+        return (first + datetime.timedelta(moved(n, "date"))).strftime(f"%d{sep}%m{sep}%Y")
+    if sep == "/" and (n := day(y, a, b)) is not None:
+        n = moved(n, "date-mdy")
+        while (first + datetime.timedelta(n)).day <= 12:
+            n = moved(n, "date-mdy")
+        return (first + datetime.timedelta(n)).strftime("%m/%d/%Y")
+    return None
+
+
+SLOW_KINDS = {
+    "email": lambda m: "p" + hashlib.sha256(f"{KEY}:email:{m.lower()}".encode()).hexdigest()[:24] + "@" + m.rpartition("@")[2], "secret": lambda m: hashlib.sha256(f"{KEY}:secret:{m}".encode()).hexdigest()[:40],
+    "iban": slow_iban, "date": slow_date, "ssn": slow_ssn, "ip": slow_ip, "phone": slow_phone, "card": slow_card,
+}
+
+
+def slow_pii(text):
+    """Text with pseudonyms and the kinds found, by plain functions; the forms are those of the module."""
+    import regex
+
+    kinds = []
+
+    def put(m):
+        for kind, make in SLOW_KINDS.items():
+            if regex.fullmatch(pii.FORMS[kind], m[0]) and (new := make(m[0])) is not None:
+                kinds.append(kind)
+                return new
+        return m[0]
+
+    return regex.sub(pii.PATTERN, put, text), ",".join(kinds)
 
 
-def test_pseudonyms(spark):
+def test_pseudonyms_against_brute_force(spark, docs):
     texts = [
         "card 4111 1111 1111 1111, bad 4111 1111 1111 1112; 5500-0000-0000-0004.", "call +1 (741) 555-3069 or 741-555-3069 now", "ssn 123-45-6789 666-12-1234", "ip 128.212.154.77. and 300.1.1.1",
-        "born 1984-02-29, 29/02/1984 and 31.12.1999 or 2023-02-30", "mail for.43@mail7.example.com.", "iban DE89370400440532013000 and DE89370400440532013001", 'token = "1c5c31775edb0e97c8e972c4a50a0d9e0560c638"',
-        "4111111111111111", "+1 (041) 155-3069", None, "", "plain 12 text 3.4",
+        "born 1984-02-29, 29/02/1984 and 31.12.1999 or 2023-02-30, 12/25/2020 and 13/13/2020 or 12.25.2020", "mail for.43@mail7.example.com.", 'token = "1c5c31775edb0e97c8e972c4a50a0d9e0560c638"',
+        "iban DE89370400440532013000 and DE89370400440532013001, DE89 3704 0044 0532 0130 00 or GB82 WEST 1234 5698 7654 32 THE END", "4111111111111111", "+1 (041) 155-3069", "", "plain 12 text 3.4 and 12 34 56 78 90",
+        "4111 1111 1111 1111 12/27 and 4111 1111 1111 1111 123 and 12 4111111111111111 but 123456 4111 1111 1111 1111 5500 0000 0000 0004 99x", "4111 1111 1111 1111abc 4111-1111 11111111  22",
+        "+44 20 7946 0958, +49-30-901820 and +33123456789, +99 1", "1 " * 3000 + "4111 1111 1111 1111", "9" * 5000,
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit(0))
-    out = {r.doc_id: r for r in pii.pii_report(df).collect()}
-    card = re.findall(r"\d{4}(?:[ -]\d{4}){3}", out[0].text)
-    assert out[0].n_found == 2 and luhn(re.sub(r"\D", "", card[0])) and card[0][0] == "4" and "4111 1111 1111 1112" in out[0].text
-    assert re.fullmatch(r"card \d{4} \d{4} \d{4} \d{4}, bad 4111 1111 1111 1112; \d{4}-\d{4}-\d{4}-\d{4}\.", out[0].text)
-    assert out[8].text == re.sub(r"\D", "", card[0])  # equal values stay linked whatever their separators
-    a, b = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) now", out[1].text).group(1, 2)
-    assert f"{a}-{b}" in out[1].text and int(a) >= 200
-    l, r = slow_feistel(800, 8_000_000, 741 - 200, 5553069 - 2_000_000, pii.KEY, "phone")  # noqa: E741
-    assert (a, b.replace("-", "")) == (str(l + 200), str(r + 2_000_000))
-    assert "666-12-1234" in out[2].text and "123-45-6789" not in out[2].text and out[2].kinds == "ssn"
-    assert "300.1.1.1" in out[3].text and "128.212.154.77" not in out[3].text and out[3].text.endswith(". and 300.1.1.1")
-    iso, d, m, y = re.search(r"born (\S+), (\d\d)/(\d\d)/(\d{4})", out[4].text).groups()
-    assert iso == f"{y}-{m}-{d}" and "2023-02-30" in out[4].text and out[4].n_found == 3
-    assert re.fullmatch(r"mail p[0-9a-f]{12}@mail7\.example\.com\.", out[5].text)
-    assert out[6].n_found == 1 and "DE89370400440532013001" in out[6].text
-    digits = re.search(r"DE(\d{2})(\d{18}) and", out[6].text)
-    assert int(digits[2] + "1314" + digits[1]) % 97 == 1
-    assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[7].text) and out[7].text != texts[7]
-    assert out[9].n_found == 1 and (out[10].text, out[10].n_found, out[11].text, out[12].text) == (None, 0, "", texts[12])
+    rows = [(k, t) for k, t in enumerate([*texts, *(t for _, t in pairs(docs))])] + [(-1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(0)).repartition(4)
+    out = {r.doc_id: r for r in pii.pii_report(df, KEY).collect()}
+    for k, t in rows:
+        text, kinds = (None, "") if t is None else slow_pii(t)
+        assert (out[k].text, out[k].kinds, out[k].n_found) == (text, kinds, len(kinds.split(",")) if kinds else 0), t
+    of = lambda k: out[k].text
+    card = re.search(r"card (\d{4}(?: \d{4}){3}),", of(0))[1]
+    assert card[0] == "4" and luhn(card.replace(" ", "")) and "4111 1111 1111 1112" in of(0)
+    # Equal values stay linked whatever stands beside them.
+    assert of(8) == card.replace(" ", "") and of(12).startswith(f"{card} 12/27 and {card} 123 and 12 {of(8)} but 123456 {card} 5") and of(12).endswith(" 99x")
+    iban = re.findall(r"DE[0-9 ]+?(?= and|, | or)", of(7))
+    assert iban[0] == iban[2].replace(" ", "") and iban[1] == "DE89370400440532013001" and re.search(r" or GB\d\d WEST \d{4} \d{4} \d{4} \d\d THE END$", of(7))
+    iso, d, m, y, us = re.search(r"born (\S+), (\d\d)/(\d\d)/(\d{4}) and .* or 2023-02-30, (\S+) and 13/13/2020 or 12.25.2020$", of(4)).groups()
+    assert iso == f"{y}-{m}-{d}" and int(us[3:5]) > 12 and out[9].n_found == 1
+
+
+def test_pii_key(spark):
+    """Without a configured key a session has one of its own; the configured one counts."""
+    df = spark.createDataFrame([(1, "mail a.b@example.com")], "doc_id long, text string")
+    text = lambda: pii.pii_report(df).first().text
+    own = text()
+    assert own == text() and pii.key_of(spark) != KEY
+    spark.conf.set(pii.KEY_CONF, KEY)
+    try:
+        assert text() == slow_pii("mail a.b@example.com")[0] != own
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
 
 
 def test_permutations_are_bijective(spark):
@@ -626,7 +781,7 @@ def test_line_dedup(docs, odd, none):
 
 
 def test_segments_are_all_maximal_ones():
-    """Against the definition: recursively the best segment, then what is left and right of it."""
+    """Against the definition: recursively the best segment, then what is left and right of it; places and scores."""
 
     def slow(scores, offset=0):
         best = max(((sum(scores[a:b]), -a, -b, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0,))
@@ -642,8 +797,32 @@ def test_segments_are_all_maximal_ones():
         scores = [float(rng.uniform(1, 40)) if h else -7.0 for h in hit]  # no ties
         places = [k for k in range(n) if hit[k]]
         got = toxicity.segments(places, [scores[k] for k in places], n, 7.0)
-        assert sum(s for _, _, s in got) == pytest.approx(sum(s for _, _, s in slow(scores)))
-        assert max((s for _, _, s in got), default=0) == pytest.approx(max((s for _, _, s in slow(scores)), default=0))
+        want = slow(scores)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [s for _, _, s in got] == pytest.approx([s for _, _, s in want])
+
+
+def test_toxicity_report_against_brute_force(docs, labels):
+    """Every row's score, segments and verdict from the trained model, by the definition on whole texts."""
+    model = toxicity.train(docs, labels)
+    texts = dict(pairs(docs))
+    for r in toxicity.toxicity_report(docs, labels).collect():
+        words = toxicity.words_of(texts[r.doc_id].encode())
+        known = {w: max((model.score[f] for f in toxicity.features_of(w) if f in model.score), default=-model.drift) for w in set(words)}
+        total, left, best = 0.0, 0.0, 0.0
+        for w in words:  # the best segment's score, by the least running total so far
+            total += known[w]
+            left = min(left, total)
+            best = max(best, total - left)
+        e = (model.decay * best - np.log(model.size * len(words))) / np.log(10) if best else 0.0
+        assert max(0.0, e) == pytest.approx(model.evidence(words)[0], abs=1e-6)
+        assert r.score == pytest.approx(model.probability(model.evidence(words))) and r.predicted == int(r.score >= 0.7)
+    counts = {r.feature: (r.n1, r.n0) for r in toxicity.feature_counts(docs.join(labels, "doc_id").select("toxic", "text")).collect()}
+    slow = defaultdict(lambda: [0, 0])
+    for r in docs.join(labels, "doc_id").collect():
+        for f in {f for w in toxicity.words_of((r.text or "").encode()) for f in toxicity.features_of(w)}:
+            slow[f][1 - r.toxic] += 1
+    assert counts == {f: tuple(n) for f, n in slow.items()}
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -667,8 +846,8 @@ def test_toxicity_cases(edge, none, labels):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
 
 
-def test_toxicity_learns_from_all_training_rows(spark, monkeypatch):
-    """A word that only 60 of 60,000 labelled rows hold has its score, whether ids are broadcast or joined."""
+def test_toxicity_learns_from_the_stated_rows(spark, monkeypatch):
+    """A word that only 60 of 60,000 labelled rows hold has its score, whether ids are broadcast or joined; a bound holds about."""
     ids = spark.range(90_000).select(F.col("id").alias("doc_id"))
     rare = F.col("doc_id") % 1000 < 1
     docs = ids.withColumn("text", F.concat(F.lit("plain words "), F.col("doc_id").cast("string"), F.when(rare, F.lit(" vilest")).otherwise(F.lit(""))))
@@ -676,12 +855,13 @@ def test_toxicity_learns_from_all_training_rows(spark, monkeypatch):
     counts, real = [], toxicity.feature_counts
     monkeypatch.setattr(toxicity, "feature_counts", lambda rows: counts.append(real(rows)) or counts[-1])
     want = toxicity.training_rows(labels)
+    toxic, n = want.where("toxic = 1").count(), want.count()
     for most in (toxicity.BROADCAST_IDS, 10):
         monkeypatch.setattr(toxicity, "BROADCAST_IDS", most)
         assert "vilest$" in toxicity.train(docs, labels).score
         got = {r.feature: (r.n1, r.n0) for r in counts[-1].where("feature IN ('plain$', 'vilest$')").collect()}
-        toxic = want.where("toxic = 1").count()
-        assert want.count() > 55_000 and got == {"plain$": (toxic, want.count() - toxic), "vilest$": (toxic, 0)}
+        assert n > 55_000 and got == {"plain$": (toxic, n - toxic), "vilest$": (toxic, 0)}
+    assert abs(toxicity.some_rows(want, 6000, "x").count() - 6000) < 400 and toxicity.some_rows(want, n, "x").count() == n
 
 
 # 9
