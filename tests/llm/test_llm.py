@@ -389,8 +389,8 @@ def test_near_copies_skip_no_candidate(spark, monkeypatch):
 
     def candidate(a, b):
         x, y = bits[a], bits[b]
-        near = (x != y).sum() <= neardup.most_differing(512, 0.8)
-        return near and any(keys[a][k] == keys[b][k] and (x[64 * k : 64 * k + 64] != y[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8) for k in range(3))
+        near = (x != y).sum() <= neardup.most_differing(512, 0.8, neardup.SLACK)
+        return near and any(keys[a][k] == keys[b][k] and (x[64 * k : 64 * k + 64] != y[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8, neardup.WORD_SLACK) for k in range(3))
 
     pairs_ = [(a, b, len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])) for a in range(len(texts)) for b in range(a) if candidate(a, b)]
     assert sum(t for _, _, t in pairs_) > 300 and sum(not t for _, _, t in pairs_) > 300
@@ -468,9 +468,9 @@ def test_keys_and_filters_find_pairs_at_the_threshold(spark):
         for x in rng.integers(0, 2**64, (400, n), dtype=np.uint64):
             a, b = (np.sort(y) for y in (np.concatenate([x[: n * 8 // 10], x[n * 8 // 10 : n * 9 // 10]]), np.concatenate([x[: n * 8 // 10], x[n * 9 // 10 :]])))
             fa, fb = fingerprint_bits(a), fingerprint_bits(b)
-            near = (fa != fb).sum() <= neardup.most_differing(512, 0.8)
+            near = (fa != fb).sum() <= neardup.most_differing(512, 0.8, neardup.SLACK)
             keys = zip(neardup.band_keys(a, neardup.BANDS, neardup.ROWS), neardup.band_keys(b, neardup.BANDS, neardup.ROWS), strict=True)
-            word = [(fa[64 * k : 64 * k + 64] != fb[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8) for k in range(8)]
+            word = [(fa[64 * k : 64 * k + 64] != fb[64 * k : 64 * k + 64]).sum() <= neardup.most_differing(64, 0.8, neardup.WORD_SLACK) for k in range(8)]
             met += bool(near and any(x == y and word[k] for k, (x, y) in enumerate(keys)))
         assert met >= 0.95 * 400, (n, met)
     words = neardup.wide_fingerprint(x)
