@@ -11,7 +11,7 @@ Words are the vocabulary's pre-tokens; results are kept per chunk of text betwee
 tasks of a worker share. Time is linear in the text, whole texts are encoded however long.
 
 Defined cases: a null or empty text has no tokens; the vocabulary's special strings in a text become their ids; a null doc_id, repeated
-rows and an empty table need nothing special; other columns are carried by ``encode`` and ignored by ``token_report``.
+rows and an empty table need nothing special; other columns are carried by ``encode``, whatever their names, and ignored by ``token_report``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import map_rows
+from docspark.llm.common import bounded_batches, map_rows, release
 
 #: Entries of the caches of a worker: of chunks and of pre-tokens, and of the table of pairs, a power of two.
 CACHE, PRETOKENS, PAIRS = 200_000, 300_000, 1 << 20
@@ -92,6 +92,7 @@ class Vocabulary:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE[1:-2])
         self.words = regex.compile(split).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.openers = {t[0] for t in self.special if t}
         self.white = regex.compile(WHITE).split
         self.symbols = {True: [chr(b + 256) if self.end else chr(b) for b in range(256)], False: [chr(b) for b in range(256)]}
 
@@ -203,7 +204,7 @@ class Vocabulary:
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32 bits."""
         ids = []
-        for piece in self.cut(text) if self.cut and "<" in text else (text,):
+        for piece in self.cut(text) if self.cut and any(c in text for c in self.openers) else (text,):
             if piece in self.special:
                 ids.append(self.special[piece].to_bytes(4, "little"))
                 continue
@@ -255,15 +256,18 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows: int = 256, digest: str | None = None) -> DataFrame:
-    """docs with the token ids of ``text`` as a column of arrays, which takes the place of one of that name.
+def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows: int = 256, digest: str | None = None, text: bool = True) -> DataFrame:
+    """docs with the token ids of ``text`` as a further column of arrays, named ``column``, or with underscores behind if docs has one of that name.
 
-    ``digest`` names a further column, the SHA-256 of the text that the ids decode to.
+    ``digest`` names another one in the same way, the SHA-256 of the text that the ids decode to. Without ``text`` the text itself stays behind.
 
     Rows leave the worker a few hundred at a time, so that neither side holds the ids of a whole batch.
     """
-    kept = [f for f in docs.schema.fields if f.name not in (column, digest)]
-    names = [f.name for f in kept]
+    bounded_batches(docs.sparkSession)
+    names = docs.columns
+    at = [k for k, n in enumerate(names) if text or n != "text"]
+    kept = [docs.schema.fields[k] for k in at]
+    column, digest = free_name(column, names), digest and free_name(digest, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
@@ -274,13 +278,21 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "ids", rows:
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 decoded = [pa.array([known.decoded_sha256(i) for i in ids], pa.string())] if digest else []
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *decoded], names=[*names, column, *more])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in at), lists, *decoded], names=[f.name for f in [*kept, *made]])
+        release()
 
     more = [digest] if digest else []
     made = [T.StructField(column, T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in more)]
     return docs.select(*names).mapInArrow(run, T.StructType([*kept, *made]))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as make it differ from the taken ones."""
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 def decode(tokens: DataFrame, path: str | None = None, column: str = "ids", to: str = "decoded") -> DataFrame:
     """tokens with the text of the ids in ``column``; null ids give a null text."""
 

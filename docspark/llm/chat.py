@@ -12,8 +12,8 @@ A turn is first written as it is and parsed by the deterministic parser below. I
 control string or a backslash that the grammar would read otherwise), its control strings and backslashes are escaped, and the turn is
 parsed again; at last the whole conversation is parsed and compared. The loss mask covers the texts of assistants.
 
-Defined cases: rows of a conversation are ordered by turn (null first), then role, then text; a null text or role is empty; a null conv_id is a
-conversation of its own; repeated rows are turns of their own; an empty table gives an empty result; other columns are ignored. A
+Defined cases: rows of a conversation are ordered by turn (null first), then role, then text; a null text or role is empty; each row with a null conv_id
+is a conversation of its own; repeated rows are turns of their own; an empty table gives an empty result; other columns are ignored. A
 conversation becomes one row, so it must fit into a task.
 """
 
@@ -135,7 +135,9 @@ SCHEMA = T.StructType([
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans ([start, end) in code points) and n_turns, one row a conversation."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    keyed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), alone, "turn", "role", "text")
+    chats = keyed.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def make():
         def step(batch):

@@ -4,9 +4,11 @@ Lines are normalised and hashed to 128 bits; each document sends every hash once
 is found in two documents at least, so the count of distinct documents needs no distinct aggregate. Only hashes are shuffled by key;
 texts move once, by doc_id, to be reassembled.
 
-Defined cases: a null or empty text is one empty line; rows with a null doc_id count together as one document with the largest id;
-repeated rows of one doc_id are one document and each row is answered; an empty table gives an empty result; columns beyond doc_id and
-text are carried by ``dedup_lines`` and ignored by ``line_report``.
+A line goes if at least ``min_docs`` documents hold it (two by contract, so that the smallest and largest one suffice).
+
+Defined cases: a null or empty text is one empty line; a row with a null doc_id is a document after all others, by a hash of its text (equal
+texts are one document); repeated rows of one doc_id are one document and each row is answered; an empty table gives an empty result;
+columns beyond doc_id and text are carried by ``dedup_lines`` and ignored by ``line_report``.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import SPACES, map_rows, materialize, utf8
+from docspark.llm.common import SPACES, bounded_batches, map_rows, materialize, utf8
 
-#: Stands for a null doc_id.
-LAST = 2**63 - 1
+#: Rows without a doc_id have the last numbers, below 2^63 by the hash of their text modulo this.
+UNNAMED = 1 << 61
 #: A hash held by more than one in so many of all (document, hash) rows is hot; there are at most so many hot ones, so they are broadcast.
 HOT_SHARE = 1000
 
@@ -53,20 +55,31 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return map_rows(docs, make, _KEYS, 65_536)
 
 
-def dropped_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def _number(docs: DataFrame):
+    """What orders documents: doc_id, or a number after all others."""
+    unnamed = F.lit(2**63 - 1) - F.pmod(F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.lit(UNNAMED))
+    return F.coalesce(docs["doc_id"].cast("long"), unnamed)
+
+
+def dropped_hashes(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(d, drop): for every document that loses lines, the hashes of the lines it loses."""
-    few = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.col("text").alias("t"))
+    few = docs.select(_number(docs).alias("d"), F.col("text").alias("t"))
     keys = materialize(_keys(few, min_chars), "line-keys")
     total = keys.count()
-    shared = materialize(keys.groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi"), "line-shared")
+    held = keys.groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    if min_docs > 2:  # documents are counted apart only where rows may repeat one
+        several = keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+        held = held.join(several.drop("docs"), ["h1", "h2"], "left_semi")
+    shared = materialize(held, "line-shared")
     hot = F.col("n") * HOT_SHARE > total
     drops = keys.join(F.broadcast(shared.where(hot).drop("n")), ["h1", "h2"]).unionByName(keys.join(shared.where(~hot).drop("n"), ["h1", "h2"])).where("d > lo")
     return drops.groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
-def _with_drops(docs: DataFrame, min_chars: int) -> DataFrame:
-    drops = dropped_hashes(docs, min_chars).select(F.col("d").alias("__llm_d"), F.col("drop").alias("__llm_drop"))
-    return docs.withColumn("__llm_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(drops, "__llm_d", "left").drop("__llm_d")
+def _with_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    # Written, so that the join has plain exchanges on both sides and rows that repeat a doc_id can be split.
+    drops = materialize(dropped_hashes(docs, min_chars, min_docs), "line-drops").select(F.col("d").alias("__llm_d"), F.col("drop").alias("__llm_drop"))
+    return docs.withColumn("__llm_d", _number(docs)).join(drops, "__llm_d", "left").drop("__llm_d")
 
 
 def _split(text: bytes, drop, min_chars: int) -> tuple[list[bytes], list[bytes]]:
@@ -77,7 +90,7 @@ def _split(text: bytes, drop, min_chars: int) -> tuple[list[bytes], list[bytes]]
     return lines, [x for x in lines if line_hash(x, min_chars) not in gone]
 
 
-def line_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def line_report(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row's text after line deduplication."""
 
     def make():
@@ -89,11 +102,12 @@ def line_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         return step
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return map_rows(_with_drops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars), make, schema)
+    return map_rows(_with_drops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs), make, schema)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """The rows of docs, all columns kept, with repeated lines taken out of ``text``; n_chars, if there, follows the text."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def rebuild(text, drop):
@@ -104,7 +118,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     lost = F.col("__llm_drop").isNotNull()
     packed = F.transform("__llm_drop", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2")))
-    with_drops = _with_drops(docs, min_chars).withColumn("__llm_drop", packed)
+    with_drops = _with_drops(docs, min_chars, min_docs).withColumn("__llm_drop", packed)
     out = with_drops.withColumn("text", F.when(lost, rebuild("text", "__llm_drop")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import SPACES, map_rows, utf8
+from docspark.llm.common import SPACES, bounded_batches, map_rows, utf8
 
 TRAIN_DOCS = 20_000
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 60, 3, 0.2, 48, 5, 1.0
@@ -180,6 +180,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, all columns kept."""
     trees = train(docs, labels)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def kept(text):

@@ -23,13 +23,13 @@ repeat a doc_id are one document, so they remove nothing from each other; an emp
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -267,10 +267,11 @@ def _batches(docs: DataFrame) -> DataFrame:
 
     def make(batches):
         ids, texts, size = [], [], 0
+        number = TaskContext.get().partitionId() << 32
 
         def pack():
             return pa.RecordBatch.from_arrays([
-                pa.array([uuid.uuid4().hex]), pa.array([size], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                 pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()), pa.array([_zip(b"".join(texts))], pa.binary()),
             ], names=["batch", "bytes", "ids", "sizes", "blob"])
 
@@ -281,12 +282,12 @@ def _batches(docs: DataFrame) -> DataFrame:
                 size += len(text)
                 if size >= BATCH_BYTES or len(ids) >= 65_536:
                     yield pack()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, number = [], [], 0, number + 1
         if ids:
             yield pack()
 
     few = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text")
-    return materialize(few.mapInArrow(make, "batch string, bytes long, ids binary, sizes binary, blob binary"), "repeat-batches")
+    return materialize(few.mapInArrow(make, "batch long, bytes long, ids binary, sizes binary, blob binary"), "repeat-batches")
 
 
 def _load(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -324,7 +325,7 @@ def _marks(runs, ids, buckets: int, replies) -> tuple[np.ndarray, np.ndarray]:
     return out > 0, out == 2
 
 
-_REQUEST = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("batch", T.StringType()), T.StructField("data", T.BinaryType())])
+_REQUEST = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
 def _first_round(packed: DataFrame, buckets: int, length: int) -> DataFrame:

@@ -180,14 +180,22 @@ def test_encode_and_decode_columns(edge, none):
     out = bpe.decode(bpe.encode(edge)).collect()
     assert all(r.decoded == bpe.vocabulary().encode(r.text or "")[1] for r in out)
     assert bpe.encode(none).collect() == [] == bpe.token_report(none).collect()
+    clash = bpe.encode(edge.withColumn("ids", F.lit("mine")).withColumn("Ids_", F.lit(2)), digest="text")
+    assert clash.columns == [*edge.columns, "ids", "Ids_", "ids__", "text_"]
+    assert all(r.ids == "mine" and bpe.vocabulary().decode(r.ids__) == bpe.vocabulary().encode(r.text or "")[1] for r in clash.collect())
 
 
 def test_last_stage_decodes_the_ids(spark, edge, sf):
     import corpus_pipeline as p
 
     names = bpe.vocabulary().names
-    for r in p.bpe_encode(spark, edge, sf).collect():
-        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(" ".join(names[i] for i in r.ids).encode()).hexdigest()
+    clash = edge.withColumn("n_tokens", F.lit("mine")).withColumn("ids", F.lit("mine"))
+    for df in (edge, clash):
+        out = p.bpe_encode(spark, df, sf)
+        assert out.columns[: len(df.columns) - 1] == [c for c in df.columns if c != "text"]
+        n, ids, digest = out.columns[-3:]
+        for r in out.collect():
+            assert r[n] == len(r[ids]) and r[digest] == hashlib.sha256(" ".join(names[i] for i in r[ids]).encode()).hexdigest()
     v = bpe.vocabulary()
     assert v.decoded_sha256(np.array([5, 10**9, 6])) == hashlib.sha256(f"{names[5]} {names[6]}".encode()).hexdigest()
 
@@ -220,6 +228,8 @@ def test_chat_report(spark):
     assert got[2].turns_sha256 == said(("", "x"), ("assistant", "a"), ("assistant", "b")) and got[2].loss_chars == 2
     assert got[2].loss_sha256 == hashlib.sha256(b"ab").hexdigest() and got[3].n_turns == 2 and got[None].n_turns == 1
     assert got[-1].loss_chars == 21 and set(got) == {1, 2, 3, None, -1}
+    unnamed = chat.format_conversations(df.withColumn("conv_id", F.lit(None).cast("long"))).collect()
+    assert len(unnamed) == len(rows) and {r.n_turns for r in unnamed} == {1}
     assert [r.conv_id for r in chat.chat_report(df.limit(0)).collect()] == [-1]
 
 
@@ -752,18 +762,18 @@ def test_pii_plan_has_no_python(docs):
 # 7
 
 
-def slow_line_dedup(rows):
+def slow_line_dedup(rows, min_docs=2):
+    number = lambda d, t: 2**63 - 1 - xxhash.xxh64_intdigest(t.encode(), 42) % 2**61 if d is None else d  # noqa: E731  modulo 2^61 of two's complement
     keys = defaultdict(set)
     for d, t in rows:
         for x in t.split("\n"):
             k = lowered(x.strip(" \t\n\v\f\r"))
             if len(k) >= 10:
-                keys[k].add(lines.LAST if d is None else d)
+                keys[k].add(number(d, t))
     out = []
     for d, t in rows:
-        me = lines.LAST if d is None else d
         ls = t.split("\n")
-        kept = [x for x in ls if not (len(keys.get(k := lowered(x.strip(" \t\n\v\f\r")), ())) >= 2 and min(keys[k]) != me)]
+        kept = [x for x in ls if not (len(keys.get(k := lowered(x.strip(" \t\n\v\f\r")), ())) >= min_docs and min(keys[k]) != number(d, t))]
         out.append((d, len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=repr)
 
@@ -772,6 +782,9 @@ def test_line_dedup(docs, odd, none):
     for df in (docs, odd):
         assert sorted(map(tuple, lines.line_report(df).collect()), key=repr) == slow_line_dedup(pairs(df))
     assert lines.line_report(none).collect() == []
+    assert sorted(map(tuple, lines.line_report(docs, min_docs=4).collect()), key=repr) == slow_line_dedup(pairs(docs), 4)
+    unnamed = odd.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert sorted(map(tuple, lines.line_report(unnamed).collect()), key=repr) == slow_line_dedup(pairs(unnamed))
     out = lines.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert [r.text for r in out.where("doc_id = 2").collect()] == ["other line of mine"]
