@@ -75,6 +75,7 @@ class DocumentSet:
     def __init__(self, files: DataFrame, supplied: DataFrame | None = None, limits: Limits = LIMITS, linked: bool | None = None):
         self.files, self.limits = files.select("doc_id", "content"), limits
         self._supplied, self._linked_known = supplied, linked
+        self._kept = False
 
     @cached_property
     def _any_linked(self) -> bool:
@@ -116,18 +117,28 @@ class DocumentSet:
     def forms(self) -> DataFrame:
         return documents.forms(self.files, self.limits)
 
+    def _forms(self, wanted: Wanted | None) -> DataFrame:
+        """The forms with payloads of wanted chunks only, unless all are kept anyway."""
+        return self.forms if wanted is None or self._kept else documents.forms(self.files, self.limits, wanted)
+
     @cached_property
     def supplied(self) -> DataFrame:
+        return self._supplied_forms(None)
+
+    def _supplied_forms(self, wanted_chunks: Wanted | None) -> DataFrame:
         """(doc_id, name, form, length, chunks): component files by the document they are for."""
+        if "supplied" in self.__dict__:
+            return self.supplied
         if self._supplied is not None:
             named = self._supplied.withColumn("key", F.to_json(F.array("doc_id", "name")))
-            found = documents.forms(named.select(F.col("key").alias("doc_id"), "content"), self.limits).where("offset = 4 AND status = 'ok'")
-            return found.join(named.select(F.col("key").alias("doc_id"), F.col("doc_id").alias("of"), "name"), "doc_id").select(F.col("of").alias("doc_id"), "name", "form", "length", "chunks")
+            found = documents.forms(named.select(F.col("key").alias("doc_id"), "content"), self.limits, wanted_chunks).where("offset = 4 AND status = 'ok'")
+            of = F.from_json("doc_id", "array<string>")
+            return found.select(of[0].alias("doc_id"), of[1].alias("name"), "form", "length", "chunks")
         wanted = self.containers.where("indirect").select(F.col("doc_id").alias("of"), F.explode("entries").alias("e")).select("of", F.col("e.name").alias("name"))
         # Only plain names of files beside the index; nothing that leads elsewhere.
         plain = ~F.col("name").rlike(r"[/\\:\x00]") & ~F.col("name").isin("", ".", "..")
         wanted = wanted.where(plain).withColumn("doc_id", F.concat(F.regexp_replace("of", r"[^/]*\z", ""), "name")).distinct()
-        roots = self.forms.where("offset = 4 AND status = 'ok'")
+        roots = self._forms(wanted_chunks).where("offset = 4 AND status = 'ok'")
         return roots.join(wanted, "doc_id").select(F.col("of").alias("doc_id"), "name", "form", "length", "chunks")
 
     @cached_property
@@ -137,10 +148,18 @@ class DocumentSet:
 
     @cached_property
     def _loaded(self) -> DataFrame:
-        """Components with their chunks; form is null where they aren't loaded."""
-        inside = self._entries.where("offset IS NOT NULL").join(self.forms.select("doc_id", "offset", "form", F.col("length").alias("found"), "chunks", F.col("status").alias("form_status")), ["doc_id", "offset"], "left")
+        return self._loaded_with(None)
+
+    @cached_property
+    def _headers(self) -> DataFrame:
+        """Components without payloads, for questions about what is there."""
+        return self._loaded_with(Wanted())
+
+    def _loaded_with(self, wanted: Wanted | None) -> DataFrame:
+        """Components with their chunks, payloads of the wanted ones only; form is null where they aren't loaded."""
+        inside = self._entries.where("offset IS NOT NULL").join(self._forms(wanted).select("doc_id", "offset", "form", F.col("length").alias("found"), "chunks", F.col("status").alias("form_status")), ["doc_id", "offset"], "left")
         outside = self._entries.where("offset IS NULL").join(
-            self.supplied.select("doc_id", "name", "form", F.col("length").alias("found"), "chunks", F.lit("ok").alias("form_status")), ["doc_id", "name"], "left"
+            self._supplied_forms(wanted).select("doc_id", "name", "form", F.col("length").alias("found"), "chunks", F.lit("ok").alias("form_status")), ["doc_id", "name"], "left"
         )
         rows = inside.select(outside.columns).unionByName(outside)
         needed = F.when(F.col("form_type").isin("PM44", "BM44", "THUM"), F.col("form")).otherwise(F.when(F.col("kind") == "page", "DJVU").when(F.col("kind") == "thumbnail", "THUM").otherwise("DJVI"))
@@ -150,7 +169,7 @@ class DocumentSet:
 
     def components(self) -> DataFrame:
         size = F.when(F.col("size") != 0, F.col("size")).otherwise(F.coalesce("found", F.lit(0)))
-        return self._loaded.select("doc_id", "comp", "id", "name", "title", "kind", size.alias("size"), F.col("offset").alias("range_offset"), F.when(F.col("offset").isNotNull(), F.col("found")).alias("range_length"), "loaded", "status")
+        return self._headers.select("doc_id", "comp", "id", "name", "title", "kind", size.alias("size"), F.col("offset").alias("range_offset"), F.when(F.col("offset").isNotNull(), F.col("found")).alias("range_length"), "loaded", "status")
 
     def documents(self) -> DataFrame:
         counts = self._page_list.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
@@ -159,14 +178,17 @@ class DocumentSet:
 
     @cached_property
     def _chunks(self) -> DataFrame:
-        return self._loaded.where("loaded").select("doc_id", "comp", "kind", F.explode("chunks").alias("c")).select("doc_id", "comp", "kind", "c.*")
+        return self._chunks_of(self._loaded)
+
+    def _chunks_of(self, loaded: DataFrame) -> DataFrame:
+        return loaded.where("loaded").select("doc_id", "comp", "kind", F.explode("chunks").alias("c")).select("doc_id", "comp", "kind", "c.*")
 
     def chunks(self) -> DataFrame:
         return self._chunks.drop("kind")
 
     @cached_property
     def _edges(self) -> DataFrame:
-        plain = self._chunks.where("chunk_id = 'INCL'").join(self._entries.select("doc_id", "form_type").distinct(), "doc_id").where(~F.col("form_type").isin("PM44", "BM44"))
+        plain = self._chunks_of(self._loaded_with(Wanted("INCL"))).where("chunk_id = 'INCL'").join(self._entries.select("doc_id", "form_type").distinct(), "doc_id").where(~F.col("form_type").isin("PM44", "BM44"))
         return includes.edges(plain, self._entries)
 
     def includes(self) -> DataFrame:
@@ -178,13 +200,14 @@ class DocumentSet:
         order = Window.partitionBy("doc_id").orderBy("comp")
         entries = self._entries.where("kind = 'page'")
         pages = entries.select("doc_id", (F.row_number().over(order) - 1).alias("page"), "comp", "form_type", F.lit(None).cast("int").alias("image"), "id", "name", "title")
-        images = self._loaded.where("form_type = 'THUM'").select("doc_id", "comp", "form_type", F.posexplode(F.filter("chunks", lambda c: c["chunk_id"] == "TH44")).alias("page", "c"))
+        images = self._headers.where("form_type = 'THUM'").select("doc_id", "comp", "form_type", F.posexplode(F.filter("chunks", lambda c: c["chunk_id"] == "TH44")).alias("page", "c"))
         return pages.unionByName(images.select("doc_id", "page", "comp", "form_type", F.col("c.ord").alias("image"), *[F.lit("").alias(n) for n in ("id", "name", "title")]))
 
     @cached_property
     def _page_info(self) -> DataFrame:
         """(doc_id, page, comp, form_type, image, info, status)."""
-        p = self._page_list.join(self._loaded.select("doc_id", "comp", "chunks", F.col("status").alias("comp_status")), ["doc_id", "comp"], "left")
+        heads = self._loaded_with(Wanted("INFO", "PM44", "BM44", "TH44"))
+        p = self._page_list.join(heads.select("doc_id", "comp", "chunks", F.col("status").alias("comp_status")), ["doc_id", "comp"], "left")
         named = F.filter("chunks", lambda c: c["chunk_id"] == "INFO")
         first = F.filter("chunks", lambda c: c["chunk_id"] == F.col("form_type"))
         image = F.filter("chunks", lambda c: c["ord"] == F.col("image"))
@@ -203,13 +226,13 @@ class DocumentSet:
     @cached_property
     def _expansion(self) -> DataFrame:
         pages = self._page_list.select("doc_id", F.col("comp").alias("root")).distinct()
-        return includes.expansion(self._loaded.select("doc_id", "comp", "kind", "loaded"), self._edges, pages, self.limits)
+        return includes.expansion(self._headers.select("doc_id", "comp", "kind", "loaded"), self._edges, pages, self.limits)
 
     @cached_property
     def _page_status(self) -> DataFrame:
         """(doc_id, page, comp, expanded): status of each page's expansion."""
         bad = self._expansion.where("status <> 'ok'").select("doc_id", F.col("root").alias("comp"), "status")
-        stray = self._expansion.where("status = 'ok' AND comp <> root").join(self._chunks.where("chunk_id = 'INFO'").select("doc_id", "comp").distinct(), ["doc_id", "comp"])
+        stray = self._expansion.where("status = 'ok' AND comp <> root").join(self._chunks_of(self._headers).where("chunk_id = 'INFO'").select("doc_id", "comp").distinct(), ["doc_id", "comp"])
         stray = stray.select("doc_id", F.col("root").alias("comp"), F.lit("InvalidData").alias("status"))
         worst = bad.unionByName(stray).groupBy("doc_id", "comp").agg(F.min("status").alias("expanded"))
         return self._page_list.select("doc_id", "page", "comp").join(worst, ["doc_id", "comp"], "left").withColumn("expanded", F.coalesce("expanded", F.lit("ok")))
@@ -231,7 +254,7 @@ class DocumentSet:
         """(doc_id, page, comp, id): the next component a page needs for a scope (page, includes, thumbnail) and that isn't loaded."""
         ids = self._entries.select("doc_id", "comp", "id")
         if scope == "page":
-            lack = self._page_list.select("doc_id", "page", "comp").join(self._loaded.where("NOT loaded").select("doc_id", "comp"), ["doc_id", "comp"], "left_semi")
+            lack = self._page_list.select("doc_id", "page", "comp").join(self._headers.where("NOT loaded").select("doc_id", "comp"), ["doc_id", "comp"], "left_semi")
         elif scope == "includes":
             lack = includes.missing(self._expansion, self._entries).withColumnRenamed("root", "of").drop("id")
             lack = self._page_list.select("doc_id", "page", F.col("comp").alias("of")).join(lack, ["doc_id", "of"]).select("doc_id", "page", "comp")
@@ -267,7 +290,7 @@ class DocumentSet:
 
     def outline(self) -> DataFrame:
         """(doc_id, idx, title, href, parent, subtree_end, status): one row with a status where the outline is damaged."""
-        root = self.forms.join(self.containers.where("status = 'ok'").select("doc_id", "form_type"), "doc_id").where("form = form_type").where("offset <= 4")
+        root = self._forms(Wanted("NAVM")).join(self.containers.where("status = 'ok'").select("doc_id", "form_type"), "doc_id").where("form = form_type").where("offset <= 4")
         navm = F.filter("chunks", lambda c: c["chunk_id"] == "NAVM")
         few = root.select("doc_id", F.transform(navm, lambda c: c["payload"]).alias("payloads")).where(F.size("payloads") > 0)
         limits = self.limits
@@ -333,7 +356,7 @@ class DocumentSet:
 
     @cached_property
     def _joined_records(self) -> DataFrame:
-        parts = self._loaded.select("doc_id", "comp", "kind", "loaded")
+        parts = self._headers.select("doc_id", "comp", "kind", "loaded")
         starts = metadata.roots(parts, self._edges)
         whole = includes.expansion(parts, self._edges, starts, self.limits)
         pages = self._page_list.where("image IS NULL").select("doc_id", "comp", "page")
@@ -420,7 +443,7 @@ class DocumentSet:
     def thumbnail_sources(self) -> DataFrame:
         """(doc_id, page, comp, ord, status): first chunk of each stored thumbnail; only the nearest thumbnail component counts, then the page itself."""
         near = links.thumbnail_order(self._entries.select("doc_id", "comp", "kind"))
-        state = self._loaded.select("doc_id", "comp", "loaded", "form", F.transform(F.filter("chunks", lambda c: c["chunk_id"] == "TH44"), lambda c: c["ord"]).alias("images"))
+        state = self._headers.select("doc_id", "comp", "loaded", "form", F.transform(F.filter("chunks", lambda c: c["chunk_id"] == "TH44"), lambda c: c["ord"]).alias("images"))
         as_thumb = state.select("doc_id", F.col("comp").alias("thumb"), F.col("loaded").alias("t_loaded"), F.col("images").alias("t_images"))
         pages = self._page_list.where("image IS NULL").select("doc_id", "page", "comp")
         j = pages.join(near, ["doc_id", "comp"]).join(as_thumb, ["doc_id", "thumb"], "left").join(state, ["doc_id", "comp"], "left")
@@ -462,11 +485,18 @@ class DocumentSet:
         """Keep the parsed forms; later tables read them instead of the files."""
         self.containers.persist()
         self.forms = self.forms.persist()
+        self._kept = True
         return self
 
     def unpersist(self) -> None:
-        self.containers.unpersist()
-        self.forms.unpersist()
+        """Release what is kept; the directories are, once a question needed them, even outside ``with``."""
+        if "containers" in self.__dict__:
+            self.containers.unpersist()
+        if self._kept:
+            self.forms.unpersist()
+        if "_linked" in self.__dict__:
+            self._linked.unpersist()
+        self._kept = False
 
     def __enter__(self) -> DocumentSet:
         return self.persist()

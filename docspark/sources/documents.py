@@ -112,8 +112,11 @@ def containers(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return flat_map(files.select("doc_id", "content"), CONTAINERS, call)
 
 
-def forms(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """One row for each FORM of a file: the root, and in a bundled document each component. A damaged one has a status and no chunks."""
+def forms(files: DataFrame, limits: Limits = LIMITS, wanted=None) -> DataFrame:
+    """One row for each FORM of a file: the root, and in a bundled document each component. A damaged one has a status and no chunks.
+
+    Only chunks whose id is ``wanted`` bring their payload along; without it all do.
+    """
 
     def row(doc_id, form: iff.Chunk):
         try:
@@ -121,7 +124,8 @@ def forms(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
             if len(children) > limits.chunks:
                 raise exceeded("chunks")
             # Components are rows of their own; the root of a bundle keeps only its other chunks.
-            kept = [(k, c.id, c.offset, len(c.data), c.data) for k, c in enumerate(children) if not (form.form == "DJVM" and c.id == "FORM")]
+            data = lambda c: c.data if wanted is None or wanted(c.id) else None
+            kept = [(k, c.id, c.offset, len(c.data), data(c)) for k, c in enumerate(children) if not (form.form == "DJVM" and c.id == "FORM")]
             return (doc_id, form.offset, form.form, len(form.data) + 8, kept, "ok", None), children
         except Bad as e:
             return (doc_id, form.offset, None, len(form.data) + 8, [], e.code, e.why or None), []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame
@@ -60,13 +61,16 @@ def metadata_json(metadata: DataFrame, xmp: DataFrame) -> DataFrame:
 
 
 def write_ppm(rasters: DataFrame, folder: str) -> None:
-    """A picture file for each raster, on a disk that all executors share; alpha is left out. Written under a temporary name, then renamed."""
+    """A picture file for each raster, on a disk that all executors share; alpha is left out. Written under a temporary name, then renamed.
+
+    A name has the document's base name, a digest of its whole doc_id (as others may have the same base name), page and request.
+    """
 
     def write(rows) -> None:
         for r in rows:
             if r.status != "ok":
                 continue
-            name = "-".join(x for x in (r.doc_id.rsplit("/", 1)[-1], str(r.page), r.request_id) if x)
+            name = "-".join(x for x in (r.doc_id.rsplit("/", 1)[-1], hashlib.sha256(r.doc_id.encode()).hexdigest()[:12], str(r.page), r.request_id) if x)
             path = os.path.join(folder, name + ".ppm")
             with open(f"{path}.{os.getpid()}", "wb") as f:
                 f.write(ppm(r.width, r.height, bytes(r.rgba)))

@@ -413,8 +413,11 @@ def test_json_and_pictures(make, tmp_path):
     assert a["bytes"] is None and a["areas"][0]["style"]["opacity"] == 7 and a["areas"][0]["style"]["alwaysVisible"] is False and a["view"]["zoom"] is None
     assert json.loads(sinks.outline_json(d.outline()).first().json) == {"entries": [{"title": "T", "href": "", "parent": None, "subtreeEnd": 1}]}
     assert json.loads(sinks.metadata_json(d.metadata(), d.xmp()).first().json) == {"metadata": [{"key": "k", "value": "v", "page": 0}], "xmp": []}
-    sinks.write_ppm(d.render(), str(tmp_path))
-    assert (tmp_path / "d-0.ppm").read_bytes() == b"P6\n12 10\n255\n" + b"\xff" * 360
+    twice = DocumentSet(make({"a/d": doc, "b/d": doc}))
+    sinks.write_ppm(twice.render(), str(tmp_path))
+    pictures = sorted(tmp_path.iterdir())  # one base name, two documents
+    assert [p.name for p in pictures] == sorted(f"d-{hashlib.sha256(n.encode()).hexdigest()[:12]}-0.ppm" for n in ("a/d", "b/d"))
+    assert all(p.read_bytes() == b"P6\n12 10\n255\n" + b"\xff" * 360 for p in pictures)
 
 
 def test_geometry_equals_the_renderer(make, spark):
