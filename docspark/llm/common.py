@@ -73,6 +73,12 @@ def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(small) if few else small, on, how)
 
 
+def some_rows(rows: DataFrame, most: int, salt: str, *keys: str) -> DataFrame:
+    """The rows whose keys have a low hash, about ``most`` of them; all, if there are no more. Nothing is sorted or gathered for it."""
+    n, parts = rows.count(), 1 << 30
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(parts)) < most * parts // n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

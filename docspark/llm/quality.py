@@ -1,6 +1,6 @@
 """Quality rules: document statistics, fixed base rules, and gradient-boosted trees that judge what passes them.
 
-Trees are grown here in numpy on at most ``TRAIN_DOCS`` labelled documents (a bounded sample by hash of doc_id, the only bound; every
+Trees are grown here in numpy on about ``TRAIN_DOCS`` labelled documents at most (a bounded sample by hash of doc_id, the only bound; every
 document is scored). They are flattened into node arrays, so a batch is scored by a few vector steps. The score may only fall as the
 shares of symbols, repeated lines and repeated words rise (monotonic constraints).
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import SPACES, bounded_batches, map_rows, utf8
+from docspark.llm.common import SPACES, bounded_batches, map_rows, materialize, some_rows, utf8
 
 TRAIN_DOCS = 20_000
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 60, 3, 0.2, 48, 5, 1.0
@@ -133,9 +133,9 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] = MONOTONE) -> T
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Trees | None:
-    """Trees from at most ``most`` labelled documents, the first by hash of doc_id."""
-    order = F.xxhash64(F.lit("quality"), "doc_id")
-    few = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(most)
+    """Trees from about ``most`` labelled documents at most, by hash of doc_id; a doc_id that rows repeat counts once."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    few = some_rows(materialize(known, "quality-labels"), most, "quality", "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
 
     def make():
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Trees |
         return step
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_rows(rows, make, schema).orderBy(order, "doc_id", "x").limit(most).collect()
+    got = sorted(map_rows(rows, make, schema).groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect())
     if not got:
         return None
     return fit(np.array([r.x for r in got]), np.array([float(r.y > 0) for r in got]))

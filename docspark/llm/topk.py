@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, materialize, release
+from docspark.llm.common import bounded_batches, materialize, release, some_rows
 
 #: Rows of a block of candidates and of one of queries; queries that are looked at together.
 CANDIDATES, QUERIES, TILE = 8192, 8192, 64
@@ -222,11 +222,11 @@ def padded(column, axes: int) -> np.ndarray:
 
 
 def _space_of(rows: DataFrame) -> tuple[Space, int]:
-    """The space of rows (vec_id, v), fitted on at most SAMPLE of them by hash of vec_id, and how many rows there are."""
+    """The space of rows (vec_id, v), fitted on about SAMPLE of them at most by hash of vec_id, and how many rows there are."""
     n, axes = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     axes = max(1, axes)
     few = max(1, min(SAMPLE, SAMPLE_NUMBERS // axes))
-    sample = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(few).collect() if n else []
+    sample = sorted(some_rows(rows, few, "sample", "vec_id").collect(), key=lambda r: r.vec_id)
     points = np.zeros((len(sample), axes))
     for k, r in enumerate(sample):
         points[k, : len(r.v)] = r.v

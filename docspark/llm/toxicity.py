@@ -8,7 +8,7 @@ How likely a segment of that score is in clean text of that length follows an ex
 clean words and whose size is fitted on clean documents; a document's evidence is that of its best segment and of all significant ones
 together, which a logistic curve turns into a score from 0 to 1.
 
-Features are counted over about ``TRAIN_DOCS`` labelled training rows at most, chosen by hash of doc_id (all of them, if they are fewer), added
+Features are counted over about ``TRAIN_DOCS`` labelled training rows at most, chosen by hash (all of them, if they are fewer), added
 up in each task before counts are shuffled; law and curve are fitted on about ``FIT_DOCS`` of these. These bounds on labelled rows are the
 only ones: every feature that is clear in them counts, and every document is scored in full.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import map_rows, materialize, utf8
+from docspark.llm.common import map_rows, materialize, some_rows, utf8
 
 #: Labelled training rows, and those of the calibration, about at most.
 TRAIN_DOCS, FIT_DOCS = 200_000, 20_000
@@ -156,19 +156,14 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, schema, 20_000).groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def some_rows(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """rows whose doc_id has a low hash, about ``most`` of them; all, if there are no more."""
-    n, parts = rows.count(), 1 << 30
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(parts)) < most * parts // n)
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    order = F.xxhash64(F.lit("toxic"), "doc_id")
-    chosen = materialize(some_rows(materialize(training_rows(labels), "toxic-rows"), TRAIN_DOCS, "train"), "toxic-chosen")
+    chosen = some_rows(materialize(training_rows(labels), "toxic-rows"), TRAIN_DOCS, "train", "doc_id")
+    chosen = materialize(chosen, "toxic-chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    texts = materialize(texts.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id"), "toxic-texts")
+    texts = texts.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id")
     # A text that several rows share is one, toxic if any of them says so.
     once = texts.groupBy(F.xxhash64("text").alias("same"), F.length("text").alias("n")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    once = materialize(once, "toxic-texts")
     counts = materialize(feature_counts(once.select("toxic", "text")), "toxic-features")
     n1, n0 = counts.agg(F.sum("n1"), F.sum("n0")).first()
     if not n1 or not n0:
@@ -181,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     table = counts.select("feature", odds.alias("odds"), clear.alias("clear")).where(F.col("clear") >= CLEAR).select("feature", "odds").collect()
     model = Model({r.feature: r.odds for r in table}, DRIFT)
 
-    some = materialize(some_rows(texts, FIT_DOCS, "fit"), "toxic-sample")
+    some = materialize(some_rows(once, FIT_DOCS, "fit", "same", "n"), "toxic-sample")
     clean = some.where("toxic = 0")
 
     # Drift and decay from the scores of clean words: one row for each score of the table, and one for no score.
@@ -212,26 +207,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # Size of the law: as many segments as clean documents show for their lengths, by maximum likelihood.
     def best():
         def step(batch):
-            for d, text in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
+            for d, text in zip(batch["same"].to_pylist(), utf8(batch["text"]), strict=True):
                 words = words_of(text)
                 yield d, max((e for _, _, e in model.passages(words)), default=None)
 
         return step
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("best", T.DoubleType())])
-    scored = [r.best for r in map_rows(clean, best, schema).orderBy(order, "doc_id", "best").collect() if r.best is not None]
+    schema = T.StructType([T.StructField("same", T.LongType()), T.StructField("best", T.DoubleType())])
+    scored = [r.best for r in sorted(map_rows(clean, best, schema).collect()) if r.best is not None]
     if scored:
         model.size = max(1e-9, len(scored) / sum(10.0**-e for e in scored))
 
     def evidence():
         def step(batch):
-            for d, toxic, text in zip(batch["doc_id"].to_pylist(), batch["toxic"].to_pylist(), utf8(batch["text"]), strict=True):
+            for d, toxic, text in zip(batch["same"].to_pylist(), batch["toxic"].to_pylist(), utf8(batch["text"]), strict=True):
                 yield d, toxic, list(model.evidence(words_of(text)))
 
         return step
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_rows(some, evidence, schema).orderBy(order, "doc_id", "x").collect()
+    schema = T.StructType([T.StructField("same", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    got = sorted(map_rows(some, evidence, schema).collect())
     model.curve = fit_curve(np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]))
     return model
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, chat, lines, mixing, neardup, pii, quality, queries, repeats, simhash, topk, toxicity
+from docspark.llm import bpe, chat, common, lines, mixing, neardup, pii, quality, queries, repeats, simhash, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "one two three four five six seven eight nine ten " * 4000
@@ -874,7 +874,7 @@ def test_toxicity_learns_from_the_stated_rows(spark, monkeypatch):
         assert "vilest$" in toxicity.train(docs, labels).score
         got = {r.feature: (r.n1, r.n0) for r in counts[-1].where("feature IN ('plain$', 'vilest$')").collect()}
         assert n > 55_000 and got == {"plain$": (toxic, n - toxic), "vilest$": (toxic, 0)}
-    assert abs(toxicity.some_rows(want, 6000, "x").count() - 6000) < 400 and toxicity.some_rows(want, n, "x").count() == n
+    assert abs(common.some_rows(want, 6000, "x", "doc_id").count() - 6000) < 400 and common.some_rows(want, n, "x", "doc_id").count() == n
 
 
 # 9
