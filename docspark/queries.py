@@ -285,8 +285,10 @@ def asof_thumbnail(spark, sf_dir):
 
 
 def _bits(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND size(embedding) = 64")
-    return e.select(F.col("vec_id").cast("string"), F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)))
+    """Vectors of any length as rows of eight bits, an even number of rows, two at least."""
+    bits = F.transform(F.coalesce("embedding", F.array().cast("array<float>")), lambda x: F.when(x > 0, 1).otherwise(0))
+    rows = F.greatest(F.lit(2), F.floor((F.size(bits) + 15) / 16).cast("int") * 2)
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string"), F.concat(bits, F.array_repeat(F.lit(0), rows * 8 - F.size(bits))))
 
 
 def _ink(rasters: DataFrame, key: str):
@@ -298,23 +300,25 @@ def _ink(rasters: DataFrame, key: str):
 
 def mask_ink_mmr(spark, sf_dir):
     def call(d, bits):
-        yield d, _page(pack.chunk("Smmr", encode_mmr(np.array(bits, np.uint8).reshape(8, 8))), width=8, height=8)
+        p = np.array(bits, np.uint8).reshape(-1, 8)
+        yield d, _page(pack.chunk("Smmr", encode_mmr(p)), width=8, height=len(p))
 
     return _ink(_whole(_pack(_bits(spark, sf_dir), call)).render(), "vec_id")
 
 
 def mask_ink_jb2(spark, sf_dir):
     def call(d, bits):
-        p = np.array(bits, np.uint8).reshape(8, 8)
-        halves = [(p[4 * k : 4 * k + 4][::-1], 0, 4 - 4 * k) for k in (0, 1)]
-        yield d, _page(pack.chunk("Sjbz", encode_jb2(8, 8, halves)), width=8, height=8)
+        p = np.array(bits, np.uint8).reshape(-1, 8)
+        h = len(p) // 2
+        yield d, _page(pack.chunk("Sjbz", encode_jb2(8, 2 * h, [(p[:h][::-1], 0, h), (p[h:][::-1], 0, 0)])), width=8, height=2 * h)
 
     return _ink(_whole(_pack(_bits(spark, sf_dir), call)).render(), "vec_id")
 
 
 def bilevel_subsample(spark, sf_dir):
     def call(d, bits):
-        yield d, _page(pack.chunk("Smmr", encode_mmr(np.array(bits, np.uint8).reshape(8, 8))), width=8, height=8)
+        p = np.array(bits, np.uint8).reshape(-1, 8)
+        yield d, _page(pack.chunk("Smmr", encode_mmr(p)), width=8, height=len(p))
 
     files = _pack(_bits(spark, sf_dir), call)
     r = _whole(files).render(files.select("doc_id", F.lit(0).alias("page"), F.lit(3).alias("subsample")))
@@ -328,9 +332,13 @@ def bilevel_subsample(spark, sf_dir):
 
 def box_subsample(spark, sf_dir):
     """The same reduction as a relation over pixels; cells without ink are white."""
-    e = _t(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND size(embedding) = 64").select("vec_id", F.posexplode("embedding").alias("k", "v"))
-    s = e.select("vec_id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).alias("y"), F.when(F.col("v") > 0, 1).otherwise(0).alias("value"))
-    out = raster.box_reduced(s, ["vec_id"], 8, 8, 3, True)
+    e = _bits(spark, sf_dir).toDF("id", "bits").select(F.col("id").cast("bigint").alias("vec_id"), "bits", F.floor(F.size("bits") / 8).alias("h"))
+    s = e.select("vec_id", "h", F.posexplode("bits").alias("k", "value")).select("vec_id", "h", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).alias("y"), "value")
+    out = None
+    for h in sorted(r.h for r in e.select("h").distinct().collect()):  # a page size each, few of them
+        part = raster.box_reduced(s.where(F.col("h") == h), ["vec_id"], 8, h, 3, True)
+        out = part if out is None else out.unionByName(part)
+    out = out if out is not None else raster.box_reduced(s, ["vec_id"], 8, 8, 3, True)
     return out.select("vec_id", (F.col("y") * 3 + F.col("x")).cast("bigint").alias("cell"), "value")
 
 
@@ -387,8 +395,9 @@ SELECT l_orderkey, l_linenumber, l_partkey % 3000 + 1 AS w, l_suppkey % 2000 + 1
   (l_orderkey % 4 + l_linenumber % 4) % 4 AS rot, l_linenumber % 4 AS turn, l_orderkey % 4 AS stored FROM lineitem"""
 _TURNED = f"SELECT *, CASE WHEN rot % 2 = 1 THEN h ELSE w END AS rw, CASE WHEN rot % 2 = 1 THEN w ELSE h END AS rh FROM ({_REQUESTS})"
 _CELLS = """
-WITH e AS (SELECT vec_id, unnest(range(64)) AS k, embedding FROM embeddings WHERE len(embedding) = 64),
-p AS (SELECT vec_id, (k // 8 + 1) // 3 * 3 + k % 8 // 3 AS cell, CASE WHEN embedding[k + 1] > 0 THEN 1 ELSE 0 END AS ink FROM e),
+WITH v AS (SELECT vec_id, coalesce(embedding, []) AS e, greatest(2, (len(coalesce(embedding, [])) + 15) // 16 * 2) AS h FROM embeddings),
+b AS (SELECT vec_id, e, unnest(range(8 * h)) AS k, (h + 2) // 3 * 3 - h AS pad FROM v),
+p AS (SELECT vec_id, (k // 8 + pad) // 3 * 3 + k % 8 // 3 AS cell, CASE WHEN e[k + 1] > 0 THEN 1 ELSE 0 END AS ink FROM b),
 c AS (SELECT vec_id, cell, sum(ink)::BIGINT AS n FROM p GROUP BY ALL)
 SELECT vec_id, cell, CASE WHEN n = 0 THEN 255 WHEN n = 9 THEN 0 ELSE 255 - (n * 255 + 4) // 9 END::BIGINT AS value FROM c"""
 _PIXELS = """
@@ -459,8 +468,8 @@ SELECT c_custkey, href, CASE WHEN form = 0 THEN 'none' WHEN form = 1 THEN 'optio
 WITH e AS (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS thumb FROM events),
 o AS (SELECT *, count(CASE WHEN event_type = 'click' THEN 1 END) OVER (PARTITION BY user_id, thumb ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ordinal FROM e)
 SELECT user_id, event_id, thumb, ordinal FROM o WHERE event_type = 'click'""",
-    "mask_ink_mmr": "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS ink FROM embeddings WHERE len(embedding) = 64",
-    "mask_ink_jb2": "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS ink FROM embeddings WHERE len(embedding) = 64",
+    "mask_ink_mmr": "SELECT vec_id, len(list_filter(coalesce(embedding, []), lambda x: x > 0))::BIGINT AS ink FROM embeddings",
+    "mask_ink_jb2": "SELECT vec_id, len(list_filter(coalesce(embedding, []), lambda x: x > 0))::BIGINT AS ink FROM embeddings",
     "bilevel_subsample": _CELLS,
     "box_subsample": _CELLS,
     "union_mask": f"SELECT l_orderkey, count(DISTINCT (x, y)) AS ink FROM ({_PIXELS}) GROUP BY l_orderkey",
