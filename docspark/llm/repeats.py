@@ -14,7 +14,8 @@ shuffle of packed blobs:
 3. Batches mark the windows that go and remove the bytes they cover.
 
 So a passage that a third of all documents hold reaches a bucket once a batch, and no bucket gets an unbounded group: the windows of an
-anchor that more than ``CROWD`` batches hold are dealt by their own hash.
+anchor that more than ``CROWD`` batches hold are dealt by their own hash, and batches grow with the input, so that at 100 TB there are 3
+million of them and as many rows at most for one window.
 
 Defined cases: a null or empty text has nothing to remove; rows with a null doc_id are one document with the largest id; rows that
 repeat a doc_id are one document, so they remove nothing from each other; an empty table gives an empty result; other columns are ignored.
@@ -39,7 +40,9 @@ from docspark.llm.common import map_rows, materialize, utf8
 LENGTH = 50
 #: Bytes of an anchor. A window of LENGTH has LENGTH - ANCHOR + 1 of them, which must not exceed 32 (a word of answers a string).
 ANCHOR = 20
+#: Least bytes of a batch and of a bucket; beyond PARTS of them they grow with the input, up to MOST_BYTES.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+PARTS, MOST_BYTES = 1 << 18, (32 << 20, 64 << 20)
 CROWD = 512
 #: Bytes looked at together, for anchors and for one transform.
 CHUNK, BLOCK = 1 << 15, 1 << 17
@@ -262,8 +265,13 @@ def _share(text: list[bytes], members: list[int], first: np.ndarray, windows: np
     windows[member[row[window]], inside[window]] = found[window]
 
 
-def _batches(docs: DataFrame) -> DataFrame:
-    """(batch, n, ids, sizes, blob): documents packed in batches of about BATCH_BYTES, compressed."""
+def sizes_for(total: int) -> tuple[int, int]:
+    """Bytes of a batch and of a bucket for so many bytes of text."""
+    return tuple(max(least, min(most, total // PARTS)) for least, most in zip((BATCH_BYTES, BUCKET_BYTES), MOST_BYTES, strict=True))
+
+
+def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """(batch, n, ids, sizes, blob): documents packed in batches of about batch_bytes, compressed."""
 
     def make(batches):
         ids, texts, size = [], [], 0
@@ -280,7 +288,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                 ids.append(d)
                 texts.append(text)
                 size += len(text)
-                if size >= BATCH_BYTES or len(ids) >= 65_536:
+                if size >= batch_bytes or len(ids) >= 65_536:
                     yield pack()
                     ids, texts, size, number = [], [], 0, number + 1
         if ids:
@@ -398,9 +406,10 @@ def _by_batch(replies: DataFrame, name: str) -> DataFrame:
 
 def _removed(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataFrame:
     """finish(doc_id, text bytes, removed [start, end) spans) for every row of docs."""
-    packed = _batches(docs)
-    total = packed.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batch_bytes, bucket_bytes = sizes_for(total)
+    packed = _batches(docs, batch_bytes)
+    buckets = max(1, -(-total // bucket_bytes))
     marks = materialize(_by_batch(_first_round(packed, buckets, length), "marks"), "repeat-marks")
     marked = packed.join(marks, "batch", "left")
     replies = materialize(_by_batch(_second_round(marked, buckets, length), "replies"), "repeat-replies")

@@ -1005,6 +1005,11 @@ def test_repeats(spark, docs, none, small, monkeypatch):
     assert repeats.repeat_report(none).collect() == []
 
 
+def test_batches_grow_with_the_input():
+    assert repeats.sizes_for(0) == repeats.sizes_for(10**11) == (4 << 20, 4 << 20)
+    assert repeats.sizes_for(4 * 10**12) == (4 * 10**12 // repeats.PARTS,) * 2 and repeats.sizes_for(10**14) == (32 << 20, 64 << 20)
+
+
 def test_intervals_of_a_transform():
     rng = np.random.default_rng(7)
     for length in (3, 8, 50):
