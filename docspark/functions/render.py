@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
+
 import numpy as np
 
 from docspark.kernels import iw44
@@ -44,7 +47,25 @@ class _Wavelet:
         return Layer(self.grids[r], 0 if r == 1 else r * reduction(info.width, info.height, self.header.width, self.header.height))
 
 
-def dictionary_of(comp: int, parts: list[Part], limits: Limits, cache: dict[int, Image | None] | None = None) -> Image | None:
+#: Dictionaries that a worker keeps, and their pixels in all: a document's pages follow each other, so each is decoded once a document.
+KEPT, KEPT_PIXELS = 32, 32 << 20
+_kept: OrderedDict[tuple, tuple[Image, int]] = OrderedDict()
+
+
+def _dictionary(payload: bytes, inherited: tuple | None, limits: Limits) -> tuple[tuple, Image]:
+    """(key, symbols) of a dictionary that inherits from another one, which is given in the same way."""
+    key = (hashlib.sha256(payload).digest(), inherited and inherited[0], limits)
+    if key in _kept:
+        _kept.move_to_end(key)
+        return key, _kept[key][0]
+    image = decode_jb2(payload, inherited and inherited[1], True, limits=limits)
+    _kept[key] = image, sum(x.width * x.height for x in image.symbols[image.inherited :])
+    while len(_kept) > 1 and (len(_kept) > KEPT or sum(n for _, n in _kept.values()) > KEPT_PIXELS):
+        _kept.popitem(last=False)
+    return key, image
+
+
+def dictionary_of(comp: int, parts: list[Part], limits: Limits) -> Image | None:
     """The symbols a component's image inherits: its own dictionary if it has one, else that of its includes.
 
     Includes may lead to two dictionaries only if their forms are equal.
@@ -53,7 +74,7 @@ def dictionary_of(comp: int, parts: list[Part], limits: Limits, cache: dict[int,
     for p in parts:
         by.setdefault(p.comp, []).append(p)
     done: dict[int, int | None] = {}
-    images: dict[int, Image] = {}
+    images: dict[int, tuple[tuple, Image]] = {}
 
     def owner(c: int, depth: int) -> int | None:
         if depth >= limits.include_depth:
@@ -76,13 +97,13 @@ def dictionary_of(comp: int, parts: list[Part], limits: Limits, cache: dict[int,
                     raise invalid("two dictionaries in a component")
                 own = p
         if own is not None:
-            images[c] = decode_jb2(own.payload, images.get(found), True, limits=limits)
+            images[c] = _dictionary(own.payload, images.get(found), limits)
             found = c
         done[c] = found
         return found
 
     found = owner(comp, 0)
-    return images.get(found)
+    return images[found][1] if found in images else None
 
 
 class Decoded:

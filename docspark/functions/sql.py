@@ -11,8 +11,9 @@ from docspark.encode.pack import ppm
 from docspark.kernels import iff, jb2
 from docspark.kernels.annot import decode_annotations, legacy_strings, metadata_fields, parse
 from docspark.kernels.bzz import bzz_decode
+from docspark.functions.render import options_of
 from docspark.kernels.core import LIMITS, Bad
-from docspark.kernels.geometry import axis_window
+from docspark.kernels.geometry import axis_window, transform
 from docspark.kernels.iw44 import decode_iw44, parse_header
 from docspark.kernels.jpeg import decode_jpeg
 from docspark.kernels.mmr import decode_mmr
@@ -55,7 +56,40 @@ SCALARS = {
     "iw44_header": ("struct<width:int,height:int,color:boolean,half_chroma:boolean,delay:int,size:int>", lambda d: tuple(parse_header(d))),
     "iw44_decode": (IMAGE, lambda d: _image(decode_iw44([d]))),
     "jpeg_decode": (IMAGE, lambda d: _image(decode_jpeg(d))),
+    "thumbnail_decode": (IMAGE, lambda d: _image(decode_iw44([d]))),
 }
+GEOMETRY = "struct<page_width:int,page_height:int,rotation:int,matrix:array<double>,inverse:array<double>>"
+RASTER = "struct<width:int,height:int,rgba:binary,status:string>"
+
+
+def _geometry_of(width, height, stored, subsample, box_width, box_height, turn) -> tuple | None:
+    box = None if pd.isna(box_width) else (int(box_width), int(box_height))
+    try:
+        t = transform(iff.Info(int(width), int(height), 300, int(stored)), options_of({"subsample": int(subsample), "box_width": box and box[0], "box_height": box and box[1], "rotation": int(turn)}))
+    except (Bad, TypeError, ValueError):
+        return None
+    return t.page_width, t.page_height, t.rotation, list(t.matrix), list(t.inverse)
+
+
+def _render_page(content: bytes, page: int, subsample: int) -> tuple:
+    """A page of a file that leans on no others."""
+    from docspark.functions.render import Part, render_requests
+    from docspark.plans.document_set import ROLES, Wanted
+    from docspark.sources.documents import _pages_of, directory_of
+
+    try:
+        root = iff.root(content)
+        _, entries = directory_of(root, LIMITS)
+    except Bad as e:
+        return None, None, None, e.code
+    for number, _, form, _, info, status, expanded, parts in _pages_of(root, entries, Wanted(*ROLES, starts=("BG", "FG")), LIMITS):
+        if number == page:
+            if status != "ok" or expanded != "ok":
+                return None, None, None, status if status != "ok" else expanded
+            found = [Part(comp, id_, data, target, digest) for _, comp, _, id_, data, target, digest in parts]
+            for _, t, rgba, state in render_requests(iff.Info(*info), form if form != "DJVM" else "DJVU", found, [{"subsample": subsample}]):
+                return t and t.width, t and t.height, rgba, state
+    return None, None, None, "InvalidArgument"
 
 
 def _palette(data: bytes) -> dict:
@@ -185,6 +219,24 @@ def register(spark: SparkSession) -> None:
     def ppm_encode(width: pd.Series, height: pd.Series, rgba: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else ppm(int(w), int(h), bytes(p)) for w, h, p in zip(width, height, rgba, strict=True)], dtype=object)
 
+    @F.pandas_udf(GEOMETRY)
+    def geometry_of(width: pd.Series, height: pd.Series, stored: pd.Series, subsample: pd.Series, box_width: pd.Series, box_height: pd.Series, turn: pd.Series) -> pd.DataFrame:
+        rows = [_geometry_of(*r) or (None,) * 5 for r in zip(width, height, stored, subsample, box_width, box_height, turn, strict=True)]
+        return pd.DataFrame(rows, columns=["page_width", "page_height", "rotation", "matrix", "inverse"], dtype=object)
+
+    @F.pandas_udf(RASTER)
+    def render_page(content: pd.Series, page: pd.Series, subsample: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 4 if c is None else _render_page(bytes(c), int(p), int(s)) for c, p, s in zip(content, page, subsample, strict=True)]
+        return pd.DataFrame(rows, columns=["width", "height", "rgba", "status"], dtype=object)
+
+    @F.pandas_udf("binary")
+    def union_mask(mask: pd.Series) -> bytes:
+        """Packed masks of one size, as jb2_decode and mmr_decode give them, laid over each other."""
+        rows = [np.frombuffer(bytes(m), np.uint8) for m in mask if m is not None]
+        return np.bitwise_or.reduce(rows).tobytes() if rows else None
+
     spark.udf.register("ppm_encode", ppm_encode)
+    for name, call in (("geometry_of", geometry_of), ("render_page", render_page), ("union_mask", union_mask)):
+        spark.udf.register(name, call)
     kind = "CASE WHEN href IS NULL OR href = '' THEN 'none' WHEN startswith(href, '?') THEN 'options' WHEN NOT startswith(href, '#') THEN 'url' ELSE 'page' END"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION link_kind(href STRING) RETURNS STRING RETURN {kind}")

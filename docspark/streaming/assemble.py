@@ -1,7 +1,8 @@
 """Indirect documents whose component files arrive one by one.
 
 A document is held, keyed by its id, until its index and every file the index names are there; then it leaves once, as files for
-``DocumentSet``. One that waits longer than the timeout leaves with what it has and the status MissingComponent. A run with
+``DocumentSet``. One that waits longer than the timeout leaves with what it has and the status MissingComponent. For as long again its id
+is remembered, without its files, so that files that come late or twice don't make it leave again. A run with
 ``availableNow`` needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off, or it stays to wait for timeouts.
 """
 
@@ -20,6 +21,8 @@ from docspark.sources.documents import directory_of
 
 ARRIVALS = "doc_id string, name string, content binary"
 OUT = "doc_id string, status string, missing array<string>, content binary, files array<struct<name:string,content:binary>>"
+#: What a document that has left is remembered by.
+LEFT = "left"
 STATE = "index binary, names array<string>, contents array<binary>, wanted string"
 
 
@@ -34,8 +37,14 @@ def assemble(arrivals: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         index, names, contents, wanted = state.get if state.exists else (None, [], [], None)
-        files = dict(zip(names, contents, strict=True))
         timed_out = state.hasTimedOut
+        if wanted == LEFT:
+            if timed_out:
+                state.remove()
+            else:
+                state.setTimeoutDuration(timeout_ms)
+            return
+        files = dict(zip(names, contents, strict=True))
         if not timed_out:
             for batch in batches:
                 for name, content in zip(batch["name"], batch["content"], strict=True):
@@ -52,7 +61,8 @@ def assemble(arrivals: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
         if timed_out or index is not None and (not lack or status != "ok"):
             if timed_out and (index is None or lack):
                 status = "MissingComponent"
-            state.remove()
+            state.update((None, [], [], LEFT))
+            state.setTimeoutDuration(timeout_ms)
             kept = [{"name": n, "content": c} for n, c in sorted(files.items())]
             yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "missing": [lack], "content": [index], "files": [kept]})
             return

@@ -316,6 +316,8 @@ def test_assembled_stream(spark, tmp_path):
     supplied = spark.createDataFrame([("w", f.name, bytearray(f.content)) for f in got[0].files], "doc_id string, name string, content binary")
     files = spark.createDataFrame([("w", bytearray(got[0].content))], "doc_id string, content binary")
     assert [(r.page, r.text) for r in DocumentSet(files, supplied).text().collect()] == [(0, "late words")]
+    (whole / "q2").write_bytes(parts["q"])  # a late repeat of a document that has left
+    assert [r.doc_id.rsplit("/", 1)[1] for r in run()] == ["whole"]
 
 
 def test_sql_functions(spark):
@@ -336,6 +338,47 @@ def test_sql_functions(spark):
     assert (r.p.width, r.p.height, set(r.p.rgb)) == (5, 4, {9}) and not r.h.color and r.j.width is None
 
 
+def test_sql_functions_of_pages(spark):
+    from docspark.functions import sql
+
+    sql.register(spark)
+    ink = np.eye(10, 12, dtype=np.uint8)
+    masks = [encode_mmr(ink), encode_mmr(np.fliplr(ink))]
+    content = pack.document(page(pack.chunk("Smmr", masks[0])))
+    spark.createDataFrame([(bytearray(content), bytearray(m)) for m in masks], "d binary, m binary").createOrReplaceTempView("pages_of_masks")
+    r = spark.sql("SELECT render_page(d, 0, 1) AS a, render_page(d, 1, 1) AS b, render_page(m, 0, 1) AS c FROM pages_of_masks").first()
+    assert (r.a.width, r.a.height, r.a.status, r.b.status, r.c.status) == (12, 10, "ok", "InvalidArgument", "InvalidData")
+    assert (np.frombuffer(r.a.rgba, np.uint8)[::4].reshape(10, 12) == 255 - 255 * ink).all()
+    u = spark.sql("SELECT union_mask(mmr_decode(m).mask) AS u FROM pages_of_masks").first().u
+    assert bytes(u) == np.packbits((ink | np.fliplr(ink)).ravel(), bitorder="little").tobytes()
+    g = spark.sql("SELECT geometry_of(12, 10, 1, 1, CAST(NULL AS INT), CAST(NULL AS INT), 0) AS g, geometry_of(12, 10, 0, 0, 5, 5, 0) AS h").first()
+    assert (g.g.page_width, g.g.page_height, g.g.rotation) == (10, 12, 1)
+    spark.createDataFrame([(bytearray(encode_iw44(_gray(9, 4, 5))[0]),)], "w binary").createOrReplaceTempView("thumbs")
+    assert spark.sql("SELECT thumbnail_decode(w).width AS w FROM thumbs").first().w == 5
+
+
+def test_a_dictionary_is_decoded_once(monkeypatch):
+    """Pages that share a dictionary decode it once in a worker, whatever else they inherit; what is kept stays bounded."""
+    from docspark.functions import render
+    from docspark.kernels.iff import Info
+
+    square = np.ones((3, 3), np.uint8)
+    book = [encode_jb2(0, 0, [(square * (k % 2), 0, 0)], comment=bytes([k])) for k in range(40)]
+    calls = []
+    real = render.decode_jb2
+    monkeypatch.setattr(render, "decode_jb2", lambda data, *a, **k: calls.append(data) or real(data, *a, **k))
+    render._kept.clear()
+    mask = encode_jb2(9, 9, [(square, 1, 1)], [square])
+    for _ in range(5):
+        parts = [render.Part(1, "Djbz", book[1], None, "h"), render.Part(0, "INCL", b"", 1, None), render.Part(0, "Sjbz", mask, None, None)]
+        (_, _, rgba, status), = render.render_requests(Info(9, 9, 300, 0), "DJVU", parts, [{}])
+        assert status == "ok" and (np.frombuffer(rgba, np.uint8)[::4] == 0).sum() == 9
+    assert calls.count(book[1]) == 1
+    for b in book:
+        render.dictionary_of(0, [render.Part(0, "Djbz", b, None, None)], render.LIMITS)
+    assert len(render._kept) <= render.KEPT
+
+
 @pytest.mark.parametrize("progressive", [False, True])
 @pytest.mark.parametrize("shape", [(9, 13), (40, 33)])
 def test_jpeg_against_the_jvm(spark, progressive, shape):
