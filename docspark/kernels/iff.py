@@ -43,11 +43,12 @@ def chunks(data: bytes, base: int = 0) -> Iterator[Chunk]:
     while at < len(data):
         if len(data) - at < 8:
             raise invalid("short chunk header")
-        size = int.from_bytes(data[at + 4 : at + 8], "big")
+        head = bytes(data[at : at + 8])
+        size = int.from_bytes(head[4:], "big")
         end = at + 8 + size
         if end > len(data):
             raise invalid("chunk overruns")
-        yield Chunk(data[at : at + 4].decode("latin-1"), base + at, data[at + 8 : end])
+        yield Chunk(head[:4].decode("latin-1"), base + at, data[at + 8 : end])
         at = min(len(data), end + (size & 1))
 
 

@@ -6,6 +6,7 @@ by doc_id, pages by (doc_id, page), so a large document spreads over many tasks
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,8 +46,11 @@ RASTERS = (
 ROLES = ("INFO", "INCL", "Djbz", "Sjbz", "Smmr", "BG44", "FG44", "BGjp", "FGjp", "FGbz", "PM44", "BM44", "TH44")
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*", limits: Limits = LIMITS) -> DocumentSet:
-    return DocumentSet(documents.read_files(spark, path, glob), limits=limits)
+def read_documents(spark: SparkSession, path: str, glob: str = "*", limits: Limits = LIMITS, ranges: bool = False) -> DocumentSet:
+    """The documents under a path. With ``ranges`` files are opened by the tasks, which read only what a question needs, however large a file is."""
+    if ranges:
+        limits = replace(limits, input_bytes=max(limits.input_bytes, 1 << 62))
+    return DocumentSet(documents.read_files(spark, path, glob, ranges), limits=limits)
 
 
 class Wanted:
@@ -68,7 +72,8 @@ class Wanted:
 class DocumentSet:
     """A collection of documents.
 
-    linked says whether some documents lean on other files, if that is known. files: (doc_id, content). supplied: (doc_id, name, content) of component files of indirect documents and stand-alone pages; without it
+    linked says whether some documents lean on other files, if that is known. files: (doc_id, content), or paths in place of contents, which are then
+    read by ranges. supplied: (doc_id, name, content) of component files of indirect documents and stand-alone pages; without it
     the siblings of an indirect index by path are taken from ``files`` themselves.
     """
 
@@ -81,13 +86,30 @@ class DocumentSet:
     def _any_linked(self) -> bool:
         """Whether some document leans on other files: known from the caller, or looked up once in the heads of the files."""
         if self._linked_known is None:
-            self._linked_known = not self.files.where(documents.leans_on_others(F.col("content"))).limit(1).isEmpty()
+            self._linked_known = not self._leaning.limit(1).isEmpty()
         return self._linked_known
 
+    @cached_property
+    def _by_ranges(self) -> bool:
+        return self.files.schema["content"].dataType.simpleString() == "string"
+
+    @cached_property
+    def _leaning(self) -> DataFrame:
+        """The files that lean on others: by a native test of their heads, or if paths stand for contents by their headers."""
+        if self._by_ranges:
+            return self.files.join(documents.leaning_files(self.files, self.limits), "doc_id", "left_semi")
+        return self.files.where(documents.leans_on_others(F.col("content")))
+
+    @cached_property
+    def _alone(self) -> DataFrame:
+        if self._by_ranges:
+            return self.files.join(documents.leaning_files(self.files, self.limits), "doc_id", "left_anti")
+        return self.files.where(~documents.leans_on_others(F.col("content")))
+
     @cached_property
     def _linked(self) -> DocumentSet:
         """The documents that lean on other files; only these take the relational way to their pages."""
-        some = DocumentSet(self.files.where(documents.leans_on_others(F.col("content"))), self._supplied, self.limits)
+        some = DocumentSet(self._leaning, self._supplied, self.limits)
         if self._supplied is None:
             some.__dict__["supplied"] = self.supplied
         return some
@@ -96,8 +118,7 @@ class DocumentSet:
         """One row a page with its information and its expanded chunks of the wanted ids."""
         if not self._any_linked:
             return documents.whole_pages(self.files, wanted, self.limits)
-        alone = self.files.where(~documents.leans_on_others(F.col("content")))
-        return documents.whole_pages(alone, wanted, self.limits).unionByName(self._linked._joined_pages(wanted))
+        return documents.whole_pages(self._alone, wanted, self.limits).unionByName(self._linked._joined_pages(wanted))
 
     def _joined_pages(self, wanted) -> DataFrame:
         """The same by joins: components may be files of their own."""
@@ -351,8 +372,7 @@ class DocumentSet:
     def _records(self) -> DataFrame:
         if not self._any_linked:
             return documents.whole_records(self.files, self.limits)
-        alone = self.files.where(~documents.leans_on_others(F.col("content")))
-        return documents.whole_records(alone, self.limits).unionByName(self._linked._joined_records.select("doc_id", "root", "seq", "xmp", "key", "value", "page", "status"))
+        return documents.whole_records(self._alone, self.limits).unionByName(self._linked._joined_records.select("doc_id", "root", "seq", "xmp", "key", "value", "page", "status"))
 
     @cached_property
     def _joined_records(self) -> DataFrame:

@@ -1,6 +1,6 @@
 """Document files as tables of containers, forms and pages.
 
-A file is read once by Spark's binary reader. ``containers`` has a row for each document with the entries of its directory; ``forms`` has
+A file is read once by Spark's binary reader, or by ranges (``ranges``) if its path stands for its content. ``containers`` has a row for each document with the entries of its directory; ``forms`` has
 a row for each FORM with its chunks. Damage becomes a status, never a failed job.
 """
 
@@ -17,6 +17,7 @@ from docspark.kernels.annot import metadata_fields
 from docspark.kernels.bzz import bzz_decode
 from docspark.kernels.core import LIMITS, Bad, Limits, exceeded, invalid, unsupported
 from docspark.operators.includes import walk
+from docspark.sources.ranges import content_of
 
 ENTRY = "struct<comp:int,id:string,name:string,title:string,kind:string,size:long,offset:long>"
 CONTAINERS = f"doc_id string, size long, form_type string, indirect boolean, entries array<{ENTRY}>, status string, error string"
@@ -24,10 +25,10 @@ CHUNK = "struct<ord:int,chunk_id:string,offset:long,length:long,payload:binary>"
 FORMS = f"doc_id string, offset long, form string, length long, chunks array<{CHUNK}>, status string, error string"
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """doc_id (the path) and content of all files under a path."""
+def read_files(spark: SparkSession, path: str, glob: str = "*", ranges: bool = False) -> DataFrame:
+    """doc_id (the path) and content of all files under a path; with ``ranges`` the path stands for the content, and nothing is read yet."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("doc_id"), "content")
+    return files.select(F.col("path").alias("doc_id"), (F.col("path") if ranges else F.col("content")).alias("content"))
 
 
 INFO = "struct<width:int,height:int,dpi:int,rotation:int,gamma_tenths:int,version:int>"
@@ -42,6 +43,23 @@ def leans_on_others(content) -> Column:
     return F.coalesce(indirect | ((kind == F.lit(b"DJVU")) & F.contains(content, F.lit(b"INCL"))), F.lit(False))
 
 
+def leaning_files(files: DataFrame, limits: Limits) -> DataFrame:
+    """doc_id of files by ranges that may need other files; only their headers are read."""
+
+    def call(doc_id, content):
+        with content_of(content) as data:
+            try:
+                root = iff.root(data, limits)
+                first = next(iff.chunks(root.data[4:]), None)
+                leans = root.form == "DJVM" and first is not None and first.id == "DIRM" and len(first.data) > 0 and bytes(first.data[:1])[0] < 128
+                if leans or root.form == "DJVU" and any(c.id == "INCL" for c in iff.chunks(root.data[4:])):
+                    yield (doc_id,)
+            except Bad:
+                return
+
+    return flat_map(files.select("doc_id", "content"), "doc_id string", call)
+
+
 def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
@@ -55,7 +73,7 @@ def directory_of(root: iff.Chunk, limits: Limits) -> tuple[bool, list[tuple]]:
             raise invalid("no directory")
         if len(children) > limits.chunks:
             raise exceeded("chunks")
-        indirect, entries = iff.parse_directory(children[0].data, limits)
+        indirect, entries = iff.parse_directory(bytes(children[0].data), limits)
         forms = {c.offset: c for c in children[1:] if c.id == "FORM"}
         if len(forms) > limits.components:
             raise exceeded("components")
@@ -75,7 +93,7 @@ def directory_of(root: iff.Chunk, limits: Limits) -> tuple[bool, list[tuple]]:
         seen = {""}
         for c in root.children() if kind == "DJVU" else ():
             if c.id == "INCL":
-                id_ = include_id(c.data)
+                id_ = include_id(bytes(c.data))
                 if id_ not in seen:
                     seen.add(id_)
                     out.append((len(out), id_, id_, id_, "shared", 0, None))
@@ -101,13 +119,14 @@ def containers(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
     def call(doc_id, content):
         form = None
-        try:
-            root = iff.root(content, limits)
-            form = root.form
-            indirect, entries = directory_of(root, limits)
-            yield doc_id, len(content), form, indirect, entries, "ok", None
-        except Bad as e:
-            yield doc_id, len(content), form, None, [], e.code, e.why or None
+        with content_of(content) as data:
+            try:
+                root = iff.root(data, limits)
+                form = root.form
+                indirect, entries = directory_of(root, limits)
+                yield doc_id, len(data), form, indirect, entries, "ok", None
+            except Bad as e:
+                yield doc_id, len(data), form, None, [], e.code, e.why or None
 
     return flat_map(files.select("doc_id", "content"), CONTAINERS, call)
 
@@ -124,21 +143,22 @@ def forms(files: DataFrame, limits: Limits = LIMITS, wanted=None) -> DataFrame:
             if len(children) > limits.chunks:
                 raise exceeded("chunks")
             # Components are rows of their own; the root of a bundle keeps only its other chunks.
-            data = lambda c: c.data if wanted is None or wanted(c.id) else None
+            data = lambda c: bytes(c.data) if wanted is None or wanted(c.id) else None
             kept = [(k, c.id, c.offset, len(c.data), data(c)) for k, c in enumerate(children) if not (form.form == "DJVM" and c.id == "FORM")]
             return (doc_id, form.offset, form.form, len(form.data) + 8, kept, "ok", None), children
         except Bad as e:
             return (doc_id, form.offset, None, len(form.data) + 8, [], e.code, e.why or None), []
 
     def call(doc_id, content):
-        try:
-            root = iff.root(content, limits)
-        except Bad:
-            return
-        out, children = row(doc_id, root)
-        yield out
-        if root.form == "DJVM":
-            yield from (row(doc_id, c)[0] for c in children if c.id == "FORM")
+        with content_of(content) as data:
+            try:
+                root = iff.root(data, limits)
+            except Bad:
+                return
+            out, children = row(doc_id, root)
+            yield out
+            if root.form == "DJVM":
+                yield from (row(doc_id, c)[0] for c in children if c.id == "FORM")
 
     return flat_map(files.select("doc_id", "content"), FORMS, call, 64)
 
@@ -150,12 +170,13 @@ def whole_pages(files: DataFrame, wanted, limits: Limits = LIMITS) -> DataFrame:
     """
 
     def call(doc_id, content):
-        try:
-            root = iff.root(content, limits)
-            _, entries = directory_of(root, limits)
-        except Bad:
-            return
-        yield from ((doc_id, *row) for row in _pages_of(root, entries, wanted, limits))
+        with content_of(content) as data:
+            try:
+                root = iff.root(data, limits)
+                _, entries = directory_of(root, limits)
+            except Bad:
+                return
+            yield from ((doc_id, *row) for row in _pages_of(root, entries, wanted, limits))
 
     return flat_map(files.select("doc_id", "content"), PAGES, call, 64)
 
@@ -178,7 +199,8 @@ class Opened:
         self.kind = {e[0]: e[4] for e in entries}
         ids = {e[1].encode(): e[0] for e in entries}
         follow = root.form not in iff.WAVELET_FORMS
-        self.edges = {c: [(k, ids.get(x.data, ids.get(x.data.rstrip(b"\0\r\n")))) for k, x in enumerate(found) if follow and x.id == "INCL"] for c, found in self.children.items()}
+        target = lambda raw: ids.get(raw, ids.get(raw.rstrip(b"\0\r\n")))
+        self.edges = {c: [(k, target(bytes(x.data))) for k, x in enumerate(found) if follow and x.id == "INCL"] for c, found in self.children.items()}
 
     def walk(self, comp: int, limits: Limits) -> list[tuple]:
         """(comp, path, status, missing) of the components that a root's expansion visits; a damaged one ends it with its own status."""
@@ -196,8 +218,8 @@ def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
     def part(place, comp, k, chunk):
         target = dict(edges[comp]).get(k) if chunk.id == "INCL" else None
         if kind[comp] != "page" and comp not in hashes:
-            hashes[comp] = hashlib.sha256(forms[entries[comp][6]].data).hexdigest()
-        return [*place, k], comp, k, chunk.id, chunk.data, target, hashes.get(comp)
+            hashes[comp] = hashlib.sha256(bytes(forms[entries[comp][6]].data)).hexdigest()
+        return [*place, k], comp, k, chunk.id, bytes(chunk.data), target, hashes.get(comp)
 
     def info_of(data: bytes | None, dpi: int | None) -> tuple[tuple | None, str]:
         try:
@@ -217,15 +239,15 @@ def _pages_of(root: iff.Chunk, entries: list[tuple], wanted, limits: Limits):
     if root.form == "THUM":
         images = [(k, c) for k, c in enumerate(children.get(0, ())) if c.id == "TH44"]
         for page, (k, c) in enumerate(images):
-            info, status = info_of(c.data, 300)
+            info, status = info_of(bytes(c.data[:16]), 300)
             yield page, 0, "THUM", k, info, status, "ok", [part([], 0, k, c)] if wanted(c.id) else []
         return
     for page, comp in enumerate(c for c, k in kind.items() if k == "page"):
         if root.form in iff.WAVELET_FORMS:
-            first = next((c.data for c in children.get(comp, ()) if c.id == root.form), None)
+            first = next((bytes(c.data[:16]) for c in children.get(comp, ()) if c.id == root.form), None)
             info, status = info_of(first, 100)
         else:
-            named = [c.data for c in children.get(comp, ()) if c.id == "INFO"]
+            named = [bytes(c.data) for c in children.get(comp, ()) if c.id == "INFO"]
             info, status = info_of(named[0] if len(named) == 1 else None, None)
         if comp in broken:
             info, status = None, broken[comp]
@@ -254,15 +276,16 @@ def whole_records(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """
 
     def call(doc_id, content):
-        try:
-            root = iff.root(content, limits)
-            _, entries = directory_of(root, limits)
-        except Bad:
-            return
-        try:
-            yield from ((doc_id, *r, "ok") for r in _records_of(Opened(root, entries, limits), limits))
-        except Bad as e:
-            yield doc_id, None, None, None, None, None, None, e.code
+        with content_of(content) as opened:
+            try:
+                root = iff.root(opened, limits)
+                _, entries = directory_of(root, limits)
+            except Bad:
+                return
+            try:
+                yield from ((doc_id, *r, "ok") for r in _records_of(Opened(root, entries, limits), limits))
+            except Bad as e:
+                yield doc_id, None, None, None, None, None, None, e.code
 
     return flat_map(files.select("doc_id", "content"), RECORDS, call)
 
@@ -274,7 +297,9 @@ def _records_of(doc: Opened, limits: Limits) -> list[tuple]:
         at = 0
         for k, c in enumerate(found):
             if c.id in ("ANTa", "ANTz") and doc.kind[comp] != "thumbnail":
-                data = bzz_decode(c.data, min(limits.annotation_bytes - total, limits.bzz_bytes), limits) if c.id == "ANTz" and c.data else c.data
+                data = bytes(c.data)
+                if c.id == "ANTz" and data:
+                    data = bzz_decode(data, min(limits.annotation_bytes - total, limits.bzz_bytes), limits)
                 total += len(data)
                 if total > limits.annotation_bytes:
                     raise exceeded("annotations")

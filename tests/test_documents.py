@@ -417,6 +417,45 @@ def test_repaired_text_matches_python(spark):
         assert r.t == cases[r.k].decode("utf-8", "replace") and r.s == cases[r.k][1:3].decode("utf-8", "replace")
 
 
+def test_documents_by_ranges(spark, tmp_path):
+    """The same answers whether files are read whole or by ranges; a gigabyte of image data that a question does not need stays unread."""
+    from docspark.plans.document_set import read_documents
+
+    index, parts = pack.indirect([Component("p", "page", page(pack.include("s"), pack.text(b"one"))), Component("s", "shared", shared(pack.annotations(b'(metadata (k "v"))')))])
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, data in {"index.djvu": index, **parts, "book.djvu": pack.bundle(book()), "alone.djvu": pack.document(page(pack.text(b"two"))), "damaged.djvu": b"AT&TFORM"}.items():
+        (folder / name).write_bytes(data)
+    whole, ranged = (read_documents(spark, str(folder), ranges=r) for r in (False, True))
+    for ask in (lambda d: d.documents(), lambda d: d.components(), lambda d: d.pages(), lambda d: d.metadata()):
+        assert sorted(map(repr, ask(whole).collect())) == sorted(map(repr, ask(ranged).collect()))
+
+    large = tmp_path / "large"
+    large.mkdir()
+    notes = pack.annotations(b'(metadata (Title "of a large page"))')
+    size, head = 1 << 30, b"DJVU" + pack.info(10, 10)
+    total = len(head) + 8 + size + len(notes)
+    with open(large / "scan.djvu", "wb") as f:  # a hole in the file, so the test needs no disk
+        f.write(b"AT&TFORM" + total.to_bytes(4, "big") + head + b"BG44" + size.to_bytes(4, "big"))
+        f.seek(size, 1)
+        f.write(notes)
+    d = read_documents(spark, str(large), ranges=True)
+    assert [(r.key, r.value, r.page) for r in d.metadata().collect()] == [("Title", "of a large page", 0)]
+    assert [(r.width, r.status) for r in d.pages().collect()] == [(10, "ok")]
+
+
+def test_spans():
+    import io
+
+    from docspark.sources.ranges import Span
+
+    data = bytes(range(100))
+    s = Span(io.BytesIO(data), 0, 100)
+    for a, b in ((0, 100), (3, 50), (-10, None), (90, 400), (60, 20)):
+        assert bytes(s[a:b]) == data[a:b] and len(s[a:b]) == len(data[a:b]) and bytes(s[a:b][2:5]) == data[a:b][2:5]
+    assert s.startswith(b"\0\1") and s[65:70].decode() == "ABCDE"
+
+
 def test_hash_of_a_page_is_stable(make):
     doc = pack.document(page(pack.chunk("Smmr", encode_mmr(np.eye(10, 12, dtype=np.uint8)))))
     r = DocumentSet(make({"d": doc})).render().first()
