@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import WORD, materialize, small_join
+from docspark.llm.common import BROADCAST_ROWS, WORD, materialize, small_join
 
 #: Weights by the order of sources, repeated; a source gives at most MOST times its size.
 WEIGHTS = (5, 2, 1)
@@ -148,13 +148,10 @@ def _decided(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame
     return rows.drop("s", "c", "docs", "words", "n", "b", "last", "split", "whole", "rank", "slice")
 
 
-def _one_by_one(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows with copies (``name``) and ``some``: of the rows of one key the first ``some`` take one more, in the order of the parts they are written in."""
-    plain, ties = rows.where("some IS NULL").drop("some"), rows.where("some IS NOT NULL")
-    ties = materialize(ties.withColumn("__id", F.monotonically_increasing_id()), "mix-ties")
-    if ties.isEmpty():
-        return plain
-    ties = ties.withColumn("__part", F.shiftright("__id", 33))
+def _one_by_one(ties: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows with copies (``name``) and ``some``: of the rows of one key the first ``some`` take one more, in the order of the parts they are written in."""
+    columns = [c for c in ties.columns if c != "some"]
+    ties = materialize(ties.withColumn("__id", F.monotonically_increasing_id()), "mix-ties").withColumn("__part", F.shiftright("__id", 33))
     counts = ties.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
@@ -163,8 +160,7 @@ def _one_by_one(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     for j, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{j}"))
     ties = ties.withColumn("__place", place).join(counts, on)
-    ties = ties.withColumn(name, F.col(name) + F.when(F.col("__before") + F.col("__place") <= F.col("some"), 1).otherwise(0))
-    return plain.unionByName(ties.select(*plain.columns))
+    return ties.withColumn(name, F.col(name) + F.when(F.col("__before") + F.col("__place") <= F.col("some"), 1).otherwise(0)).select(*columns)
 
 
 def _uniform(seed: str) -> Column:
@@ -185,7 +181,8 @@ def _sized(docs: DataFrame, seed: str) -> DataFrame:
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs; also copies, the whole documents that the mix takes."""
     rows = _decided(materialize(_sized(docs, seed), "mix-sizes"), weights, most)
-    rows = _one_by_one(rows, ["doc_id", "source", "tie"], "copies")
+    plain, ties = rows.where("some IS NULL").drop("some"), rows.where("some IS NOT NULL")
+    rows = plain if ties.isEmpty() else plain.unionByName(_one_by_one(ties, ["doc_id", "source", "tie"], "copies"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -197,10 +194,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     copies = rows.groupBy(*keys).agg(F.max("copies").alias("__llm_copies"), F.max("some").alias("some")).where("__llm_copies > 0 OR some > 0")
     copies = materialize(copies.withColumnRenamed("some", "__llm_some"), "mix-copies")
     named = docs["doc_id"].cast("long").eqNullSafe(F.col("__llm_doc_id")) & docs["source"].cast("string").eqNullSafe(F.col("__llm_source")) & (_tie(docs["text"]) == F.col("__llm_tie"))
-    joined = docs.join(copies, named).select(*[docs[c].alias(f"__c{k}") for k, c in enumerate(docs.columns)], "__llm_doc_id", "__llm_source", "__llm_tie", "__llm_copies", F.col("__llm_some").alias("some"))
-    joined = _one_by_one(joined, ["__llm_doc_id", "__llm_source", "__llm_tie"], "__llm_copies").where("__llm_copies > 0")
-    joined = joined.withColumn("__llm_n", F.explode(F.sequence(F.lit(1), F.col("__llm_copies").cast("int"))))
-    return joined.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    columns = [docs[c].alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+
+    def joined(found: DataFrame, *more: str) -> DataFrame:
+        return docs.join(found, named).select(*columns, "__llm_copies", *more)
+
+    out = joined(copies.where("__llm_some IS NULL"))
+    split = copies.where("__llm_some IS NOT NULL")
+    n = split.count()
+    if n:  # at most one key of each class
+        ties = joined(F.broadcast(split) if n <= BROADCAST_ROWS else split, "__llm_doc_id", "__llm_source", "__llm_tie", F.col("__llm_some").alias("some"))
+        ties = _one_by_one(ties, ["__llm_doc_id", "__llm_source", "__llm_tie"], "__llm_copies")
+        out = out.unionByName(ties.select(*out.columns).where("__llm_copies > 0"))
+    out = out.withColumn("__llm_n", F.explode(F.sequence(F.lit(1), F.col("__llm_copies").cast("int"))))
+    return out.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 ORACLE = r"""
