@@ -285,12 +285,15 @@ class DocumentSet:
             raise ValueError(scope)
         return lack.join(ids, ["doc_id", "comp"]).select("doc_id", "page", "comp", "id")
 
-    def text(self) -> DataFrame:
-        """(doc_id, page, bytes, text, has_replacements, zones, status): no row where a page has no text chunk."""
+    def _text_chunks(self) -> DataFrame:
+        """(doc_id, page, chunk_id, payload, height, status) of pages with a text chunk, or whose expansion fails."""
         rows = self._page_rows(Wanted("TXTa", "TXTz"))
         n, part = F.size("parts"), F.get(F.col("parts"), F.lit(0))
         status = F.when(F.col("expanded") != "ok", F.col("expanded")).when(n > 1, "InvalidData").otherwise(F.col("status"))
-        rows = rows.where((n > 0) | (F.col("expanded") != "ok")).select("doc_id", "page", part["chunk_id"].alias("chunk_id"), part["payload"].alias("payload"), F.col("info.height").alias("height"), status.alias("status"))
+        return rows.where((n > 0) | (F.col("expanded") != "ok")).select("doc_id", "page", part["chunk_id"].alias("chunk_id"), part["payload"].alias("payload"), F.col("info.height").alias("height"), status.alias("status"))
+
+    def text(self) -> DataFrame:
+        """(doc_id, page, bytes, text, has_replacements, zones, status): no row where a page has no text chunk."""
         limits = self.limits
 
         def call(doc_id, page, chunk_id, payload, height, status):
@@ -303,11 +306,21 @@ class DocumentSet:
             yield doc_id, page, data, None if data is None else not is_utf8(data), zones, status
 
         schema = f"doc_id string, page int, bytes binary, has_replacements boolean, zones array<{ZONE}>, status string"
-        out = flat_map(rows, schema, call)
+        out = flat_map(self._text_chunks(), schema, call)
         return out.select("doc_id", "page", "bytes", native.repaired(F.col("bytes")).alias("text"), "has_replacements", "zones", "status")
 
     def zones(self) -> DataFrame:
-        return self.text().where("status = 'ok'").select("doc_id", "page", F.explode("zones").alias("z")).select("doc_id", "page", "z.*")
+        """One row a zone of the pages whose text can be read, in preorder."""
+        limits = self.limits
+
+        def call(doc_id, page, chunk_id, payload, height, status):
+            if status == "ok":
+                got, _, _ = guarded(decode_text, payload, chunk_id == "TXTz", height, limits)
+                if got is not None:
+                    yield from ((doc_id, page, k, *z) for k, z in enumerate(got[1]))
+
+        fields = ZONE.removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+        return flat_map(self._text_chunks(), f"doc_id string, page int, {fields}", call, 8192)
 
     def outline(self) -> DataFrame:
         """(doc_id, idx, title, href, parent, subtree_end, status): one row with a status where the outline is damaged."""
