@@ -913,11 +913,14 @@ def check_mix(df):
             assert r.source_size == sizes[s] and r.target == pytest.approx(expected[s])
     out = mixing.mix(df)
     assert out.columns == df.columns
+    there, wanted = defaultdict(int), defaultdict(int)
     for r in out.collect():
         taken[r.source] += len(words_of(r.text or ""))
+        there[r.doc_id] += 1
+    for r in got:
+        wanted[r.doc_id] += r.copies
     assert sum(taken.values()) == sum(r.taken for r in got)
-    count = lambda rows: sorted((repr(r.doc_id), r["count"]) for r in rows if r["count"])
-    assert count(out.where("doc_id IS NOT NULL").groupBy("doc_id").count().collect()) == count(mixing.mix_report(df).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("copies").alias("count")).collect())
+    assert there == {d: n for d, n in wanted.items() if n}
     return {s: (taken[s], expected[s], min((m for m in mean[s] if m), default=0)) for s in sizes}
 
 
@@ -953,7 +956,7 @@ def test_pareto_samples_have_a_fixed_size(spark):
     rows = [(k, "w " * int(rng.choice([64, 71])), "a") for k in range(400)] + [(1000 + k, "w " * 64, "b") for k in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     large = small = 0
-    for seed in ("1", "2", "3", "4", "5", "6"):
+    for seed in ("1", "2", "3"):
         got = [r for r in mixing.mix_report(docs, weights=(1, 40), seed=seed).collect() if r.doc_id < 1000]
         assert len({r.target for r in got}) == 1 and 0 < got[0].target < got[0].source_size
         assert sum(r.copies for r in got) == np.floor(got[0].target / (got[0].source_size / 400) + 0.5)
