@@ -55,11 +55,11 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, stays columnar."""
+def materialize(df: DataFrame, name: str, **written: str) -> DataFrame:
+    """Write df as Parquet to the shared folder (``written``: the writer's options) and read it back: cuts lineage, survives lost executors, stays columnar."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/docspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**written).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches, materialize, release, some_rows
 
-#: Rows of a block of candidates and of one of queries; queries that are looked at together.
+#: Rows of a block of candidates and of one of queries; queries that are looked at together. Wide vectors have fewer, by NUMBERS components.
 CANDIDATES, QUERIES, TILE = 8192, 8192, 64
+NUMBERS = 1 << 21
+#: How tables of vectors and blocks are written: row groups of bounded bytes, as readers hold whole ones, looked at after every row and not the hundredth.
+WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Leading axes that are segments of their own, by level; behind them segments double in length.
 HEADS = (2, 8, 32)
 #: Clusters at most, rows and components of the sample they are fitted on, and axes up to which vectors are turned.
@@ -60,6 +63,11 @@ def quantized(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def most_rows(most: int, axes: int) -> int:
+    """Rows of so many components that are held at a time."""
+    return max(1, min(most, NUMBERS // axes))
+
+
 def edges_of(axes: int, head: int) -> np.ndarray:
     """Where segments of a level begin, and the end: ``head`` single axes, then lengths that double."""
     out = list(range(min(head, axes)))
@@ -143,8 +151,9 @@ def search_cell(space: Space, qi: np.ndarray, q: np.ndarray, limits: np.ndarray,
     qf, xf = [segment_features(qt, e) for e in levels], [segment_features(xt, e) for e in levels]
     slack = ROUNDING * (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0) + 1)
     limits, out = limits.copy(), []
-    for a in range(0, len(q), TILE):
-        at = np.arange(a, min(a + TILE, len(q)))
+    tile, some = most_rows(TILE, 2 * k * space.axes), most_rows(65_536, space.axes)
+    for a in range(0, len(q), tile):
+        at = np.arange(a, min(a + tile, len(q)))
         low = (limits[at] - slack[at])[:, None]
         alive = np.arange(len(x))
         for qs, xs in zip(qf, xf, strict=True):  # a row stays while any query of the tile may want it
@@ -163,7 +172,7 @@ def search_cell(space: Space, qi: np.ndarray, q: np.ndarray, limits: np.ndarray,
         if len(alive) > k:
             low = np.maximum(low, np.partition(score, len(alive) - k, axis=1)[:, [len(alive) - k]] - 2 * slack[at][:, None])
         i, j = np.nonzero((score >= low) & ~np.isneginf(score))
-        exact = np.concatenate([np.zeros(0, np.int64), *(exact_scores(q[at[i[b : b + 65_536]]], x[alive[j[b : b + 65_536]]]) for b in range(0, len(i), 65_536))])
+        exact = np.concatenate([np.zeros(0, np.int64), *(exact_scores(q[at[i[b : b + some]]], x[alive[j[b : b + some]]]) for b in range(0, len(i), some))])
         order = np.lexsort((xi[alive[j]], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
         place = np.arange(len(i)) - np.searchsorted(i, i, "left")
@@ -183,8 +192,15 @@ def promising(space: Space, radii: np.ndarray, q: np.ndarray, limits: np.ndarray
     return (radii >= 0) & (reach + room >= limits[:, None])
 
 
-def _matrix(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<f8").reshape(n, -1)
+def narrow(v: np.ndarray) -> bytes:
+    """Integers in doubles in the fewest bytes that hold them all; ``_matrix`` knows the kind by the length."""
+    most = float(np.abs(v).max(initial=0))
+    return v.astype(next((kind for kind, room in (("<i1", 2**7), ("<i2", 2**15), ("<i4", 2**31)) if most < room), "<f8")).tobytes()
+
+
+def _matrix(raw: bytes, n: int, axes: int) -> np.ndarray:
+    kind = {1: "<i1", 2: "<i2", 4: "<i4"}.get(len(raw) // max(1, n * axes), "<f8")
+    return np.frombuffer(raw, kind).reshape(n, axes).astype(np.float64)
 
 
 def _mapped(df: DataFrame, step, schema: str) -> DataFrame:
@@ -202,12 +218,12 @@ def _mapped(df: DataFrame, step, schema: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, axes: int) -> DataFrame:
-    """One row a block: block, ids, and vectors as doubles of ``axes`` columns; ids ascend."""
+    """One row a block: block, ids, and vectors of ``axes`` columns as ``narrow`` writes them; ids ascend."""
 
     def pack(t: pa.Table) -> pa.Table:
         ids, v = t.column("vec_id").to_numpy(), padded(t.column("v"), axes)
         order = np.argsort(ids)
-        return pa.table({"block": t.column("block")[:1], "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "v": pa.array([v[order].tobytes()], pa.binary())})
+        return pa.table({"block": t.column("block")[:1], "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "v": pa.array([narrow(v[order])], pa.binary())})
 
     return rows.select("block", "vec_id", "v").groupBy("block").applyInArrow(pack, "block long, ids binary, v binary")
 
@@ -240,13 +256,15 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
 
     def assign(batches):
         for batch in batches:
-            v = quantized(padded(batch.column(1), axes))
-            cluster, far = space.nearest(v)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * axes, pa.int32()), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(cluster), pa.array(far)], names=["vec_id", "v", "cluster", "far"])
+            for a in range(0, batch.num_rows, most_rows(CANDIDATES, axes)):
+                ids, lists = (c.slice(a, most_rows(CANDIDATES, axes)) for c in batch.columns)
+                cluster, far = space.nearest(quantized(padded(lists, axes)))
+                ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(quantized(lists.flatten().to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_arrays([ids, lists, pa.array(cluster), pa.array(far)], names=["vec_id", "v", "cluster", "far"])
 
     bounded_batches(vectors.sparkSession)
-    rows = materialize(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, cluster long, far double"), "vectors")
+    rows = materialize(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, cluster long, far double"), "vectors", **WRITTEN)
     counts, asked, radii = np.zeros(len(space.centres), int), np.zeros(len(space.centres), int), np.full(len(space.centres), -1.0)
     for r in rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.when(wanted, 1).otherwise(0)).alias("nq"), F.max("far").alias("far")).collect():  # a row a cluster
         counts[r.cluster], asked[r.cluster], radii[r.cluster] = r.n, r.nq, r.far
@@ -258,14 +276,14 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
         n = F.element_at(F.array(*map(F.lit, parts)), (F.col("cluster") + 1).cast("int"))
         return F.shiftleft(F.col("cluster"), 32) + F.pmod(F.xxhash64(F.lit("block"), "vec_id"), n)
 
-    parts = blocks(counts, CANDIDATES)
-    right = materialize(_packed(rows.withColumn("block", block(parts)), axes), "vector-blocks").toDF("block", "xi", "x")
-    left = _packed(rows.where(wanted).withColumn("block", block(blocks(asked, QUERIES))), axes).toDF("qb", "ids", "v")
+    parts = blocks(counts, most_rows(CANDIDATES, axes))
+    right = materialize(_packed(rows.withColumn("block", block(parts)), axes), "vector-blocks", **WRITTEN).toDF("block", "xi", "x")
+    left = _packed(rows.where(wanted).withColumn("block", block(blocks(asked, most_rows(QUERIES, axes)))), axes).toDF("qb", "ids", "v")
 
     def first(row: dict):
         qi, xi = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["xi"] or b"", "<i8")
-        x = _matrix(row["x"], len(xi)) if len(xi) else np.zeros((0, axes))
-        hits, limits = search_cell(space, qi, _matrix(row["v"], len(qi)), np.full(len(qi), -np.inf), xi, x, k)
+        x = _matrix(row["x"], len(xi), axes) if len(xi) else np.zeros((0, axes))
+        hits, limits = search_cell(space, qi, _matrix(row["v"], len(qi), axes), np.full(len(qi), -np.inf), xi, x, k)
         blob = lambda a, kind: pa.array([a.astype(kind).tobytes()], pa.binary())
         yield pa.table({
             "cluster": pa.array([row["block"] >> 32]), "ids": pa.array([row["ids"]], pa.binary()), "v": pa.array([row["v"]], pa.binary()), "limits": blob(limits, "<f8"),
@@ -273,15 +291,15 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
         })
 
     own = left.withColumn("block", F.shiftleft(F.shiftright("qb", 32), 32)).join(right, "block", "left")
-    begun = materialize(_mapped(own, first, "cluster long, ids binary, v binary, limits binary, hit_q binary, hit_x binary, hit_s binary"), "vector-first")
+    begun = materialize(_mapped(own, first, "cluster long, ids binary, v binary, limits binary, hit_q binary, hit_x binary, hit_s binary"), "vector-first", **WRITTEN)
 
     def deal(row: dict):
         qi, limits = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["limits"], "<f8")
-        q = _matrix(row["v"], len(qi))
+        q = _matrix(row["v"], len(qi), axes)
         fine = promising(space, radii, q, limits)
         for c in np.flatnonzero(fine.any(0)).tolist():
             at = fine[:, c]
-            made = {"ids": pa.array([qi[at].tobytes()], pa.binary()), "v": pa.array([q[at].tobytes()], pa.binary()), "limits": pa.array([limits[at].tobytes()], pa.binary())}
+            made = {"ids": pa.array([qi[at].tobytes()], pa.binary()), "v": pa.array([narrow(q[at])], pa.binary()), "limits": pa.array([limits[at].tobytes()], pa.binary())}
             for sub in range(int(c == row["cluster"]), parts[c]):
                 yield pa.table({"block": pa.array([(c << 32) + sub]), **made})
 
@@ -289,7 +307,7 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
 
     def further(row: dict):
         qi, xi = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["xi"], "<i8")
-        hits, _ = search_cell(space, qi, _matrix(row["v"], len(qi)), np.frombuffer(row["limits"], "<f8"), xi, _matrix(row["x"], len(xi)), k)
+        hits, _ = search_cell(space, qi, _matrix(row["v"], len(qi), axes), np.frombuffer(row["limits"], "<f8"), xi, _matrix(row["x"], len(xi), axes), k)
         yield pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, hits), strict=True)))
 
     def known(row: dict):
@@ -304,7 +322,7 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
 
 def search_report(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """The registered search: queries are the rows whose vec_id is divisible by ``every``, against all rows."""
-    rows = materialize(finite_rows(vectors), "vectors-finite")
+    rows = materialize(finite_rows(vectors), "vectors-finite", **WRITTEN)
     return top_k(rows, F.pmod("vec_id", F.lit(every)) == 0, k)
 
 

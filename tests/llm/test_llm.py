@@ -140,6 +140,33 @@ def test_top_k_of_few_rows(spark):
         topk.search_report(spark.createDataFrame([(0, [1e30]), (1, [1e30])], kind)).collect()
 
 
+def test_top_k_of_wide_vectors(spark, monkeypatch):
+    """Blocks are bounded by bytes: no row of a table holds more than a few wide vectors. One of the vectors is short."""
+    longest, real = [], topk.materialize
+
+    def noted(df, name, **written):
+        out = real(df, name, **written)
+        longest.extend(out.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)) for c, t in out.dtypes if t == "binary"] or [F.lit(0)]).first())
+        return out
+
+    monkeypatch.setattr(topk, "materialize", noted)
+    axes = 2**17
+    value = f"transform(sequence(0, IF(id = 7, 9, {axes - 1})), x -> CAST((id * id * 31 + x * (id + 7)) % 101 - 50 AS float) / 64)"
+    df = spark.range(40, numPartitions=4).selectExpr("id AS vec_id", f"{value} AS embedding")
+    x = np.arange(axes)
+    v = np.array([np.where(x < (10 if k == 7 else axes), (k * k * 31 + x * (k + 7)) % 101 - 50, 0) for k in range(40)], np.int64)
+    scores = v @ v.T
+    expected = [(q, r + 1, c, int(scores[q, c])) for q in (0, 20) for r, c in enumerate(sorted((c for c in range(40) if c != q), key=lambda c: (-scores[q, c], c))[:20])]
+    assert sorted(map(tuple, topk.search_report(df).collect())) == expected
+    assert 0 < max(longest) <= 16 << 20
+
+
+def test_narrow_matrices():
+    for most in (0, 127, 128, 32_768, 2**31 - 1, 2**31, 2**60):
+        v = np.array([[most, -most, 0.0], [1.0, -1.0, most]])
+        assert (topk._matrix(topk.narrow(v), 2, 3) == v).all()
+
+
 # 2
 
 
