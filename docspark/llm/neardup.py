@@ -6,6 +6,8 @@ number of documents. Inside a key, rows come in Gray order of a fingerprint word
 neighbours, prunes whole groups by the differences that add up, and the other words confine what is left. A key that many rows share (a
 crowd of near copies, or of a shared passage) is cut by further fingerprint bits, as many times over, by other bits, as leave similar pairs
 together in one of the cuts; what is still crowded then, rows that agree on those bits too, is dealt by hash, in each band and cut anew.
+That is quick but leaves some pairs apart. So once its links are settled, every crowded key whose rows are not yet one group is searched whole, in
+pieces for any two parts of it: no pair that shares a key and looks similar is left out. Its work grows with the square of such a key's rows.
 
 Of each piece the minimum spanning forest by differing bits leaves the task, and its links are checked on the sets of shingles. Where links fail,
 the parts that they would have joined are searched again, for the nearest pairs across and each time for 64 times as many, until the parts are
@@ -257,15 +259,36 @@ def crowds(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame |
     return crowded, materialize(dense, "near-dense")
 
 
-def candidate_links(nodes: DataFrame, cuts: tuple[DataFrame, DataFrame | None], similarity: float, quota: int = 0) -> DataFrame:
+def _by_twos(each: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Banded nodes of the crowded keys that hold more than one label, dealt so that any two of unlike labels meet in some piece.
+
+    The rows of a key fall in parts of about PIECE, those of its largest label in parts of their own; every two parts are a piece, but
+    not two of the largest label.
+    """
+    each = each.join(_few(crowded.select("band", "key")), ["band", "key"], "left_semi")
+    counted = each.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    parts = [F.ceil(n / PIECE).cast("int").alias(name) for n, name in ((F.col("n") - F.col("top.n"), "others"), (F.col("top.n"), "tops"))]
+    each = each.join(_few(materialize(counted.where("labels > 1").select("band", "key", F.col("top.label").alias("top"), *parts), "near-unlike")), ["band", "key"])
+    place, in_top = F.xxhash64("node", "band"), F.col("label") == F.col("top")
+    each = each.withColumn("part", F.when(in_top, F.col("others") + F.pmod(place, F.col("tops"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.col("others") - 1 + F.when(in_top, 0).otherwise(F.col("tops")))
+    each = each.withColumn("other", F.explode(meets)).where("other <> part")
+    return each.withColumn("band0", F.col("band")).withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+
+
+def candidate_links(nodes: DataFrame, cuts: tuple[DataFrame, DataFrame | None], similarity: float, quota: int = 0, whole: bool = False) -> DataFrame:
     """(a, b, more), a < b: links between nodes (node, label, n, w, keys) of different labels that look similar.
 
     A forest of them for each piece, or with a quota the nearest for each pair of labels in a piece, and whether some piece had more.
+    Crowded keys are cut and dealt, or (``whole``) they alone are searched, without leaving out any pair.
     """
     crowded, dense = cuts
     each = _banded(nodes.select("node", "label", "n", "w", "keys"))
-    each = each.withColumn("band0", F.col("band")) if dense is None else _cut(each, crowded)
-    if dense is not None:
+    if whole:
+        each = _by_twos(each, crowded)
+    else:
+        each = each.withColumn("band0", F.col("band")) if dense is None else _cut(each, crowded)
+    if dense is not None and not whole:
         each = each.join(_few(dense), ["band", "key"], "left")
         salt = F.pmod(F.xxhash64("node", "band"), F.col("salts"))
         each = each.withColumn("key", F.when(F.col("salts").isNull(), F.col("key")).otherwise(F.xxhash64("key", salt)))
@@ -309,32 +332,47 @@ def _checked(shingles: DataFrame, links: DataFrame, similarity: float) -> DataFr
     return materialize(map_rows(both, compare, schema), "near-checked")
 
 
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with their label; one that has none is its own."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _linked(ids: DataFrame, nodes: DataFrame, also: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, label) of the nodes that links of sufficient similarity, or those of ``also``, join to others."""
     cuts = crowds(nodes, similarity)
-    links = materialize(candidate_links(nodes.withColumn("label", F.col("node")), cuts, similarity), "near-candidates")
-    linked = links.select("a", "b").unionByName(also)
-    ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
-    shingles = _sets(ids, nodes.join(ends, "node"), words)
-    checked = _checked(shingles, links, similarity)
-    true = checked.where("same").select("a", "b").unionByName(also)
-    labels = components(true)
-    pending, quota = checked.where("NOT same"), QUOTA
-    while True:
-        of = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        at = materialize(of.join(_few(shingles.select("node")), "node", "left_semi").select("node", "label"), "near-at")
-        apart = pending.select("a", "b").join(_few(at.toDF("a", "la")), "a").join(_few(at.toDF("b", "lb")), "b").where("la <> lb")
-        apart = materialize(apart.select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "near-apart")
-        if apart.isEmpty():
-            return labels
-        found = materialize(candidate_links(of.join(_few(apart), "label", "left_semi"), cuts, similarity, quota), "near-again")
-        new = materialize(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-skipped")
-        if not new.isEmpty():  # its ends are ends of failed or true links, so their sets are there
-            answers = _checked(shingles, new, similarity)
-            checked = checked.unionByName(answers)
-            true = true.unionByName(answers.where("same").select("a", "b"))
-            labels = components(true)
-        pending, quota = found.where("more"), quota * QUOTA
+    true, labels, checked, shingles = also, None, None, None
+    for whole in (False, True) if cuts[1] is not None else (False,):
+        of = nodes.withColumn("label", F.col("node")) if labels is None else _labelled(nodes, labels)
+        links = materialize(candidate_links(of, cuts, similarity, whole=whole), "near-candidates")
+        if whole and links.isEmpty():
+            break
+        linked = links.select("a", "b") if whole else links.select("a", "b").unionByName(also)
+        ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
+        if shingles is None:
+            shingles = _sets(ids, nodes.join(ends, "node"), words)
+        else:
+            shingles = shingles.unionByName(_sets(ids, nodes.join(ends.join(_few(shingles.select("node")), "node", "left_anti"), "node"), words))
+        answers = _checked(shingles, links, similarity)
+        checked = answers if checked is None else checked.unionByName(answers)
+        true = true.unionByName(answers.where("same").select("a", "b"))
+        labels = components(true)
+        pending, quota = answers.where("NOT same"), QUOTA
+        while True:
+            of = _labelled(nodes, labels)
+            at = materialize(of.join(_few(shingles.select("node")), "node", "left_semi").select("node", "label"), "near-at")
+            apart = pending.select("a", "b").join(_few(at.toDF("a", "la")), "a").join(_few(at.toDF("b", "lb")), "b").where("la <> lb")
+            apart = materialize(apart.select(F.explode(F.array("la", "lb")).alias("label")).distinct(), "near-apart")
+            if apart.isEmpty():
+                break
+            found = materialize(candidate_links(of.join(_few(apart), "label", "left_semi"), cuts, similarity, quota, whole), "near-again")
+            new = materialize(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-skipped")
+            if not new.isEmpty():  # its ends are ends of failed or true links, so their sets are there
+                answers = _checked(shingles, new, similarity)
+                checked = checked.unionByName(answers)
+                true = true.unionByName(answers.where("same").select("a", "b"))
+                labels = components(true)
+            pending, quota = found.where("more"), quota * QUOTA
+    return labels
 
 
 def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

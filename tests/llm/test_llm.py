@@ -532,6 +532,27 @@ def test_near_copies_inside_a_crowd(spark, monkeypatch):
     assert sum(got[k + 1] == k for k in range(0, 300, 2)) >= 0.9 * 150
 
 
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """However small the pieces of crowded keys are, the groups are those of keys searched whole."""
+    monkeypatch.setattr(neardup, "BANDS", 1)
+    monkeypatch.setattr(neardup, "ROWS", 1)
+    rng = np.random.default_rng(23)
+    texts = []
+    for k in range(200):  # half of each text is shared by all, and one other text is near it
+        base = [f"shared{x}" for x in range(120)] + [f"own{k}w{x}" for x in range(120)]
+        copy = list(base)
+        for x in rng.choice(np.arange(120, 240), 4, replace=False):
+            copy[x] = f"other{k}w{x}"
+        texts += [" ".join(base), " ".join(copy)]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    got = {}
+    for piece in (2, 10**9):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        got[piece] = {r.doc_id: r.component_id for r in neardup.near_classes(df).collect()}
+    assert sum(got[10**9][k + 1] == k for k in range(0, 400, 2)) > 100
+    assert got[2] == got[10**9]
+
+
 # 5
 
 
