@@ -37,6 +37,16 @@ def test_zp_round_trip(bits):
     assert [d.bit(seen, k) if kind == "c" else d.raw() if kind == "r" else d.wavelet() for kind, k, _ in bits] == [int(b) for _, _, b in bits]
 
 
+def test_zp_borrows_from_a_window_of_zeros():
+    """A borrow that meets 24 pending zeros goes on into what was written before them."""
+    ops = [(3, 1), (5, 0), (20, 0), (60, 1), (3, 1), (20, 1), (30, 1), (3, 1), (30, 1), (5, 1), (60, 1), (0, 1)]
+    e = zp.Encoder()
+    for state, b in ops:
+        e.bit([state], 0, b)
+    d = zp.Decoder(e.finish())
+    assert [d.bit([state], 0) for state, _ in ops] == [b for _, b in ops]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=600), st.integers(50, 700))
 def test_bzz_round_trip(data, block):
