@@ -204,21 +204,44 @@ def missing_components(spark, sf_dir):
     return m.select(_key("o_custkey"), F.col("page").cast("bigint").alias("page"), "id")
 
 
+#: Entries and bytes of titles that one outline of a query holds at most, and children of an entry, whose number is one byte in the format.
+OUTLINE_ENTRIES, OUTLINE_BYTES, MOST_CHILDREN = 4096, 1 << 20, 255
+
+
+def _outlines(nations, most: int = OUTLINE_ENTRIES) -> list[list[tuple[str, str, int]]]:
+    """Entries of as many outlines as the names of nations need: a nation stands there again for each further MOST_CHILDREN names."""
+    out, size = [[]], 0
+    for n in nations:
+        for a in range(0, max(1, len(n["names"])), MOST_CHILDREN):
+            names = n["names"][a : a + MOST_CHILDREN]
+            more = sum(len(x.encode()) for x in (n["n_name"], *names))
+            if out[-1] and (len(out[-1]) + 1 + len(names) > most or size + more > OUTLINE_BYTES):
+                out.append([])
+                size = 0
+            size += more
+            out[-1].append((n["n_name"], f"#{n['n_nationkey']}", len(names)))
+            out[-1] += [(x, "", 0) for x in names]
+    return out
+
+
 def outline_tree(spark, sf_dir):
+    """A region's nations with their suppliers below, in as many documents as they need; what one nation has in several is added up."""
     n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    below = n.groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.sort_array(F.collect_list("s_name")).alias("names"))
-    rows = below.groupBy(F.col("n_regionkey").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "names"))).alias("nations"))
+    most = n.groupBy("n_regionkey").count().agg(F.max("count")).first()[0] or 1
+    part = F.coalesce(F.pmod(F.xxhash64("s_suppkey"), F.lit(-(-most // (OUTLINE_ENTRIES // 2)))), F.lit(0)).alias("part")
+    below = n.groupBy("n_regionkey", part, "n_nationkey", "n_name").agg(F.sort_array(F.collect_list("s_name")).alias("names"))
+    below = below.withColumn("part", F.when(F.size("names") > 0, F.col("part")).otherwise(0))
+    rows = below.groupBy(F.concat_ws("/", F.col("n_regionkey").cast("string"), F.col("part").cast("string")).alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "names"))).alias("nations"))
 
     def call(d, nations):
-        entries = []
-        for n in nations:
-            entries.append((n["n_name"], f"#{n['n_nationkey']}", len(n["names"])))
-            entries += [(s, "", 0) for s in n["names"]]
-        yield d, pack.bundle([Component("p", "page", pack.form("DJVU", pack.info(5, 5)))], pack.outline(entries))
-
-    o = _whole(_pack(rows, call)).outline()
-    up = o.select("doc_id", F.col("idx").alias("parent"), F.col("title").alias("parent_title"))
-    return o.join(up, ["doc_id", "parent"], "left").select(_key("r_regionkey"), "title", "parent_title", (F.col("subtree_end") - F.col("idx") - 1).cast("bigint").alias("n_below"))
+        for k, entries in enumerate(_outlines(nations)):
+            yield f"{d}/{k}", pack.bundle([Component("p", "page", pack.form("DJVU", pack.info(5, 5)))], pack.outline(entries))
+
+    o = _whole(_pack(rows, call, 16)).outline().withColumn("n_below", (F.col("subtree_end") - F.col("idx") - 1).cast("bigint"))
+    region = F.substring_index("doc_id", "/", 1).cast("bigint").alias("r_regionkey")
+    top = o.where("parent IS NULL").groupBy(region, "href", "title").agg(F.sum("n_below").alias("n_below")).select("r_regionkey", "title", F.lit(None).cast("string").alias("parent_title"), "n_below")
+    up = o.where("n_below > 0").select("doc_id", F.col("idx").alias("parent"), F.col("title").alias("parent_title"))
+    return top.unionByName(o.where("parent IS NOT NULL").join(up, ["doc_id", "parent"]).select(region, "title", "parent_title", "n_below"))
 
 
 # Annotations and metadata

@@ -54,3 +54,22 @@ def test_damaged_text_is_counted(spark, sf):
         raw = bytearray(texts[r.doc_id].encode())
         raw[::7] = b"\xff" * len(raw[::7])
         assert (r.n_bytes, r.has_replacements, r.n_replaced) == (len(raw), len(raw) > 0, raw.decode("utf-8", "replace").count("\ufffd"))
+
+
+def test_nations_with_more_suppliers_than_an_entry_has_children(spark, tmp_path):
+    """600 suppliers of one nation, one of another: an entry of an outline has 255 children at most."""
+    spark.createDataFrame([(0, "A", 0), (1, "B", 0), (2, "C", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    suppliers = spark.range(601).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "IF(id = 600, 1, 0) AS s_nationkey")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, q.outline_tree(spark, str(tmp_path)).collect()), key=repr)
+    names = ["r_regionkey", "title", "parent_title", "n_below"]
+    tops = [(0, "A", None, 600), (0, "B", None, 1), (1, "C", None, 0)]
+    assert got == sorted([*tops, *((0, f"s{k}", "B" if k == 600 else "A", 0) for k in range(601))], key=repr) and q.outline_tree(spark, str(tmp_path)).columns == names
+
+
+def test_outlines_are_cut_by_entries():
+    nations = [{"n_nationkey": k, "n_name": f"n{k}", "names": [f"{k}-{j}" for j in range(m)]} for k, m in enumerate((700, 0, 300))]
+    cut = q._outlines(nations, 300)
+    assert max(map(len, cut)) <= 300 and all(n <= 255 for entries in cut for _, _, n in entries)
+    assert [t for entries in cut for t, h, _ in entries if not h] == [x for n in nations for x in n["names"]]
+    assert {h for entries in cut for _, h, _ in entries if h} == {"#0", "#1", "#2"}
