@@ -135,7 +135,7 @@ def damaged_spans(spark, sf_dir):
     return t.select(_key("doc_id"), "has_replacements", "text", native.span_text(F.col("bytes"), start, F.lit(20)).alias("span"), F.length("bytes").cast("bigint").alias("n_bytes"))
 
 
-def _word_zones(spark, sf_dir):
+def _word_pages(spark, sf_dir):
     """A page a part: the characters of its name in a grid of cells of 10 x 10, words of 7 x 8 with a character zone below each; the last is empty."""
 
     def call(key, name):
@@ -146,26 +146,23 @@ def _word_zones(spark, sf_dir):
         yield str(key), _page(pack.text(data, ZoneTree("page", 0, 0, 100, 100, 0, len(data), words), 100))
 
     rows = _t(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.coalesce("p_name", F.lit("")), r"[^\x00-\x7F]", "?"))
-    return _whole(_pack(rows, call, 256)).zones()
+    return _whole(_pack(rows, call, 256))
 
 
 def zone_descendants(spark, sf_dir):
     """Characters below words, as intervals of the preorder."""
-    below = zones.descendants(_word_zones(spark, sf_dir), "character", "word")
+    below = zones.descendants_in(_word_pages(spark, sf_dir).page_zones(), "character", "word")
     return below.groupBy(_key("p_partkey")).agg(F.count("*").alias("n"), F.sum(F.col("idx") - F.col("ancestor")).cast("bigint").alias("steps"), F.max("ancestor").cast("bigint").alias("last_word"))
 
 
 def zone_hits(spark, sf_dir):
-    """The word under a point, the one nearest to another point, and the text between the two."""
-    z = zones.selectable(_word_zones(spark, sf_dir)).where("kind = 'word'")
-    point = lambda name, x, y: z.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(name).alias("point_id"), x.alias("px"), y.alias("py"))
+    """The word under a point, the one nearest to another point, and the text between the two; all inside a page's row."""
     key = F.col("doc_id").cast("bigint")
-    inside = zones.hit(z, point("a", 10 * (key % 3) + 4, F.lit(4))).withColumnRenamed("idx", "a")
-    near = zones.hit(z, point("b", 10 * (key % 3) + 9, F.lit(5)), nearest=True).withColumnRenamed("idx", "b")
-    both = inside.drop("point_id").join(near.drop("point_id"), ["doc_id", "page"])
-    chosen = z.join(both, ["doc_id", "page"]).where("idx BETWEEN least(a, b) AND greatest(a, b)")
-    s = zones.selection(chosen)
-    return both.join(s, ["doc_id", "page"]).select(_key("p_partkey"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("until"))
+    z = _word_pages(spark, sf_dir).page_zones(selectable_only=True).withColumn("zones", F.filter("zones", lambda z: z["kind"] == "word"))
+    words = F.col("zones")
+    hits = z.withColumns({"a": zones.hit_in(words, 10 * (key % 3) + 4, F.lit(4)), "b": zones.hit_in(words, 10 * (key % 3) + 9, F.lit(5), nearest=True)}).where("a IS NOT NULL")
+    s = hits.withColumn("s", zones.selection_in(words, F.col("a"), F.col("b")))
+    return s.select(_key("p_partkey"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("until"))
 
 
 def outline_answers(spark, sf_dir):

@@ -474,6 +474,13 @@ def test_viewport_questions(spark):
     assert {r.point_id: r.idx for r in zones.hit(chosen, points).collect()} == {"in": 5}
     assert {r.point_id: r.idx for r in zones.hit(chosen, points, nearest=True).collect()} == {"in": 5, "near": 3, "far": 5}
     assert [tuple(r) for r in zones.selection(chosen).collect()] == [("d", 0, 2, 12)]
+    page_ = table.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("idx", "kind", "x", "y", "width", "height", "text_start", F.col("text_length"), "subtree_end"))).alias("zones"))
+    assert sorted(map(tuple, zones.descendants_in(page_, "character", "word").collect())) == sorted(map(tuple, zones.descendants(table, "character", "word").select("doc_id", "page", "ancestor", "idx").collect())) == [("d", 0, 1, 2)]
+    few = page_.withColumn("zones", F.filter("zones", lambda z: z["idx"].isin(1, 3, 5)))
+    for at, hit, near in (((62, 5), 5, 5), ((33, 5), None, 3), ((200, 90), None, 5)):
+        x, y = map(F.lit, at)
+        got = few.select(zones.hit_in(F.col("zones"), x, y), zones.hit_in(F.col("zones"), x, y, nearest=True), zones.selection_in(F.col("zones"), F.lit(5), F.lit(3)))
+        assert tuple(got.first()) == (hit, near, (6, 12))
     view = spark.createDataFrame([(1300, 700, 500, -40, 600, 560)], "page_width int, page_height int, vx int, vy int, vw int, vh int")
     tiles = zones.visible_tiles(view).orderBy("distance").collect()
     assert {(r.x, r.y, r.width, r.height) for r in tiles} == {(0, 0, 512, 512), (512, 0, 512, 512), (1024, 0, 276, 512), (0, 512, 512, 188), (512, 512, 512, 188), (1024, 512, 276, 188)}

@@ -37,6 +37,11 @@ def test_zp_round_trip(bits):
     assert [d.bit(seen, k) if kind == "c" else d.raw() if kind == "r" else d.wavelet() for kind, k, _ in bits] == [int(b) for _, _, b in bits]
 
 
+def test_selectable_zones_are_outermost_words_and_leaves_elsewhere():
+    z = lambda kind, end, size=1: text.Zone(kind, None, 0, 0, size, 1, 0, 1, end, 0)
+    assert text.selectable([z("page", 8), z("word", 4), z("word", 3), z("character", 4), z("line", 6), z("character", 6), z("line", 7, 0), z("word", 8)]) == [1, 5, 7]
+
+
 def test_zp_borrows_from_a_window_of_zeros():
     """A borrow that meets 24 pending zeros goes on into what was written before them."""
     ops = [(3, 1), (5, 0), (20, 0), (60, 1), (3, 1), (20, 1), (30, 1), (3, 1), (30, 1), (5, 1), (60, 1), (0, 1)]

@@ -73,3 +73,9 @@ def test_outlines_are_cut_by_entries():
     assert max(map(len, cut)) <= 300 and all(n <= 255 for entries in cut for _, _, n in entries)
     assert [t for entries in cut for t, h, _ in entries if not h] == [x for n in nations for x in n["names"]]
     assert {h for entries in cut for _, h, _ in entries if h} == {"#0", "#1", "#2"}
+
+
+def test_questions_inside_a_page_join_and_broadcast_nothing(spark, sf):
+    for name, exchanges in (("zone_hits", 1), ("zone_descendants", 2)):  # rows dealt to be packed; and counts of a document
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= exchanges
