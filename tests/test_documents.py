@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -542,3 +543,14 @@ def test_cancel_tags(spark):
     with cancellable(spark, "render"):
         assert "render" in spark.getTags() and spark.range(3).count() == 3
     assert "render" not in spark.getTags() and cancel(spark, "nothing") == []
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """64 results of 1 MB leave a few at a time, and the JVM sends no batch of 64 MB."""
+    from docspark.functions import arrow
+
+    out = arrow.flat_map(spark.range(1), "n int, data binary", lambda _: ((k, bytes(1 << 20)) for k in range(64)), 1024)
+    seen = arrow.flat_map(out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"), "n long", lambda n: [(n,)])
+    rows = [r.n for r in seen.collect()]
+    assert sum(rows) == 64 and max(rows) <= 5
+    assert int(spark.conf.get(arrow._BATCH_CONF)) == arrow.BATCH_BYTES
