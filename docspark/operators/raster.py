@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def blit_pixels(blits: DataFrame, symbol_pixels: DataFrame, page_width: int, page_height: int, keys: list[str]) -> DataFrame:
-    """keys, ord, x, y of every inked pixel of blits (keys, ord, symbol, left, bottom) that lies on the page; y counts from the top."""
-    j = blits.join(symbol_pixels, "symbol").select(*keys, "ord", (F.col("left") + F.col("px")).alias("x"), (F.lit(page_height - 1) - F.col("bottom") - F.col("py")).alias("y"))
+    """keys, ord, x, y of every inked pixel of blits (keys, ord, symbol, left, bottom) that lies on the page; y counts from the top.
+
+    Blits are dealt by their keys before they become pixels, many times as many rows, so what is asked of one raster shuffles no pixels.
+    """
+    j = blits.repartition(*keys).join(symbol_pixels, "symbol").select(*keys, "ord", (F.col("left") + F.col("px")).alias("x"), (F.lit(page_height - 1) - F.col("bottom") - F.col("py")).alias("y"))
     return j.where(F.col("x").between(0, page_width - 1) & F.col("y").between(0, page_height - 1))
 
 
