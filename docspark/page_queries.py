@@ -18,7 +18,7 @@ from docspark.kernels.jb2 import encode_jb2
 from docspark.kernels.mmr import encode_mmr
 from docspark.operators import links, zones
 from docspark.plans.document_set import DocumentSet
-from docspark.queries import _bits, _ink, _key, _pack, _page, _quoted, _t, _whole
+from docspark.queries import _bits, _ink, _key, _pack, _page, _quoted, _spread, _t, _whole
 from docspark.sources import sinks
 
 # Pages and geometry
@@ -58,14 +58,14 @@ def affine_maps(spark, sf_dir):
 
 def layer_factors(spark, sf_dir):
     """The factor that leads from a page to a layer; every third layer is one pixel off."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 500 + 1).alias("w"), (F.col("p_partkey") * 3 % 400 + 1).alias("h"), (F.col("p_size") % 12 + 1).alias("r"))
+    p = _spread(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", (F.col("p_partkey") * 7 % 500 + 1).alias("w"), (F.col("p_partkey") * 3 % 400 + 1).alias("h"), (F.col("p_size") % 12 + 1).alias("r"))
     layer_w, layer_h = F.ceil(F.col("w") / F.col("r")), F.ceil(F.col("h") / F.col("r")) + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)
     return p.select("p_partkey", native.layer_reduction(F.col("w"), F.col("h"), layer_w, layer_h).cast("bigint").alias("factor"))
 
 
 def tile_reductions(spark, sf_dir):
     """Whole reductions for a zoom, so that the display has enough pixels and at most 24 tiles are in view."""
-    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 30_000 + 1).alias("w"), (F.col("p_partkey") * 53 % 30_000 + 1).alias("h"), (1 / (F.col("p_size") % 16 + 1)).alias("zoom"))
+    p = _spread(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", (F.col("p_partkey") * 37 % 30_000 + 1).alias("w"), (F.col("p_partkey") * 53 % 30_000 + 1).alias("h"), (1 / (F.col("p_size") % 16 + 1)).alias("zoom"))
     s = native.subsample_for(F.col("w"), F.col("h"), F.col("zoom"), F.lit(1000), F.lit(800), F.lit(1.0))
     return p.select("p_partkey", s.cast("bigint").alias("subsample"))
 

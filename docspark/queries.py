@@ -41,6 +41,12 @@ def _t(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt anew if it is read in fewer parts than there are cores, as tables of few bytes a row are; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _key(name: str, type_: str = "bigint"):
     return F.col("doc_id").cast(type_).alias(name)
 
@@ -146,7 +152,7 @@ def map_rects(spark, sf_dir):
 
 
 def area_weights(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("source"), (F.col("p_partkey") % 40 + 1).cast("int").alias("output"))
+    p = _spread(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.col("p_size").alias("source"), (F.col("p_partkey") % 40 + 1).cast("int").alias("output"))
     p = p.withColumn("pixel", (F.col("p_partkey") % F.col("output")).cast("int")).withColumn("w", native.axis_weights(F.col("pixel"), F.col("source"), F.col("output")))
     total = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["weight"])
     moment = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["weight"] * x["at"])

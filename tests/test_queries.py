@@ -79,3 +79,25 @@ def test_questions_inside_a_page_join_and_broadcast_nothing(spark, sf):
     for name, exchanges in (("zone_hits", 1), ("zone_descendants", 2)):  # rows dealt to be packed; and counts of a document
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= exchanges
+
+
+def test_pixels_are_not_shuffled(spark, sf):
+    """Blits are dealt once, before they become pixels; neither pixels nor colours are dealt again."""
+    for name in ("palette_last_wins", "union_mask"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(l_orderkey" in plan
+
+
+def test_first_reduction_that_fits(spark):
+    """Halving finds what trying every reduction finds; each is tried few times, as a table is dealt to all cores."""
+    import math
+
+    from docspark.functions import native
+
+    rows = spark.range(400).selectExpr("id", "id * 977 % 40000 + 1 AS w", "id * 1409 % 60000 + 1 AS h", "double(1 / (id * 31 % 400 + 1)) AS z")
+    col = lambda n: q.F.col(n)
+    got = {r.id: (r.s, r.w, r.h, r.z) for r in rows.withColumn("s", native.subsample_for(col("w"), col("h"), col("z"), q.F.lit(4000), q.F.lit(3000), q.F.lit(1.0), most=6)).collect()}
+    count = lambda size, view, z, s: min(math.ceil(math.ceil(size / s) / 512), math.ceil(view / (z * s * 512)) + 1)
+    want = {k: next((s for s in range(max(1, min(256, math.floor(1 / z))), 257) if count(w, 4000, z, s) * count(h, 3000, z, s) <= 6), 256) for k, (_, w, h, z) in got.items()}
+    assert {k: v[0] for k, v in got.items()} == want and len(set(want.values())) > 20
+    assert "256" not in str(native.subsample_for(col("w"), col("h"), col("z"), q.F.lit(1), q.F.lit(1), q.F.lit(1.0))).split("sequence(")[1].split(")")[0]  # eight tries, not all
