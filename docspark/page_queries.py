@@ -5,6 +5,8 @@ As in ``queries``, table rows are packed as documents and asked back, and each q
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -324,21 +326,29 @@ def averaged_masks(spark, sf_dir):
     return flat_map(r.select("doc_id", "rgba"), "doc_id string, cell long, value long", values).select(_key("vec_id"), "cell", "value")
 
 
+@lru_cache(4096)
+def _picture(phase: int, size: int) -> np.ndarray:
+    y, x = np.mgrid[: size % 29 + 20, : size % 23 + 20]
+    return np.clip(128 + 70 * np.sin((x + phase) / 9) + 50 * np.cos(y / 7), 0, 255).astype(np.uint8)
+
+
+@lru_cache(4096)
+def _waves(phase: int, size: int) -> bytes:
+    """A document of a picture; pictures repeat, and each is drawn and encoded once a worker."""
+    return pack.document(pack.form("PM44", *(pack.chunk("PM44", c) for c in encode_iw44(_picture(phase, size), (60, 60)))))
+
+
 def wavelet_waves(spark, sf_dir):
     """Pictures that are not constant, through the wavelet codec: whether every sample came back within six levels, and both means within one."""
     rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), F.col("p_size"))
 
-    def picture(d, size):
-        y, x = np.mgrid[: size % 29 + 20, : size % 23 + 20]
-        return np.clip(128 + 70 * np.sin((x + int(d) % 13) / 9) + 50 * np.cos(y / 7), 0, 255).astype(np.uint8)
-
     def call(d, size):
-        yield d, pack.document(pack.form("PM44", *(pack.chunk("PM44", c) for c in encode_iw44(picture(d, size), (60, 60)))))
+        yield d, _waves(int(d) % 13, size)
 
     r = _whole(_pack(rows, call, 64)).render().where("status = 'ok'").join(rows.toDF("doc_id", "p_size"), "doc_id")
 
     def compare(doc_id, width, height, rgba, size):
-        got, want = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[:, :, 1].astype(int), picture(doc_id, size).astype(int)
+        got, want = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[:, :, 1].astype(int), _picture(int(doc_id) % 13, size).astype(int)
         yield doc_id, width, height, bool(np.abs(got - want).max() <= 6), bool(abs(got.mean() - want.mean()) <= 1)
 
     out = flat_map(r.select("doc_id", "width", "height", "rgba", "p_size"), "doc_id string, width int, height int, near boolean, mean_near boolean", compare)

@@ -6,6 +6,8 @@ native operators about the tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -388,13 +390,19 @@ def palette_last_wins(spark, sf_dir):
     return raster.last_color(pixels, ["l_orderkey"], "color").groupBy("l_orderkey", F.col("color").cast("bigint").alias("color")).agg(F.count("*").alias("n"))
 
 
+@lru_cache(4096)
+def _constant(size: int) -> bytes:
+    """A document of a constant picture; pictures repeat, and each is encoded once a worker."""
+    gray = np.full((size % 9 + 1, size % 7 + 1), size * 5 % 256, np.uint8)
+    return pack.document(pack.form("PM44", *(pack.chunk("PM44", c) for c in encode_iw44(gray, (100,)))))
+
+
 def wavelet_constant(spark, sf_dir):
     """Constant gray pictures through the wavelet codec, entropy coding and colour included."""
     rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), F.col("p_size"))
 
     def call(d, size):
-        gray = np.full((size % 9 + 1, size % 7 + 1), size * 5 % 256, np.uint8)
-        yield d, pack.document(pack.form("PM44", *(pack.chunk("PM44", c) for c in encode_iw44(gray, (100,)))))
+        yield d, _constant(size)
 
     r = _whole(_pack(rows, call, 256)).render()
 

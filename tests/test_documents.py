@@ -554,3 +554,19 @@ def test_batches_are_bounded_by_bytes(spark):
     rows = [r.n for r in seen.collect()]
     assert sum(rows) == 64 and max(rows) <= 5
     assert int(spark.conf.get(arrow._BATCH_CONF)) == arrow.BATCH_BYTES
+
+
+def test_equal_wavelet_layers_are_decoded_once(monkeypatch):
+    from docspark.functions import render
+    from docspark.kernels import iw44
+
+    calls = []
+    decode = iw44.decode_coefficients
+    monkeypatch.setattr(iw44, "decode_coefficients", lambda *a: calls.append(1) or decode(*a))
+    monkeypatch.setattr(render, "KEPT_GRIDS", 2)
+    render._grids.clear()
+    made = [encode_iw44(np.full((6, 5), g, np.uint8), (20, 20)) for g in (10, 90, 200)]
+    show = lambda c: next(render.render_requests(render.Info(5, 6, 100, 0), "PM44", [render.Part(0, "PM44", x, None, None) for x in c], [{}]))[2]
+    first = [show(c) for c in (*made, made[2], made[1])]
+    assert len(calls) == 3 and len(render._grids) == 2 and first[3:] == first[2:0:-1] and len(set(first)) == 3
+    assert show(made[0]) == first[0] and show(made[0][:1]) != first[0] and len(calls) == 5  # let go and decoded again; fewer chunks are another picture
