@@ -58,6 +58,24 @@ def test_bzz_round_trip(data, block):
     assert bzz_decode(bzz_encode(data, block), 1 << 20) == data
 
 
+def test_small_equal_streams_are_decoded_once(monkeypatch):
+    from docspark.kernels import bzz
+
+    bzz._kept.clear()
+    packed = bzz_encode(b"directory")
+    calls = []
+    decode = bzz._decode
+    monkeypatch.setattr(bzz, "_decode", lambda *a: calls.append(1) or decode(*a))
+    monkeypatch.setattr(bzz, "KEPT", 3)
+    assert [bzz_decode(packed, 100) for _ in range(3)] == [b"directory"] * 3 and len(calls) == 1
+    with pytest.raises(Bad, match="LimitExceeded"):  # another limit is another question, and failures are not kept
+        bzz_decode(packed, 3)
+    for k in range(5):
+        assert bzz_decode(bzz_encode(bytes([k])), 100) == bytes([k]) and len(bzz._kept) <= 3
+    large = bzz_encode(bytes(5000))
+    assert len(large) <= bzz.SMALL and len(bzz_decode(large, 1 << 20)) == 5000 and bytes(5000) not in bzz._kept.values()
+
+
 def test_bzz_limits_and_damage():
     packed = bzz_encode(b"abracadabra" * 40)
     with pytest.raises(Bad, match="LimitExceeded"):
