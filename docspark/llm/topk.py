@@ -277,7 +277,8 @@ def top_k(vectors: DataFrame, wanted, k: int = K) -> DataFrame:
         return F.shiftleft(F.col("cluster"), 32) + F.pmod(F.xxhash64(F.lit("block"), "vec_id"), n)
 
     parts = blocks(counts, most_rows(CANDIDATES, axes))
-    right = materialize(_packed(rows.withColumn("block", block(parts)), axes), "vector-blocks", **WRITTEN).toDF("block", "xi", "x")
+    # Never broadcast, whatever the session's threshold: blocks would pass through the driver.
+    right = materialize(_packed(rows.withColumn("block", block(parts)), axes), "vector-blocks", **WRITTEN).toDF("block", "xi", "x").hint("merge")
     left = _packed(rows.where(wanted).withColumn("block", block(blocks(asked, most_rows(QUERIES, axes)))), axes).toDF("qb", "ids", "v")
 
     def first(row: dict):

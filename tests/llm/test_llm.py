@@ -140,6 +140,13 @@ def test_top_k_of_few_rows(spark):
         topk.search_report(spark.createDataFrame([(0, [1e30]), (1, [1e30])], kind)).collect()
 
 
+def test_top_k_broadcasts_no_blocks(spark):
+    """Blocks of vectors don't pass through the driver, however small their table is."""
+    rows = spark.range(200).selectExpr("id AS vec_id", "transform(sequence(1, 8), k -> float((id * k) % 17)) AS embedding")
+    found = topk.search_report(rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 200
+
+
 def test_top_k_of_wide_vectors(spark, monkeypatch):
     """Blocks are bounded by bytes: no row of a table holds more than a few wide vectors. One of the vectors is short."""
     longest, real = [], topk.materialize
